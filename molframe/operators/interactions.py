@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molframe.functions import chemistry as chem
-from molframe.functions.geom import Vec, clip, dist, snap, vec, vec_angle, vec_cols
+from molframe.functions.geom import Vec, dist, grid_mean, snap, vec, vec_cols
 from molframe.functions.linalg import eig3
 from molframe.plans.graph import bfs
 from molframe.plans.ordered import Ordered, block_of
 from molframe.plans.spatial import pairs_between, pairs_within
+from molframe.session import cut
 
 RES = ["entry", "chain", "seq", "icode"]
 SIDE = ["chain", "seq", "icode", "atom"]
@@ -175,7 +176,7 @@ def _donates(d: str, a: str) -> Column:
 
 def hbonds_heavy(atoms: DataFrame, sel: str, least: float = 2.5, most: float = 3.5) -> DataFrame:
     """Hydrogen bonds by heavy atoms; of two possible donors the first in file order gives. a is the donor."""
-    s = hbond_sites(atoms)
+    s = cut(hbond_sites(atoms))
     near = pairs_within(s, most, idx="idx", where=allowed(parse_selection(sel)) & ~same_residue() & (F.col("distance") >= least))
     f, b = _donates("_a", "_b"), _donates("_b", "_a")
     found = near.withColumn("_f", f).filter(F.col("_f") | b)
@@ -209,7 +210,7 @@ def charged_atoms(atoms: DataFrame) -> DataFrame:
 
 
 def salt_bridges(atoms: DataFrame, sel: str, most: float = 4.0) -> DataFrame:
-    c = charged_atoms(atoms)
+    c = cut(charged_atoms(atoms))
     ok = allowed(parse_selection(sel)) & ~same_residue()
     found = pairs_between(c.filter("charge > 0"), c.filter("charge < 0"), most, where=ok)
     note = F.when((F.col("resname_a") == "HIS") & (F.col("atom_a") != "N"), F.lit("His if protonated")).otherwise(F.lit(""))
@@ -227,7 +228,7 @@ def ring_planes(atoms: DataFrame) -> DataFrame:
     p = polymer_atoms(atoms)
     rule = F.when(F.col("kind") == "nucleic", F.lit("#")).otherwise(F.col("resname"))
     a = p.withColumn("rule", rule).join(F.broadcast(table), ["rule", "atom"])
-    mean = {c: F.avg(c).alias(c) for c in "xyz"}
+    mean = {c: grid_mean(F.col(c)).alias(c) for c in "xyz"}
     second = [F.sum(F.col(u) * F.col(v)).alias(u + v) for u, v in ("xx", "xy", "xz", "yy", "yz", "zz")]
     g = a.groupBy(*RES, "resname", "kind", "ring", "size").agg(
         F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx"), *mean.values(), *second
@@ -256,7 +257,7 @@ def _triple(prefix: str, t: str) -> Vec:
 
 
 def cation_pi(atoms: DataFrame, sel: str, most: float = 6.0, aside: float = 2.0) -> DataFrame:
-    near = pairs_between(cation_centres(atoms), ring_planes(atoms), most, where=allowed(parse_selection(sel)) & ~same_residue())
+    near = pairs_between(cation_centres(atoms), cut(ring_planes(atoms)), most, where=allowed(parse_selection(sel)) & ~same_residue())
     v = _triple("", "_a").minus(_triple("", "_b"))
     n = _triple("n", "_b")
     height = v.dot(n)
@@ -268,7 +269,7 @@ def cation_pi(atoms: DataFrame, sel: str, most: float = 6.0, aside: float = 2.0)
 
 def pi_stacking(atoms: DataFrame, sel: str, most: float = 5.5, aside: float = 2.0) -> DataFrame:
     ok = allowed(parse_selection(sel)) & ~same_residue() & ~((F.col("kind_a") == "nucleic") & (F.col("kind_b") == "nucleic"))
-    near = pairs_within(ring_planes(atoms), most, where=ok)
+    near = pairs_within(cut(ring_planes(atoms)), most, where=ok)
     v = _triple("", "_b").minus(_triple("", "_a"))
     n1, n2 = _triple("n", "_a"), _triple("n", "_b")
     angle = snap(F.degrees(F.acos(F.least(F.lit(1.0), F.abs(n1.dot(n2))))))
@@ -289,7 +290,7 @@ def carbons_of_carbons(atoms: DataFrame, bonded: float = 2.0) -> DataFrame:
 def hydrophobic_contacts(atoms: DataFrame, sel: str, most: float = 4.0) -> DataFrame:
     """The shortest such carbon pair of every residue pair; ties to the first atoms by name."""
     ok = allowed(parse_selection(sel)) & ~same_residue() & ~((F.col("kind_a") == "nucleic") & (F.col("kind_b") == "nucleic"))
-    near = pairs_within(carbons_of_carbons(atoms), most, where=ok)
+    near = pairs_within(cut(carbons_of_carbons(atoms)), most, where=ok)
     rows = _rows(near, "hydrophobic", _null("double"), F.lit(""), _key("_a") > _key("_b"))
     ends = ["entry", *[f"{s}_{c}" for s in "ab" for c in ("chain", "seq", "icode")]]
     best = rows.groupBy(*ends).agg(F.min(F.struct("distance", "a_atom", "b_atom")).alias("best"))

@@ -119,9 +119,9 @@ ROLES = "roles(rule, atom, role, ante, h, rot) AS (VALUES " + ", ".join(
     "('{}', '{}', '{}', {}, {}, {})".format(r, a.replace("'", "''"), role, "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in ante) + "]::VARCHAR[]", h, str(rot).lower())
     for r, a, role, ante, h, rot in chem.site_rows()
 ) + ")"
-SITES = f"""res AS (SELECT chain, seq, kind, resname, list(atom) AS names, min(idx) AS at FROM pol GROUP BY ALL),
+SITES = f"""res AS (SELECT chain, seq, kind, resname, list(atom) AS names, min(idx) AS place FROM pol GROUP BY ALL),
 carb AS (SELECT chain, seq, x, y, z FROM pol WHERE atom = 'C' AND kind = 'protein'),
-before AS (SELECT chain, seq, lag(seq) OVER (PARTITION BY chain ORDER BY at) AS pseq FROM res),
+before AS (SELECT chain, seq, lag(seq) OVER (PARTITION BY chain ORDER BY place) AS pseq FROM res),
 linked AS (SELECT a.chain, a.seq FROM pol a JOIN before w ON w.chain = a.chain AND w.seq = a.seq JOIN carb b ON b.chain = a.chain AND b.seq = w.pseq
   WHERE a.atom = 'N' AND a.kind = 'protein' AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 2.5),
 base AS (SELECT chain, seq, CASE WHEN list_contains(names, 'O6') THEN 'base-G' WHEN list_contains(names, 'N6') THEN 'base-A'
@@ -167,7 +167,7 @@ RINGS = "rings(rule, ring, size, atom) AS (VALUES " + ", ".join(
 
 
 @query("ring_planes", "C6", with_(B.ATM, POLY, RINGS) + """ SELECT chain, seq, 'ring:' || size AS atom,
- floor(avg(x) * 1000 + 0.5) / 1000 + 0.0 AS x, floor(avg(y) * 1000 + 0.5) / 1000 + 0.0 AS y, floor(avg(z) * 1000 + 0.5) / 1000 + 0.0 AS z
+ floor(sum(round(x * 1000)::BIGINT)::DOUBLE / count(*) / 1000 * 1000 + 0.5) / 1000 + 0.0 AS x, floor(sum(round(y * 1000)::BIGINT)::DOUBLE / count(*) / 1000 * 1000 + 0.5) / 1000 + 0.0 AS y, floor(sum(round(z * 1000)::BIGINT)::DOUBLE / count(*) / 1000 * 1000 + 0.5) / 1000 + 0.0 AS z
  FROM pol JOIN rings USING (atom) WHERE rule = CASE WHEN kind = 'nucleic' THEN '#' ELSE resname END
  GROUP BY chain, seq, ring, size HAVING count(*) = size""")
 def rings(spark, sf):

@@ -15,7 +15,8 @@ def session(name: str = "molframe", master: str | None = None, partitions: int |
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return (
-        b.config("spark.sql.adaptive.enabled", "true")
+        b.config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -134,7 +134,7 @@ def planar_deviation(pairs: DataFrame, group: list[str]) -> DataFrame:
     dy = F.sin("th") * c("ax") + F.cos("th") * c("ay") - c("by")
     q = q.select(*group, snap(F.sqrt(dx * dx + dy * dy)).alias("dev"))
     out = quantiles(q, group, "dev", {"median": 0.5, "p90": 0.9, "largest": 1.0})
-    return out.select(*group, "n", snap(c("median")).alias("median"), snap(c("p90")).alias("p90"), "largest")
+    return out.select(*group, "n", snap(c("median"), 1e6).alias("median"), snap(c("p90"), 1e6).alias("p90"), "largest")
 
 
 def relation_share(places: DataFrame, group: list[str]) -> DataFrame:

@@ -79,11 +79,11 @@ def boundaries(spark, sf):
     return out.select("entry", "n_ref", "n_auto", "found", "right", *[snap(F.col(c)).alias(c) for c in ("recall", "precision", "f1")])
 
 
-@query("quartiles", "D20", with_(B.EVT) + f""" SELECT code, count(*) AS n, min(value) AS least, {rsnap('quantile_cont(value, 0.25)')} AS q1, {rsnap('quantile_cont(value, 0.5)')} AS median,
- {rsnap('quantile_cont(value, 0.75)')} AS q3, max(value) AS most FROM evt GROUP BY code""")
+@query("quartiles", "D20", with_(B.EVT) + f""" SELECT code, count(*) AS n, min(value) AS least, {rsnap('quantile_cont(value, 0.25)', 100000)} AS q1, {rsnap('quantile_cont(value, 0.5)', 100000)} AS median,
+ {rsnap('quantile_cont(value, 0.75)', 100000)} AS q3, max(value) AS most FROM evt GROUP BY code""")
 def quarts(spark, sf):
     q = quantiles(B.chains(spark, sf), ["code"], "value", {"least": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "most": 1.0})
-    return q.select("code", "n", "least", *[snap(F.col(c)).alias(c) for c in ("q1", "median", "q3")], "most")
+    return q.select("code", "n", "least", *[snap(F.col(c), 1e5).alias(c) for c in ("q1", "median", "q3")], "most")
 
 
 @query("flank_residues", "E18", with_(B.EVT) + """, h AS (SELECT DISTINCT entry, block AS seq FROM evt), e AS (SELECT DISTINCT entry, block AS seq FROM evt WHERE code = 'error'),

@@ -145,7 +145,7 @@ def crossings(spark, sf):
 c AS (SELECT chain, x - mx AS ax, y - my AS ay, u - mu AS bx, v - mv AS by_ FROM moved JOIN m USING (chain)),
 t AS (SELECT chain, atan2(sum(ax * by_ - ay * bx), sum(ax * bx + ay * by_)) AS th FROM c GROUP BY chain),
 d AS (SELECT chain, {rsnap('sqrt((cos(th) * ax - sin(th) * ay - bx) * (cos(th) * ax - sin(th) * ay - bx) + (sin(th) * ax + cos(th) * ay - by_) * (sin(th) * ax + cos(th) * ay - by_))')} AS dev FROM c JOIN t USING (chain))
-SELECT chain, count(*) AS n, {rsnap('quantile_cont(dev, 0.5)')} AS median, {rsnap('quantile_cont(dev, 0.9)')} AS p90, max(dev) AS largest FROM d GROUP BY chain""")
+SELECT chain, count(*) AS n, {rsnap('quantile_cont(dev, 0.5)', 1000000)} AS median, {rsnap('quantile_cont(dev, 0.9)', 1000000)} AS p90, max(dev) AS largest FROM d GROUP BY chain""")
 def place_deviation(spark, sf):
     from molframe.operators.superpose import planar_deviation
 
@@ -207,11 +207,11 @@ def classes(spark, sf):
 
 
 @query("distance_quartiles", "D20 C1", with_(B.PTS) + f""", p AS (SELECT a.chain, {DIST} AS d FROM pts a JOIN pts b ON a.entry = b.entry AND a.idx < b.idx AND {DIST} <= 8.0)
-SELECT chain, count(*) AS n, {rsnap('quantile_cont(d, 0.25)')} AS q1, {rsnap('quantile_cont(d, 0.5)')} AS median, {rsnap('quantile_cont(d, 0.75)')} AS q3 FROM p GROUP BY chain""")
+SELECT chain, count(*) AS n, {rsnap('quantile_cont(d, 0.25)', 1000000)} AS q1, {rsnap('quantile_cont(d, 0.5)', 1000000)} AS median, {rsnap('quantile_cont(d, 0.75)', 1000000)} AS q3 FROM p GROUP BY chain""")
 def quarts(spark, sf):
     p = S.pairs_within(B.points(spark, sf).select("entry", "chain", "idx", "x", "y", "z"), 8.0)
     q = quantiles(p.withColumnRenamed("chain_a", "chain"), ["chain"], "distance", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    return q.select("chain", "n", *[G.snap(F.col(c)).alias(c) for c in ("q1", "median", "q3")])
+    return q.select("chain", "n", *[G.snap(F.col(c), 1e6).alias(c) for c in ("q1", "median", "q3")])
 
 
 @query("snap", "B11", with_(B.PTS) + f" SELECT idx, {rsnap('x / 7.0')} AS x, {rsnap('y / 7.0', 1024)} AS y FROM pts")

@@ -70,18 +70,21 @@ def bfs(edges: DataFrame, group: list[str], a: str, b: str, roots: DataFrame, si
     e = cut(e.groupBy(*group, "src", "dst").agg(F.max("_sign").alias("_sign")))
     front = cut(roots.select(*group, "node").distinct().withColumn("depth", F.lit(0))
                 .withColumn("parent", F.lit(None).cast(e.schema["src"].dataType)).withColumn("sign", F.lit(1)))
-    seen = front
-    depth = 0
-    while not front.isEmpty():
-        depth += 1
+    layers = [front]
+    while not layers[-1].isEmpty():
+        front = layers[-1]
         step = front.select(*group, F.col("node").alias("src"), F.col("sign").alias("_from")).join(e, [*group, "src"])
-        step = step.join(seen.select(*group, F.col("node").alias("dst")), [*group, "dst"], "left_anti")
+        # without directions a neighbour lies at most one layer away, so older layers need no look
+        for old in layers if directed else layers[-2:]:
+            step = step.join(old.select(*group, F.col("node").alias("dst")), [*group, "dst"], "left_anti")
         step = step.groupBy(*group, F.col("dst").alias("node")).agg(
             F.min(F.struct(F.col("src"), (F.col("_from") * F.col("_sign")).alias("s"))).alias("_p")
         )
-        front = cut(step.select(*group, "node", F.lit(depth).alias("depth"), F.col("_p.src").alias("parent"), F.col("_p.s").alias("sign")))
-        seen = cut(seen.unionByName(front))
-    return seen
+        layers.append(cut(step.select(*group, "node", F.lit(len(layers)).alias("depth"), F.col("_p.src").alias("parent"), F.col("_p.s").alias("sign"))))
+    seen = layers[0]
+    for layer in layers[1:-1]:
+        seen = seen.unionByName(layer)
+    return cut(seen)
 
 
 def farthest(walk: DataFrame, key: list[str]) -> DataFrame:
@@ -98,13 +101,11 @@ def tree_track(tree: DataFrame, group: list[str], a: str, b: str) -> tuple[DataF
     one = bfs(tree, group, a, b, roots).join(comp, [*group, "node"])
     start = cut(farthest(one, key))
     two = cut(bfs(tree, group, a, b, start).join(comp, [*group, "node"]))
-    here = cut(farthest(two, key).select(*key, "node", F.col("depth").alias("place")))
-    track = here
-    while not here.isEmpty():
-        up = here.join(two.select(*group, "node", "parent"), [*group, "node"]).filter("parent is not null")
-        here = cut(up.select(*key, F.col("parent").alias("node"), (F.col("place") - 1).alias("place")))
-        track = track.unionByName(here)
-    track = cut(track)
+    end = cut(farthest(two, key))
+    three = bfs(tree, group, a, b, end).select(*group, "node", F.col("depth").alias("_back"))
+    # in a tree the path between two nodes is where the two distances add up to the whole
+    j = two.join(three, [*group, "node"]).join(end.select(*key, F.col("depth").alias("_whole")), key)
+    track = cut(j.filter(F.col("depth") + F.col("_back") == F.col("_whole")).select(*key, "node", F.col("depth").alias("place")))
     off = two.join(track.select(*group, "node"), [*group, "node"], "left_anti").select(*key, "node", "parent")
     return track, off
 

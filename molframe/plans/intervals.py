@@ -15,14 +15,18 @@ def _bucket(c: str, size: int) -> Column:
 def points_in(points: DataFrame, spans: DataFrame, keys: list[str], pos: str, first: str, last: str,
               size: int = BUCKET, how: str = "inner") -> DataFrame:
     """Points joined to the spans of their key that hold them. A point is in one bucket, so no pair comes twice."""
-    s = spans.withColumn("_b", F.explode(F.sequence(_bucket(first, size), _bucket(last, size))))
-    p = points.withColumn("_b", _bucket(pos, size))
-    cond = [p[k] == s[k] for k in keys] + [p["_b"] == s["_b"], p[pos] >= s[first], p[pos] <= s[last]]
-    joined = p.join(s, cond, how)
-    extra = [s[c] for c in spans.columns if c not in keys]
+    extra = [c for c in spans.columns if c not in keys]
+    s = spans.select(
+        *[F.col(k).alias("_k" + k) for k in keys], *[F.col(c).alias("_s" + c) for c in extra],
+        F.explode(F.sequence(_bucket(first, size), _bucket(last, size))).alias("_sb"),
+    )
+    cond = (F.col("_pb") == F.col("_sb")) & (F.col(pos) >= F.col("_s" + first)) & (F.col(pos) <= F.col("_s" + last))
+    for k in keys:
+        cond = cond & (F.col(k) == F.col("_k" + k))
+    joined = points.withColumn("_pb", _bucket(pos, size)).join(s, cond, how)
     if how in ("left_semi", "left_anti"):
-        return joined.drop("_b")
-    return joined.select(*[p[c] for c in points.columns], *extra)
+        return joined.drop("_pb")
+    return joined.select(*[F.col(c) for c in points.columns], *[F.col("_s" + c).alias(c) for c in extra if c not in points.columns])
 
 
 def spans_meeting(a: DataFrame, b: DataFrame, keys: list[str], first: str, last: str,

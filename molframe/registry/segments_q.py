@@ -108,8 +108,8 @@ f AS (SELECT chain, seq, min(row) AS first_row FROM w WHERE why IS NULL AND NOT
 SELECT w.row, coalesce(why, CASE WHEN w.row > first_row THEN 'given twice' END, CASE WHEN bad THEN 'not finite' END, 'used') AS reason FROM w LEFT JOIN f ON f.chain = w.chain AND f.seq = w.seq""")
 def user_values(spark, sf):
     e = F.lit(0).alias("entry")
-    res = B.positions(spark, sf).groupBy(F.concat(F.lit("C"), F.col("chain")).alias("chain"), F.floor(F.col("seq") / 30).cast("int").alias("seq")).agg(F.min("name").alias("resname"))
-    res = res.select(e, "chain", "seq", F.lit("").alias("icode"), "resname")
+    res = B.positions(spark, sf).groupBy(F.concat(F.lit("C"), F.col("chain")).alias("chain"), F.floor(F.col("seq") / 30).cast("int").alias("seq")).agg(F.min("name").alias("one"))
+    res = res.select(e, "chain", "seq", F.lit("").alias("icode"), F.when(F.col("one") == "A", "ALA").when(F.col("one") == "N", "ASN").otherwise("ARG").alias("resname"))
     s = B.segments(spark, sf)
     name = F.when(F.col("status") == "P", "").when(F.col("status") == "F", "A").otherwise(F.col("status"))
     cell = F.when(F.col("kind").startswith("1"), F.lit("inf")).when(F.col("kind").startswith("2"), F.lit("")).otherwise(F.col("price").cast("string"))
@@ -141,7 +141,7 @@ def order(spark, sf):
     return Ordered(t, ["chain"], ["number", "icode", "k"], F.col("number").cast("bigint")).row_number("place").done().select("k", "number", "icode", "place")
 
 
-@query("best_structures", "F3", with_(B.SEG) + """ SELECT chain, domain, row_number() OVER (PARTITION BY chain ORDER BY (last - first) * 0 + (price // 50000) DESC, coalesce(CASE WHEN status = 'P' THEN NULL ELSE price % 10 END, 99), domain)::INT AS rank FROM seg QUALIFY rank <= 5""")
+@query("best_structures", "F3", with_(B.SEG) + """ SELECT chain, domain, row_number() OVER (PARTITION BY chain ORDER BY floor(price / 50000) DESC, coalesce(CASE WHEN status = 'P' THEN NULL ELSE price % 10 END, 99), domain)::INT AS rank FROM seg QUALIFY rank <= 5""")
 def best(spark, sf):
     s = B.segments(spark, sf).withColumn("coverage", F.floor(F.col("price") / 50000)).withColumn("resolution", F.when(F.col("status") != "P", F.col("price") % 10))
     return A.best_structures(s, ["chain"], "coverage", "resolution", "domain", 5).select("chain", "domain", "rank")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from molframe.session import checkpoint_dir
 
@@ -29,7 +30,7 @@ def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
         .foreachBatch(keep).start()
     )
     q.awaitTermination()
-    return spark.read.schema(schema.add("batch", "int")).parquet(f"{root}/out")
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(f"{root}/out")
 
 
 def latest(out: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from molframe.plans.intervals import points_in, spans_meeting
 from molframe.plans.ordered import Ordered, block_of
 from molframe.plans.rounds import keep_unless_beaten, lowest_free_level, mutual_best
 from molframe.plans.spatial import pairs_between, pairs_within
+from molframe.session import cut
 
 RING = ["N1", "C2", "N3", "C4", "C5", "C6"]
 
@@ -168,6 +169,7 @@ def stems(pairs: DataFrame, group: list[str], c1: DataFrame | None = None, least
     )
     o = Ordered(ends, group, ["pos"], block_of(F.col("pos")))
     e = o.neighbour(["pos", "mate"], "prev_").neighbour(["pos"], "next_", ahead=True).done()
+    e = cut(e)
     first = e.select(*group, F.col("pos").alias("i"), F.col("prev_pos").alias("pi"), F.col("prev_mate").alias("pj"))
     after = e.select(*group, F.col("pos").alias("j"), F.col("next_pos").alias("nj"))
     p = pairs.join(first, [*group, "i"]).join(after, [*group, "j"])
@@ -187,9 +189,9 @@ def stems(pairs: DataFrame, group: list[str], c1: DataFrame | None = None, least
         p = p.withColumn("_step", F.col("_step") | (F.col("_two") & F.col("_same")))
     starts = ~F.coalesce(F.col("_step"), F.lit(False))
     p = p.drop("pi", "pj", "nj", "psa", "psb", "_two", "_same")
-    out = Ordered(p.withColumn("_new", starts).drop("_step"), group, ["i"], block_of(F.col("i")))
+    out = Ordered(cut(p.withColumn("_new", starts).drop("_step")), group, ["i"], block_of(F.col("i")))
     # a stem's pairs are neighbours among its first arm's pairs, so a running count of openings names it
-    s = out.islands(F.col("_new"), "stem").done().drop("_new")
+    s = cut(out.islands(F.col("_new"), "stem").done().drop("_new"))
     n = s.groupBy(*group, "stem").agg(F.count(F.lit(1)).alias("pairs"))
     return s.join(n, [*group, "stem"]).withColumn("tie", F.col("pairs") < least)
 
@@ -230,16 +232,17 @@ def na_runs(places: DataFrame, stem_pairs: DataFrame, group: list[str]) -> DataF
     key = [*group, "strand"]
     o = Ordered(p, key, ["pos"], block_of(F.col("pos"))).neighbour(["paired"], "prev_")
     o = o.islands(F.col("prev_paired").isNull() | (F.col("prev_paired") != F.col("paired")), "run")
-    r = o.done().groupBy(*key, "run", "paired").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    r = cut(o.done().groupBy(*key, "run", "paired").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")))
     ends = p.groupBy(*key).agg(F.min("pos").alias("s_lo"), F.max("pos").alias("s_hi"))
-    r = r.filter("not paired").join(ends, key).drop("paired")
+    r = cut(r.filter("not paired").join(ends, key).drop("paired"))
     own = places.select(*group, F.col("pos").alias("i"), F.col("strand").alias("si"))
     mate = places.select(*group, F.col("pos").alias("j"), F.col("strand").alias("sj"))
     nested = stem_pairs.join(own, [*group, "i"]).join(mate, [*group, "j"]).filter("si = sj").select(*group, F.col("si").alias("strand"), "i", "j")
+    nested = cut(nested)
     around = spans_meeting(
         r.select(*key, F.col("lo").alias("i"), F.col("hi").alias("j"), "run"), nested.withColumn("run", F.lit(-1).cast("bigint")), key, "i", "j"
     ).filter("i_b < i_a and j_a < j_b")
-    close = around.groupBy(*key, F.col("run_a").alias("run")).agg(F.max(F.struct("i_b", "j_b")).alias("c"))
+    close = cut(around.groupBy(*key, F.col("run_a").alias("run")).agg(F.max(F.struct("i_b", "j_b")).alias("c")))
     close = close.select(*key, "run", F.col("c.i_b").alias("ci"), F.col("c.j_b").alias("cj"))
     loops = close.select(*key, "ci", "cj").distinct()
     inside = spans_meeting(

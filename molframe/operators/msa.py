@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molframe.functions.chemistry import SIMILAR
-from molframe.functions.geom import snap
+from molframe.functions.geom import snap, total
 
 WGRID = 1e6
 
@@ -19,18 +19,29 @@ def explode_letters(seqs: DataFrame, keep: list[str] = ()) -> DataFrame:
     return cells.filter(F.col("letter").rlike("[A-Z]"))
 
 
-def letter_counts(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("family", "col", "letter").agg(F.count(F.lit(1)).alias("c"))
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _each(value: Column) -> list[Column]:
+    """One conditional sum per letter: a column is one row of 26 numbers, made in a single aggregate."""
+    return [F.sum(F.when(F.col("letter") == x, value).otherwise(F.lit(0).cast("bigint"))) for x in LETTERS]
+
+
+def column_counts(cells: DataFrame) -> DataFrame:
+    """family, col, k: how often each letter stands in the column."""
+    return cells.groupBy("family", "col").agg(F.array(*_each(F.lit(1).cast("bigint"))).alias("k"))
+
+
+def _at(letters: str) -> Column:
+    return total([F.col("k")[LETTERS.index(x)] for x in letters])
 
 
 def column_classes(seqs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Strict and similar columns: one letter in every row; one letter or similarity group in 0.7 of all rows."""
     n = seqs.groupBy("family").agg(F.count(F.lit(1)).alias("rows"))
-    c = letter_counts(explode_letters(seqs))
-    groups = [F.sum(F.when(F.col("letter").isin(list(g)), F.col("c")).otherwise(0)) for g in SIMILAR]
-    col = c.groupBy("family", "col").agg(
-        F.sum("c").alias("present"), F.count(F.lit(1)).alias("types"), F.max("c").alias("top"), F.greatest(*groups).alias("grouped")
-    )
+    col = column_counts(explode_letters(seqs)).withColumn("present", _at(LETTERS))
+    col = col.withColumn("types", total([(F.col("k")[i] > 0).cast("bigint") for i in range(26)])).withColumn("top", F.array_max("k"))
+    col = col.withColumn("grouped", F.greatest(*[_at(g) for g in SIMILAR]))
     j = col.join(n, "family")
     strict = (F.col("present") == F.col("rows")) & (F.col("types") == 1)
     share = F.greatest("top", "grouped") / F.col("rows")
@@ -40,10 +51,10 @@ def column_classes(seqs: DataFrame, threshold: float = 0.7) -> DataFrame:
 def henikoff_weights(seqs: DataFrame) -> DataFrame:
     """family, row, weight: each letter type of a column shares 1/types equally among its carriers; 1 in all."""
     cells = explode_letters(seqs)
-    c = letter_counts(cells)
-    types = c.groupBy("family", "col").agg(F.count(F.lit(1)).alias("types"))
-    share = c.join(types, ["family", "col"]).select("family", "col", "letter", (F.lit(1.0) / (F.col("types") * F.col("c"))).alias("share"))
-    w = cells.join(share, ["family", "col", "letter"]).groupBy("family", "row").agg(F.sum("share").alias("w"))
+    c = column_counts(cells).withColumn("types", total([(F.col("k")[i] > 0).cast("bigint") for i in range(26)]))
+    j = cells.join(c, ["family", "col"])
+    share = F.lit(1.0) / (F.col("types") * F.col("k")[F.ascii("letter") - 65])
+    w = j.groupBy("family", "row").agg(F.sum(share).alias("w"))
     whole = w.groupBy("family").agg(F.sum("w").alias("total"))
     n = seqs.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     out = seqs.select("family", "row").join(w, ["family", "row"], "left").join(n, "family").join(whole, "family", "left")
@@ -60,9 +71,12 @@ def conservation(seqs: DataFrame, weighted: bool = True) -> DataFrame:
         s = seqs.join(n, "family")
     else:
         s = seqs.join(w, ["family", "row"])
-    mass = explode_letters(s, ["weight"]).groupBy("family", "col", "letter").agg(F.sum("weight").alias("m"))
-    m = F.col("m")
-    col = mass.filter(m > 0).groupBy("family", "col").agg(F.sum(m).alias("present"), F.sum(m * F.ln(m)).alias("s"))
+    mass = explode_letters(s, ["weight"]).groupBy("family", "col").agg(
+        *[F.sum(F.when(F.col("letter") == x, F.col("weight"))).alias("m" + x) for x in LETTERS]
+    )
+    m = [F.coalesce(F.col("m" + x), F.lit(0.0)) for x in LETTERS]
+    col = mass.select("family", "col", total(m).alias("present"), total([F.when(v > 0, v * F.ln(v)).otherwise(0.0) for v in m]).alias("s"))
+    col = col.filter("present > 0")
     h = F.ln("present") - F.col("s") / F.col("present")
     raw = (F.lit(1.0) - h / F.lit(math.log(20))) * F.col("present")
     return col.select("family", "col", F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)).alias("conservation"))

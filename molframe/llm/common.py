@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """`df` as a table bucketed by `key` in the warehouse: later joins on `key` leave its rows where they are."""
+    name = f"by_key_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(parts(df.sparkSession), key).saveAsTable(name, format="parquet")
+    release(df.sparkSession)
+    return df.sparkSession.table(name)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column without nulls, and where each value begins (one more for the end)."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,11 +2,11 @@
 
 A window is `width` units (bytes or words) in a row. To find equal windows without sending every suffix through a
 shuffle, each window is given a key: the least hash of the k-grams in it. Equal windows have equal keys, and neighbours
-mostly share theirs, so a run of windows with one key is sent as one piece of text. Before any text is sent, the keys
-alone are counted (five bytes each, in packed blocks); pieces are cut only for keys that occur again. A key met very
-often is extended from k units to the whole window, so that no single key gathers an unbounded bucket: the windows of
-such a key travel one by one, by their own hash. Both steps choose where windows meet and never which windows count:
-two equal windows always come to the same bucket, and buckets compare the texts themselves."""
+mostly share theirs, so a run of windows with one key is sent as one piece of text. Copies of a whole text are set apart
+first. Before any text is sent, the keys alone are counted (five bytes each, in packed blocks); pieces are cut only for
+keys that occur again. A key met very often is extended from k units to the whole window, so that no single key gathers
+an unbounded bucket: such windows are compared by a hash of 128 bits. These steps choose where windows meet and never
+which windows count: two equal windows always come to the same bucket, and buckets compare the texts themselves."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, cut, flat, parts, portions, raw, slices
+from .common import WORD, as_binary, by_key, cut, flat, parts, portions, raw, release, slices
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BYTE_HASH = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -177,9 +177,23 @@ def _pack(code: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "keys", "docs"])
 
 
-def repeated_keys(docs: DataFrame, units: Units, buckets: int, across: bool, hot: int) -> DataFrame:
-    """(doc_id, codes): keys of a document that occur again; `across`: in another document. A key in more than `hot`
-    places is returned as -code - 1."""
+def first_texts(docs: DataFrame, units: Units) -> tuple[DataFrame, DataFrame]:
+    """Rows that are the first with their text (doc_id, body, times), bucketed by doc_id, and all other rows
+    (doc_id, size, gone, short): `size` in units, `gone` for a copy with a window, else `short` is the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORD)) if units.words else F.octet_length(text)
+    rows = docs.select("doc_id", F.sha2(raw(), 256).alias("digest"), size.cast("long").alias("size"), "text")
+    gone = F.col("doc_id").isNotNull() & (F.col("size") >= units.width)
+    rows = rows.select("doc_id", "digest", "size", gone.alias("gone"), F.when(gone, "").otherwise(F.coalesce("text", F.lit(""))).alias("short"))
+    firsts = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("times")))
+    reps = by_key(docs.select("doc_id", raw().alias("body")).join(firsts.select("doc_id", "times"), "doc_id"), "doc_id")
+    known = rows.join(firsts.select("digest", F.col("doc_id").alias("first")), "digest")
+    return reps, known.filter("doc_id is null or doc_id != first").select("doc_id", "size", "gone", "short")
+
+
+def repeated_keys(reps: DataFrame, units: Units, buckets: int, across: bool, hot: int) -> DataFrame:
+    """(doc_id, code): keys of a text that occur again; `across`: in another text. Texts with copies name all their keys,
+    unless `across`. A key in more than `hot` places is returned as -code - 1. A table in the shared folder."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -213,63 +227,106 @@ def repeated_keys(docs: DataFrame, units: Units, buckets: int, across: bool, hot
         mask = np.repeat(keep, size)
         return pa.table({"doc_id": pa.array(doc[mask]), "code": pa.array(code[mask])})
 
-    packed = docs.filter("doc_id is not null").select("doc_id", raw().alias("body")).mapInArrow(count, "bucket int, keys binary, docs binary")
-    found = packed.groupBy("bucket").applyInArrow(again, "doc_id long, code long")
-    return found.groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
-
+    packed = reps.select("doc_id", "body").mapInArrow(count, "bucket int, keys binary, docs binary")
+    return cut(packed.groupBy("bucket").applyInArrow(again, "doc_id long, code long"))
 
-def pieces(docs: DataFrame, units: Units, across: bool, hot: int = 50_000) -> DataFrame:
-    """(key, sid, piece, doc_id, pos, n): every run of windows whose key occurs again, as a table in the shared folder.
 
-    `piece` is the run's text (words joined by one space), `sid` its hash, `pos` the unit of the text where the first of
-    its `n` windows begins. Windows of a hot key come as pieces of one window."""
-    buckets = min(1 << 16, max(16, 4 * parts(docs.sparkSession)))
+def _cutter(units: Units, buckets: int, hot: bool):
+    """Texts with the codes of their repeated keys in, pieces out; `hot`: windows of hot keys instead, by a hash of 128 bits."""
     width = units.width
 
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             data, at = flat(b.column("body"))
             codes = np.unique(b.column("codes").flatten().to_numpy(zero_copy_only=False))
-            often = np.sort(-codes[codes < 0] - 1)
-            seldom = codes[codes >= 0]
             if units.words:
                 w_start, w_end, w_at = words_of(data, at)
                 # words joined by one space: copied word by word into one buffer
-                size = w_end - w_start + 1
-                index, joined_at = slices(w_start, size)
+                index, joined_at = slices(w_start, w_end - w_start + 1)
                 joined = data[np.minimum(index, max(len(data) - 1, 0))] if len(data) else data
                 joined[joined_at[1:] - 1] = 32
-            for text, first, length, key in batch_runs(data, at, units):
+                del index
+            for t, f, m, key in batch_runs(data, at, units):
                 code = code_of(key, buckets)
-                is_hot = np.isin(code, often)
-                take = is_hot | np.isin(code, seldom)
-                for chosen, single in ((take & ~is_hot, False), (is_hot, True)):
-                    t, f, m, c = text[chosen], first[chosen], length[chosen], code[chosen]
-                    if not len(t):
-                        continue
-                    if single:
-                        f, _ = slices(f, m)
-                        t, c, m = np.repeat(t, m), np.repeat(c, m), np.ones(m.sum(), np.int64)
-                    if units.words:
-                        lo, hi, pos = joined_at[f], joined_at[f + m + width - 1] - 1, f - w_at[t]
-                        body = joined
-                    else:
-                        lo, hi, pos, body = f, f + m + width - 1, f - at[t], data
-                    index, out_at = slices(lo, hi - lo)
-                    text_bytes = body[index].tobytes()
-                    sid = np.array([xxhash.xxh3_64_intdigest(text_bytes[x:y]) for x, y in zip(out_at[:-1].tolist(), out_at[1:].tolist(), strict=True)], dtype=np.uint64).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(sid if single else c), pa.array(sid), as_binary(text_bytes, out_at), pa.array(ids[t]), pa.array(pos.astype(np.int32)), pa.array(m.astype(np.int32))], names=["key", "sid", "piece", "doc_id", "pos", "n"])
-
-    keys = repeated_keys(docs, units, buckets, across, hot)
-    both = docs.select("doc_id", raw().alias("body")).join(keys, "doc_id")
-    return cut(both.mapInArrow(cut_out, "key long, sid long, piece binary, doc_id long, pos int, n int"))
-
-
-def in_buckets(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Distinct pieces, all of a key in one bucket, given to `work` bucket by bucket."""
-    n = 4 * parts(rows.sparkSession)
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).groupBy("bucket").applyInArrow(work, schema)
+                take = np.isin(code, codes)
+                t, f, m, code = t[take], f[take], m[take], code[take]
+                if not len(t):
+                    continue
+                if hot:
+                    f, _ = slices(f, m)
+                    t, m = np.repeat(t, m), np.ones(m.sum(), np.int64)
+                if units.words:
+                    lo, hi, pos, body = joined_at[f], joined_at[f + m + width - 1] - 1, f - w_at[t], joined
+                else:
+                    lo, hi, pos, body = f, f + m + width - 1, f - at[t], data
+                index, out_at = slices(lo, hi - lo)
+                text = body[index].tobytes()
+                place = pa.array(pos.astype(np.int32))
+                if hot:
+                    spots = out_at.tolist()
+                    digest = [xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(spots[:-1], spots[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(ids[t]), place], names=["window", "doc_id", "pos"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(code), as_binary(text, out_at), pa.array(ids[t]), place], names=["key", "piece", "doc_id", "pos"])
+
+    return work
+
+
+def repeat_spans(reps: DataFrame, units: Units, across: bool, judge: Callable[[pa.Table], pa.Table], hot: int) -> DataFrame:
+    """(doc_id, starts, lengths): stretches of units, in windows that repeat. A table in the shared folder.
+
+    `judge` takes one bucket of pieces (key, piece, doc_id, pos) and returns such stretches (doc_id, start, length).
+    Windows of keys in more than `hot` places are not sent as text: their hashes are combined before the shuffle and
+    joined back, which Spark can split at any size."""
+    buckets = min(1 << 16, max(16, 4 * parts(reps.sparkSession)))
+    keys = repeated_keys(reps, units, buckets, across, hot)
+    release(reps.sparkSession)
+
+    def with_codes(codes: DataFrame) -> DataFrame:
+        # dealt out before the lists are made: half-made lists would be larger than their numbers
+        lists = codes.repartition(parts(reps.sparkSession), "doc_id").groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+        return reps.select("doc_id", "body").join(lists, "doc_id")
+
+    cold = with_codes(keys.filter("code >= 0")).mapInArrow(_cutter(units, buckets, False), "key long, piece binary, doc_id long, pos int")
+    spans = cold.groupBy(F.shiftright("key", 40).cast("int").alias("bucket")).applyInArrow(judge, "doc_id long, start long, length long")
+    often = keys.filter("code < 0").select("doc_id", (-F.col("code") - 1).alias("code"))
+    windows = cut(with_codes(often).mapInArrow(_cutter(units, buckets, True), "window binary, doc_id long, pos int"))
+    seen = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))
+    again = windows.join(seen, "window").filter("doc_id > first" if across else "times > 1").select("doc_id", F.col("pos").cast("long").alias("start"), F.lit(units.width).cast("long").alias("length"))
+    found = cut(spans.unionByName(again))
+    release(reps.sparkSession)
+    return found.repartition(parts(reps.sparkSession), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans")).select("doc_id", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
+
+
+def joined_pieces(data: np.ndarray, at: np.ndarray, close: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces one after the other, each closed by the byte `close`, and where each begins (one more for the end)."""
+    n = len(at) - 1
+    text = np.full(len(data) + n, close, dtype=np.uint8)
+    text[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(at))] = data
+    return text, at + np.arange(n + 1)
+
+
+def distinct(pieces: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each piece's text, and the different texts by number."""
+    number: dict[bytes, int] = {}
+    of = np.array([number.setdefault(p, len(number)) for p in pieces], dtype=np.int64)
+    return of, list(number)
+
+
+def stretches(hit: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of set windows, row by row: row, first window in the row, windows. Row i has windows[i] flags of `hit`
+    from starts[i] on."""
+    index, row_at = slices(starts, windows)
+    on = np.zeros(len(index) + 1, dtype=bool)
+    on[:-1] = hit[index]
+    new_row = np.zeros(len(on), dtype=bool)
+    new_row[row_at] = True
+    before = np.concatenate([[False], on[:-1]])
+    begins = np.flatnonzero(on & (~before | new_row))
+    stops = np.flatnonzero(before & (~on | new_row))
+    row = np.searchsorted(row_at, begins, side="right") - 1
+    return row, begins - row_at[row], stops - begins
 
 
 def covered(spans_at: np.ndarray, starts: np.ndarray, ends: np.ndarray, units_at: np.ndarray) -> np.ndarray:

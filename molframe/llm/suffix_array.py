@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, portions, raw, slices
-from .repeats import Units, covered, in_buckets, pieces
+from .common import flat, portions, slices
+from .repeats import Units, covered, distinct, first_texts, joined_pieces, repeat_spans, stretches
 
 
 def big_endian(text: np.ndarray) -> np.ndarray:
@@ -116,81 +116,49 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.
 
 
 def _judge(width: int):
-    """For each distinct piece, which of its windows a document before the piece's first one holds too."""
+    """The stretches of a bucket's pieces whose windows a document before theirs holds too."""
 
     def work(rows: pa.Table) -> pa.Table:
-        data, at = flat(rows.column("piece"))
-        doc = rows.column("first_doc").to_numpy()
-        n = np.diff(at)
-        # the pieces one after the other, each closed by a byte that no UTF-8 text holds
-        text = np.full(len(data) + len(n), 255, dtype=np.uint8)
-        shift = np.repeat(np.arange(len(n)), n)
-        text[np.arange(len(data)) + shift] = data
-        begin = at[:-1] + np.arange(len(n))
+        doc, pos = rows.column("doc_id").to_numpy(), rows.column("pos").to_numpy().astype(np.int64)
+        of, texts = distinct(rows.column("piece").to_pylist())
+        first = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(first, of, doc)
+        size = np.array([len(t) for t in texts])
+        # each piece closed by a byte that no UTF-8 text holds
+        text, begin = joined_pieces(np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum(size)]), 255)
+        windows = size - width + 1
+        place, _ = slices(begin[:-1], windows)
         is_start = np.zeros(len(text), dtype=bool)
-        place, _ = slices(begin, n - width + 1)
         is_start[place] = True
         owner = np.zeros(len(text), dtype=np.int64)
-        owner[place] = np.repeat(np.arange(len(n)), n - width + 1)
+        owner[place] = np.repeat(np.arange(len(texts)), windows)
         order, same = equal_windows(text, is_start, width)
-        first = np.flatnonzero(~same)
-        size = np.diff(first, append=len(order))
-        of = doc[owner[order]]
-        earlier = of > np.repeat(np.minimum.reduceat(of, first), size) if len(order) else np.zeros(0, bool)
+        head = np.flatnonzero(~same)
+        holder = first[owner[order]]
+        earliest = np.repeat(np.minimum.reduceat(holder, head), np.diff(head, append=len(order)))
         hit = np.zeros(len(text), dtype=bool)
-        hit[order[earlier]] = True
-        flags = [np.packbits(hit[b : b + m - width + 1]).tobytes() for b, m in zip(begin.tolist(), n.tolist(), strict=True)]
-        return pa.table({"key": rows.column("key"), "sid": rows.column("sid"), "first_doc": rows.column("first_doc"), "flags": pa.array(flags, pa.binary())})
+        hit[order[holder > earliest]] = True
+        later = np.flatnonzero(doc > first[of])
+        own = np.flatnonzero(doc == first[of])
+        row, at, n = stretches(hit, begin[of[own]], windows[of[own]])
+        out_doc, out_pos = np.concatenate([doc[later], doc[own][row]]), np.concatenate([pos[later], pos[own][row] + at])
+        length = np.concatenate([size[of[later]], n + width - 1])
+        return pa.table({"doc_id": pa.array(out_doc), "start": pa.array(out_pos), "length": pa.array(length)})
 
     return work
 
 
-def removed_spans(docs: DataFrame, width: int = 50, k: int = 24, hot: int = 50_000) -> DataFrame:
-    """(doc_id, starts, lengths): stretches of bytes whose strings of `width` bytes also start in an earlier document.
-
-    Stretches of one document may touch or overlap; `lengths` counts bytes."""
-    found = pieces(docs, Units(width, k, False), across=True, hot=hot)
-    distinct = found.groupBy("key", "sid", "piece").agg(F.min("doc_id").alias("first_doc"))
-    judged = in_buckets(distinct, _judge(width), "key long, sid long, first_doc long, flags binary")
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, pos, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "pos", "n"))
-            first = b.column("first_doc").to_numpy(zero_copy_only=False)
-            data, at = flat(b.column("flags"))
-            whole = doc > first
-            out = [(doc[whole], pos[whole].astype(np.int64), n[whole].astype(np.int64))]
-            rest = np.flatnonzero(~whole)
-            bits = np.unpackbits(data).astype(np.int8) if len(rest) else np.zeros(0, np.int8)
-            index, cut_at = slices(at[rest] * 8, n[rest].astype(np.int64))
-            on = np.zeros(len(index) + 1, dtype=np.int8)
-            on[:-1] = bits[index]
-            edge = np.diff(on, prepend=0)
-            edge_rows = np.flatnonzero(edge == 1)
-            if len(edge_rows):
-                # a stretch of flags also ends where its row ends
-                starts_row = np.zeros(len(on), dtype=bool)
-                starts_row[cut_at[1:-1]] = True
-                begins = np.flatnonzero((on == 1) & ((edge == 1) | starts_row))
-                stops = np.flatnonzero((np.concatenate([[0], on[:-1]]) == 1) & ((on == 0) | starts_row))
-                row = np.searchsorted(cut_at, begins, side="right") - 1
-                out.append((doc[rest][row], pos[rest][row] + begins - cut_at[row], stops - begins))
-            d, p, m = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(m + width - 1)], names=["doc_id", "start", "length"])
-
-    rows = found.select("key", "sid", "doc_id", "pos", "n").join(judged, ["key", "sid"])
-    each = rows.select("doc_id", "pos", "n", "first_doc", "flags").mapInArrow(spans, "doc_id long, start long, length long")
-    return each.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans")).select("doc_id", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
-
-
-def dedup(docs: DataFrame, width: int = 50, k: int = 24, hot: int = 50_000) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 50, k: int = 24, hot: int = 2_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) for every document.
 
     A byte goes if it lies in a string of `width` bytes that also starts in a document with a smaller doc_id; strings are
     judged on the input. `kept` is what is left, as bytes (a cut may fall inside a character). Null and empty texts stay
     empty; texts shorter than `width` lose nothing; of rows with one text all but that with the smallest doc_id lose
-    everything. Other columns of `docs` are not read."""
-    spans = removed_spans(docs, width, k, hot)
+    everything. A doc_id names one text: rows that repeat it with that text all give the same result. Rows without
+    doc_id are returned whole. Other columns of `docs` are not read."""
+    units = Units(width, k, False)
+    reps, others = first_texts(docs, units)
+    spans = repeat_spans(reps, units, True, _judge(width), hot)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
@@ -201,15 +169,18 @@ def dedup(docs: DataFrame, width: int = 50, k: int = 24, hot: int = 50_000) -> D
             gone = covered(spans_at, s, s + m, at)
             count = np.concatenate([[0], np.cumsum(gone)])
             left = data[~gone].tobytes()
-            left_at = at - count[at]
-            begins = gone & ~np.concatenate([[False], gone[:-1]]) if len(gone) else gone
-            if len(gone):
-                inner = at[:-1][at[:-1] < len(gone)]
-                begins[inner] = gone[inner]
+            left_at = (at - count[at]).tolist()
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            head = at[:-1][at[:-1] < len(gone)]
+            begins[head] = gone[head]
             n_spans = np.concatenate([[0], np.cumsum(begins)])
-            digest = [hashlib.sha256(left[x:y]).hexdigest() for x, y in zip(left_at[:-1].tolist(), left_at[1:].tolist(), strict=True)]
-            kept = [left[x:y] for x, y in zip(left_at[:-1].tolist(), left_at[1:].tolist(), strict=True)]
+            kept = [left[x:y] for x, y in zip(left_at[:-1], left_at[1:], strict=True)]
+            digest = [hashlib.sha256(x).hexdigest() for x in kept]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(np.diff(count[at])), pa.array(np.diff(n_spans[at])), pa.array(kept, pa.binary()), pa.array(digest)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    rows = docs.select("doc_id", raw().alias("body")).join(spans, "doc_id", "left")
-    return rows.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    rows = reps.select("doc_id", "body").join(spans, "doc_id", "left")
+    stripped = rows.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    gone, left = F.col("gone"), F.col("short").cast("binary")
+    copies = others.select("doc_id", F.col("size").alias("n_bytes"), F.when(gone, F.col("size")).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"), left.alias("kept"), F.sha2(left, 256).alias("kept_sha256"))
+    return stripped.unionByName(copies)

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, portions, raw, slices
-from .repeats import Units, covered, in_buckets, pieces, words_of
+from .common import GAP, flat, portions, slices
+from .repeats import Units, covered, distinct, first_texts, repeat_spans, stretches, words_of
 from .suffix_array import sort_directly
 
 SUBTREE = 1 << 16
@@ -77,70 +77,33 @@ def repeated(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def _judge(width: int):
-    """For each distinct piece, which of its windows occur again, as bits; pieces without any are left out."""
+    """The stretches of a bucket's pieces whose windows occur again."""
 
     def work(rows: pa.Table) -> pa.Table:
-        data, at = flat(rows.column("piece"))
-        times = rows.column("times").to_numpy()
-        text = np.full(len(data) + len(at) - 1, 32, dtype=np.uint8)
-        text[np.arange(len(data)) + np.repeat(np.arange(len(at) - 1), np.diff(at))] = data
-        begin = at[:-1] + np.arange(len(at) - 1)
-        n_words = np.add.reduceat(text == 32, begin)
-        words = pd.factorize(np.array(text.tobytes().split(), dtype=object))[0] + 1
-        word_at = np.concatenate([[0], np.cumsum(n_words)])
-        starts, _ = slices(word_at[:-1], n_words - width + 1)
-        hit = repeated(words, starts, width)
-        keep, flags = [], []
-        for i, (b, m, n) in enumerate(zip(word_at[:-1].tolist(), (n_words - width + 1).tolist(), times.tolist(), strict=True)):
-            mine = np.ones(m, dtype=bool) if n > 1 else hit[b : b + m]
-            if mine.any():
-                keep.append(i)
-                flags.append(np.packbits(mine).tobytes())
-        keep = pa.array(keep, pa.int64())
-        return pa.table({"key": rows.column("key").take(keep), "sid": rows.column("sid").take(keep), "flags": pa.array(flags, pa.binary())})
+        doc, pos = rows.column("doc_id").to_numpy(), rows.column("pos").to_numpy().astype(np.int64)
+        of, texts = distinct(rows.column("piece").to_pylist())
+        words = pd.factorize(np.array(b" ".join(texts).split(), dtype=object))[0] + 1
+        n_words = np.array([t.count(b" ") + 1 for t in texts])
+        begin, windows = np.cumsum(n_words) - n_words, n_words - width + 1
+        hit = repeated(words, slices(begin, windows)[0], width)
+        index, _ = slices(begin, np.where(np.bincount(of) > 1, windows, 0))
+        hit[index] = True
+        row, at, n = stretches(hit, begin[of], windows[of])
+        return pa.table({"doc_id": pa.array(doc[row]), "start": pa.array(pos[row] + at), "length": pa.array(n + width - 1)})
 
     return work
 
 
-def spans_of_flags(pos: np.ndarray, n: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of set bits: row, first unit of the text, windows. Row i has n[i] bits from byte at[i] on."""
-    index, row_at = slices(at[:-1] * 8, n)
-    on = np.zeros(len(index) + 1, dtype=bool)
-    on[:-1] = np.unpackbits(data)[index]
-    new_row = np.zeros(len(on), dtype=bool)
-    new_row[row_at] = True
-    before = np.concatenate([[False], on[:-1]])
-    begins = np.flatnonzero(on & (~before | new_row))
-    stops = np.flatnonzero(before & (~on | new_row))
-    row = np.searchsorted(row_at, begins, side="right") - 1
-    return row, pos[row] + begins - row_at[row], stops - begins
-
-
-def removed_spans(docs: DataFrame, width: int = 35, k: int = 10, hot: int = 50_000) -> DataFrame:
-    """(doc_id, starts, lengths): stretches of words whose windows of `width` words also start elsewhere. They may overlap."""
-    found = pieces(docs, Units(width, k, True), across=False, hot=hot)
-    distinct = found.groupBy("key", "sid", "piece").agg(F.count("*").alias("times"))
-    judged = in_buckets(distinct, _judge(width), "key long, sid long, flags binary")
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, pos, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "pos", "n"))
-            row, start, windows = spans_of_flags(pos.astype(np.int64), n.astype(np.int64), *flat(b.column("flags")))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(start), pa.array(windows + width - 1)], names=["doc_id", "start", "length"])
-
-    rows = found.select("key", "sid", "doc_id", "pos", "n").join(judged, ["key", "sid"])
-    each = rows.select("doc_id", "pos", "n", "flags").mapInArrow(spans, "doc_id long, start long, length long")
-    return each.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans")).select("doc_id", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
-
-
-def dedup(docs: DataFrame, width: int = 35, k: int = 10, hot: int = 50_000) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 35, k: int = 10, hot: int = 2_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256) for every document.
 
     A word goes if it lies in a window of `width` words whose words also start at any other place, in this document or
     another; windows are judged on the input. `kept` is what is left, joined by one space. Null and empty texts have no
-    words; texts of fewer than `width` words lose nothing; of rows with one text each loses all. Other columns of `docs`
-    are not read."""
-    spans = removed_spans(docs, width, k, hot)
+    words; texts of fewer than `width` words lose nothing; of rows with one text each loses all. A doc_id names one text.
+    Rows without doc_id are returned whole. Other columns of `docs` are not read."""
+    units = Units(width, k, True)
+    reps, others = first_texts(docs, units)
+    spans = repeat_spans(reps, units, False, _judge(width), hot)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
@@ -150,6 +113,10 @@ def dedup(docs: DataFrame, width: int = 35, k: int = 10, hot: int = 50_000) -> D
             s, m = starts.flatten().to_numpy(zero_copy_only=False), lengths.flatten().to_numpy(zero_copy_only=False)
             spans_at = np.concatenate([[0], np.cumsum(starts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             gone = covered(spans_at, s, s + m, w_at)
+            # a text with copies, if it has a window
+            n = np.diff(w_at)
+            whole = (b.column("times").to_numpy(zero_copy_only=False) > 1) & (n >= width)
+            gone |= np.repeat(whole, n)
             count = np.concatenate([[0], np.cumsum(gone)])
             index, word_at = slices(w_start[~gone], (w_end - w_start + 1)[~gone])
             left = data[np.minimum(index, len(data) - 1)] if len(index) else np.zeros(0, np.uint8)
@@ -160,5 +127,8 @@ def dedup(docs: DataFrame, width: int = 35, k: int = 10, hot: int = 50_000) -> D
             digest = [hashlib.sha256(left[x : max(x, y - 1)]).hexdigest() for x, y in zip(left_at[:-1], left_at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(w_at)), pa.array(np.diff(count[w_at])), pa.array(kept), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    rows = docs.select("doc_id", raw().alias("body")).join(spans, "doc_id", "left")
-    return rows.mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
+    firsts = reps.select("doc_id", "body", "times").join(spans, "doc_id", "left").mapInArrow(strip, schema)
+    kept = F.trim(F.regexp_replace("short", GAP, " "))
+    copies = others.select("doc_id", F.col("size").alias("n_words"), F.when(F.col("gone"), F.col("size")).otherwise(0).alias("n_removed"), kept.alias("kept"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    return firsts.unionByName(copies)

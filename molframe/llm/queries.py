@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, minhash, mixing, sharding, suffix_array, suffix_tree
+from . import chat, exact, langid, minhash, mixing, sharding, suffix_array, suffix_tree
 from .common import cut, table
 
 
@@ -35,6 +35,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", same), (-7, 1, "assistant", same)], "conv_id long, turn long, role string, text string")
@@ -46,7 +52,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(line).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), digest(F.col("loss")).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vector_sharding, op2_suffix_array_dedup, op3_suffix_tree_dedup, op5_minhash_dedup, op7_mixing, op8_exact_dedup, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vector_sharding, op2_suffix_array_dedup, op3_suffix_tree_dedup, op5_minhash_dedup, op7_mixing, op8_exact_dedup, op9_crf_language, op10_chat_format)}
 
 SQL: dict[str, str] = {
     "op8_exact_dedup": r"""

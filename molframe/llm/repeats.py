@@ -25,7 +25,7 @@ from .common import WORD, as_binary, by_key, cut, flat, parts, portions, raw, re
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BYTE_HASH = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 SLICE = 1 << 17
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 
 class Units(NamedTuple):
@@ -289,7 +289,8 @@ def repeat_spans(reps: DataFrame, units: Units, across: bool, judge: Callable[[p
         return reps.select("doc_id", "body").join(lists, "doc_id")
 
     cold = with_codes(keys.filter("code >= 0")).mapInArrow(_cutter(units, buckets, False), "key long, piece binary, doc_id long, pos int")
-    spans = cold.groupBy(F.shiftright("key", 40).cast("int").alias("bucket")).applyInArrow(judge, "doc_id long, start long, length long")
+    # a bucket is held and sorted whole, so there are many more of them than tasks
+    spans = cold.groupBy(F.pmod(F.xxhash64("key"), F.lit(16 * parts(reps.sparkSession))).alias("bucket")).applyInArrow(judge, "doc_id long, start long, length long")
     often = keys.filter("code < 0").select("doc_id", (-F.col("code") - 1).alias("code"))
     windows = cut(with_codes(often).mapInArrow(_cutter(units, buckets, True), "window binary, doc_id long, pos int"))
     seen = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))

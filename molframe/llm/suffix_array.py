@@ -62,11 +62,10 @@ def sort_directly(packed: np.ndarray, suffixes: np.ndarray, depth: int, step: in
     return order
 
 
-def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of `text` (the last byte larger than any before it) in order of their first `depth` bytes."""
+def two_stage(text: np.ndarray, w8: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of `text` in order of their first `depth` bytes; `w8` holds eight bytes from each place on."""
     n = len(text)
     small = smaller_than_next(text)
-    w8 = big_endian(text)
     direct = sort_directly(w8, np.flatnonzero(small), depth, 8)
     byte_of = text[direct]
     b_at = np.searchsorted(byte_of, np.arange(257))
@@ -100,9 +99,9 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
 
 def equal_windows(text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The places `starts` (a mask) in suffix order, and for each whether it shares `width` bytes with the one before."""
-    order = two_stage(text, width)
-    order = order[starts[order]]
     w8 = big_endian(text)
+    order = two_stage(text, w8, width)
+    order = order[starts[order]]
     a, b = order[1:], order[:-1]
     same = np.ones(len(a), dtype=bool)
     at = np.arange(len(a))
@@ -130,7 +129,7 @@ def _judge(width: int):
         place, _ = slices(begin[:-1], windows)
         is_start = np.zeros(len(text), dtype=bool)
         is_start[place] = True
-        owner = np.zeros(len(text), dtype=np.int64)
+        owner = np.zeros(len(text), dtype=np.int32)
         owner[place] = np.repeat(np.arange(len(texts)), windows)
         order, same = equal_windows(text, is_start, width)
         head = np.flatnonzero(~same)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import flat, portions, raw
 from .repeats import word_hashes
@@ -255,32 +256,39 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([(bytes(t), x) for t, x in picked], langs, lex)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of `docs`: `und` and 0.0 for a null text, one without letters, or where
-    nothing was learned. Only the text is read. Repeated rows give equal results, whatever else they hold."""
+def labelled(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with columns `__lang_pred` and `__score`: `und` and 0.0 for a null text, one without letters, or where
+    nothing was learned. Only the text is read; other columns pass through unchanged, whatever they hold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: SLOTS rows for each language
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in portions(batches, most=1 << 23):
+        for b in portions(batches, "text", 1 << 23):
             scores, sizes = [], []
-            for small in portions([b], most=1 << 20):
-                data, at = flat(small.column("body"))
+            for small in portions([b], "text", 1 << 20):
+                data, at = flat(small.column("text"))
                 data = lowered(data)
                 starts, ends, w_at = letter_runs(data, at)
                 scores.append(emissions(model, data, starts, ends))
                 sizes.append(np.diff(w_at))
             n = np.concatenate(sizes)
-            known = b.column("letters").to_numpy(zero_copy_only=False).astype(bool) & (n > 0) & (len(model.langs) > 0)
+            known = b.column("__letters").to_numpy(zero_copy_only=False).astype(bool) & (n > 0) & (len(model.langs) > 0)
             at = np.concatenate([[0], np.cumsum(n)])
             total = marginals(model, np.concatenate(scores), at)[0] if model.langs else np.zeros((len(n), 1))
             best = total.argmax(axis=1)
             share = np.where(known, total[np.arange(len(n)), best] / np.maximum(n, 1), 0.0)
             pred = [model.langs[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pred), pa.array(np.clip(share, 0.0, 1.0))], names=["doc_id", "lang_pred", "score"])
+            columns = {name: b.column(name) for name in b.schema.names if name != "__letters"}
+            yield pa.RecordBatch.from_pydict(columns | {"__lang_pred": pa.array(pred, pa.string()), "__score": pa.array(np.clip(share, 0.0, 1.0))})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", raw().alias("body"), letters.alias("letters")).mapInArrow(work, "doc_id long, lang_pred string, score double")
+    schema = StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__score", DoubleType())])
+    return docs.withColumn("__letters", letters).mapInArrow(work, schema)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score) for every row of `docs`. Repeated rows give equal results."""
+    return labelled(docs.select("doc_id", "text"), model).select("doc_id", F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -48,7 +48,7 @@ def rake(cells: DataFrame, tolerance: float = 1e-6, most: int = 30) -> DataFrame
     raise ValueError("the targets contradict each other: no weights meet them all")
 
 
-def mix(docs: DataFrame, power: float = 0.7, seed: int = 7, topic: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, power: float = 0.9, seed: int = 7, topic: Column | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, weight, probability, kept) for every row of `docs`.
 
     Targets are the margins' token shares raised to `power`: below one, rare sources, languages and topics gain. `weight`

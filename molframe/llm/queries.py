@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, minhash, mixing, sharding, suffix_array, suffix_tree
+from . import chat, decontam, exact, langid, minhash, mixing, secrets, sharding, suffix_array, suffix_tree
 from .common import cut, table
 
 
@@ -23,10 +24,21 @@ def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("found", lambda s: s["kind"] != "novel")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(named(base).cast("binary"), 256).alias("base_sha256"), named(F.col("found")).alias("spans"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,7 +64,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(line).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), digest(F.col("loss")).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vector_sharding, op2_suffix_array_dedup, op3_suffix_tree_dedup, op5_minhash_dedup, op7_mixing, op8_exact_dedup, op9_crf_language, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vector_sharding, op2_suffix_array_dedup, op3_suffix_tree_dedup, op4_secret_scan, op5_minhash_dedup, op6_decontaminate, op7_mixing, op8_exact_dedup, op9_crf_language, op10_chat_format)} | {"pipeline": corpus_pipeline.run}
 
 SQL: dict[str, str] = {
     "op8_exact_dedup": r"""

@@ -4,10 +4,11 @@ Each document's signature holds the minima of 128 universal hashes over its 5-wo
 candidates: at a similarity of 0.75 a pair shares no band once in 200,000 times. A candidate pair whose signatures agree
 in less than half is dropped (at 0.75 that is 6.5 deviations away), any other is checked on the full shingle sets.
 
-A band's documents are not paired with each other. In a first round each is checked against the band's smallest; then
-only bands whose documents are still in different components go on. Small ones are compared signature by signature inside
-one task, large ones in further rounds against their next document. A pair goes unchecked only if its two documents are
-already connected, so the components are those of all links that the bands can find."""
+A band's documents are not paired with each other. First each is checked against the band's smallest. Then only bands
+whose documents are still in different components go on, split by set size: linked sets differ by a quarter of their size
+at most, so a document meets its own and the next size class. There signatures are compared inside tasks of BLOCK times
+BLOCK documents, and only pairs of different components that agree come out. A pair goes unchecked only if its two
+documents are already connected, so the components are those of all links that the bands can find."""
 
 from __future__ import annotations
 
@@ -24,7 +25,7 @@ from .repeats import _grams, word_hashes, words_of
 
 HASHES, ROWS = 128, 4
 LEAST_AGREEMENT = 0.5
-SMALL_BAND = 256
+BLOCK = 2048
 _RNG = np.random.default_rng(5)
 FACTORS = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -116,27 +117,41 @@ def agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long")
 
 
-def close_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one band, of different components, whose signatures agree. One task compares bands of SMALL_BAND
-    documents at most."""
+def close_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of one band, of different components, whose sizes and signatures allow a link.
+
+    `rows` has key, doc_id, component, n_shingles, signature. A size class goes up to 4/3 of its least size."""
+    size = F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+    met = rows.withColumn("home", size).withColumn("meet", F.explode(F.array("home", F.col("home") + 1)))
+    counts = met.groupBy("key", "meet").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = met.join(counts, ["key", "meet"]).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
 
     def work(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("key", "ascending"), ("doc_id", "ascending")])
-        key, doc, comp = (t.column(c).to_numpy() for c in ("key", "doc_id", "component"))
+        t = t.sort_by([(c, "ascending") for c in ("key", "meet", "x", "y", "doc_id")])
+        names = ("key", "meet", "x", "y", "doc_id", "component", "mine", "home")
+        key, meet, x, y, doc, comp, mine, home = (t.column(c).to_numpy() for c in names)
         sig = np.frombuffer(flat(t.column("signature"))[0].tobytes(), dtype=np.uint32).reshape(len(key), -1)
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        turn = (key[1:] != key[:-1]) | (meet[1:] != meet[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        edge = np.flatnonzero(np.concatenate([[True], turn, [True]]))
         a, b = [], []
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             for i in range(s, e - 1):
                 other = np.arange(i + 1, e)
-                other = other[comp[other] != comp[i]]
+                # two guests have met in their own class; in a task of two blocks only documents of both
+                use = (comp[other] != comp[i]) & ((home[i] == meet[i]) | (home[other] == meet[i]))
+                if x[i] != y[i]:
+                    use &= mine[other] != mine[i]
+                other = other[use]
                 hit = other[(sig[other] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
                 a += [doc[i]] * len(hit)
                 b += doc[hit].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     n = 4 * parts(rows.sparkSession)
-    return rows.groupBy(F.pmod("key", F.lit(n)).alias("bucket")).applyInArrow(work, "a long, b long").distinct()
+    bucket = F.pmod(F.xxhash64("key", "meet", "x", "y"), F.lit(n)).alias("bucket")
+    return dealt.drop("n", "n_shingles", "blocks", "other").groupBy(bucket).applyInArrow(work, "a long, b long").distinct()
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -188,7 +203,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     columns are not read."""
     signs = cut(signed(docs, k))
     firsts = signs.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    own = cut(signs.filter("digest is not null").join(firsts.filter("first is not null").select(F.col("first").alias("doc_id")).distinct(), "doc_id").select("doc_id", "signature").dropDuplicates(["doc_id"]))
+    own = cut(signs.filter("digest is not null").join(firsts.filter("first is not null").select(F.col("first").alias("doc_id")).distinct(), "doc_id").select("doc_id", "n_shingles", "signature").dropDuplicates(["doc_id"]))
     release(docs.sparkSession)
     rows = bands(own)
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).filter("n > 1")
@@ -198,22 +213,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     pairs = rest.filter("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = cut(linked(cut(agreeing(pairs, own)), sets, percent))
     found = components(links)
-    rest = rest.filter("doc_id != head").select("key", "doc_id")
-    while True:
-        labelled = rest.join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        open_ = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("head")).filter("low != high")
-        open_rows = cut(labelled.join(open_.select("key", "n", "head"), "key"))
-        if open_rows.isEmpty():
-            break
-        near = close_pairs(open_rows.filter(F.col("n") <= SMALL_BAND).select("key", "doc_id", "component").join(own, "doc_id"))
-        large = open_rows.filter(F.col("n") > SMALL_BAND)
-        head = large.filter("doc_id = head").select("key", F.col("component").alias("of"))
-        far = large.join(head, "key").filter("component != of").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-        pairs = cut(near.unionByName(agreeing(far, own)).distinct())
-        fresh = cut(linked(pairs, sets, percent))
-        if not fresh.isEmpty():
-            found = components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(fresh))
-        rest = large.filter("doc_id != head").select("key", "doc_id")
+    labelled = rest.join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    open_ = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    near = cut(close_pairs(labelled.join(open_, "key").join(own, "doc_id")))
+    fresh = cut(linked(near, sets, percent))
+    if not fresh.isEmpty():
+        found = components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(fresh))
     release(docs.sparkSession)
     named = signs.select("doc_id", "n_shingles", "digest").join(firsts, "digest", "left").join(found.withColumnRenamed("doc_id", "first"), "first", "left")
     component = F.coalesce("component", "first", "doc_id")

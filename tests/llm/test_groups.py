@@ -36,22 +36,37 @@ def test_near_duplicates(docs, rows, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
-def test_bands_in_rounds(spark, monkeypatch):
-    """A chain of texts, each near the next only, with bands compared in rounds and in one task."""
+def test_chain_of_near_texts(spark):
+    """Each text is near the next only; not all links are with a band's smallest document."""
     words = [f"v{i}" for i in range(400)]
     texts = []
-    for step in range(12):
+    for step in range(4):
         w = list(words)
         for j in range(step):
-            w[13 * j + 5] = f"u{j}"
-        texts.append((step * 7 % 12, " ".join(w)))
-    rows = [(i, t) for i, t in texts] + [(100 + i, t) for i, t in texts]
+            for x in range(5):
+                w[80 * j + 13 * x + 5] = f"u{j}{x}"
+        texts.append((step * 3 % 4, " ".join(w)))
+    rows = [*texts, (100, texts[1][1])]
     want = brute_near(rows)
-    assert len({w[1] for w in want.values()}) < 12
-    for small in (256, 1):
-        monkeypatch.setattr(minhash, "SMALL_BAND", small)
-        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-        assert {r[0]: tuple(r[1:]) for r in got} == want
+    assert {w[1] for w in want.values()} == {0}
+    assert brute_near([rows[0], rows[3]])[1][1] == 1  # the ends of the chain are not near
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == want
+
+
+def test_pairs_of_a_band_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**32, (6, 128), dtype=np.uint32)
+    rows, sig = [], {}
+    for i in range(60):
+        s = base[i % 6].copy()
+        s[rng.permutation(128)[: rng.integers(0, 50)]] = 1
+        sig[i] = s
+        rows.append((1 + i // 50, i, i % 15, int(60 + 2 * i), s.tobytes()))
+    table = spark.createDataFrame(rows, "key long, doc_id long, component long, n_shingles long, signature binary")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and (sig[a[1]] == sig[b[1]]).mean() >= 0.5 and 4 * a[3] >= 3 * b[3]}
+    got = {block: {tuple(sorted(r)) for r in minhash.close_pairs(table, block).collect()} for block in (2048, 7)}
+    assert want <= got[2048] and got[7] == got[2048]
 
 
 def test_components_of_a_path_and_a_star(spark):

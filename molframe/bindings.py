@@ -139,19 +139,19 @@ aln AS (SELECT family, row, (i - 1)::INT AS col, seq[i] AS letter
 
 
 # ---------------------------------------------------------------- edges
-def edges(spark: SparkSession, sf: str, least: int = 1) -> DataFrame:
+def edges(spark: SparkSession, sf: str) -> DataFrame:
     """a (part), b (supplier), weight: how often the two meet; nodes are text so that the sides stay apart."""
     li = table(spark, sf, "lineitem")
     e = li.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("weight"))
-    return e.filter(F.col("weight") >= least).select(
+    return e.select(
         F.lit(0).cast("bigint").alias("entry"), F.concat(F.lit("p"), F.col("l_partkey")).alias("a"),
         F.concat(F.lit("s"), F.col("l_suppkey")).alias("b"), "weight",
     )
 
 
-def EDG(least: int = 1) -> str:
-    return f"""edg AS (SELECT 0::BIGINT AS entry, 'p' || l_partkey AS a, 's' || l_suppkey AS b, count(*) AS weight
-  FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) >= {least})"""
+def EDG() -> str:
+    return """edg AS (SELECT 0::BIGINT AS entry, 'p' || l_partkey AS a, 's' || l_suppkey AS b, count(*) AS weight
+  FROM lineitem GROUP BY l_partkey, l_suppkey)"""
 
 
 # ---------------------------------------------------------------- segments

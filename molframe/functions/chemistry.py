@@ -5,93 +5,102 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-AMINO = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL MSE SEC PYL".split()
-NUCLEOTIDES = "A C G U I T DA DC DG DT DU DI".split()
-WATER = "HOH DOD WAT H2O".split()
-
-# fixed values: hydrogen-bond sites as  residue atom role antecedents hydrogens rotating
+AMINO = [
+    "ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER",
+    "THR", "TRP", "TYR", "VAL", "MSE", "SEC", "PYL",
+]
+NUCLEOTIDES = ["A", "C", "G", "U", "I", "T", "DA", "DC", "DG", "DT", "DU", "DI"]
+WATER = ["HOH", "DOD", "WAT", "H2O"]
+
+# fixed values: hydrogen-bond sites as residue, atom, role, antecedents, hydrogens, rotating
 # (role D donor, A acceptor, B both; residue * any protein residue, # any nucleotide)
-SITES = """
-* N D CA 1 -
-* O A - 0 -
-* OXT A - 0 -
-ARG NE D CD,CZ 1 -
-ARG NH1 D CZ 2 -
-ARG NH2 D CZ 2 -
-LYS NZ D CE 3 r
-ASN OD1 B CG 2 -
-ASN ND2 B CG 2 -
-GLN OE1 B CD 2 -
-GLN NE2 B CD 2 -
-HIS ND1 B CG,CE1 1 -
-HIS NE2 B CD2,CE1 1 -
-SER OG B CB 1 r
-THR OG1 B CB 1 r
-TYR OH B CZ 1 r
-ASP OD1 A - 0 -
-ASP OD2 A - 0 -
-GLU OE1 A - 0 -
-GLU OE2 A - 0 -
-TRP NE1 D CD1,CE2 1 -
-CYS SG B CB 1 r
-MET SD A - 0 -
-# OP1 A - 0 -
-# OP2 A - 0 -
-# OP3 A - 0 -
-# O5' A - 0 -
-# O4' A - 0 -
-# O3' A - 0 -
-# O2' B C2' 1 r
-base-G N1 D C2,C6 1 -
-base-G N2 D C2 2 -
-base-G O6 A - 0 -
-base-G N3 A - 0 -
-base-G N7 A - 0 -
-base-A N6 D C6 2 -
-base-A N1 A - 0 -
-base-A N3 A - 0 -
-base-A N7 A - 0 -
-base-C N4 D C4 2 -
-base-C N3 A - 0 -
-base-C O2 A - 0 -
-base-U N3 D C2,C4 1 -
-base-U N1 D C2,C6 1 -
-base-U O2 A - 0 -
-base-U O4 A - 0 -
-"""
+SITES = [
+    ("*", "N", "D", ["CA"], 1, False),
+    ("*", "O", "A", [], 0, False),
+    ("*", "OXT", "A", [], 0, False),
+    ("ARG", "NE", "D", ["CD", "CZ"], 1, False),
+    ("ARG", "NH1", "D", ["CZ"], 2, False),
+    ("ARG", "NH2", "D", ["CZ"], 2, False),
+    ("LYS", "NZ", "D", ["CE"], 3, True),
+    ("ASN", "OD1", "B", ["CG"], 2, False),
+    ("ASN", "ND2", "B", ["CG"], 2, False),
+    ("GLN", "OE1", "B", ["CD"], 2, False),
+    ("GLN", "NE2", "B", ["CD"], 2, False),
+    ("HIS", "ND1", "B", ["CG", "CE1"], 1, False),
+    ("HIS", "NE2", "B", ["CD2", "CE1"], 1, False),
+    ("SER", "OG", "B", ["CB"], 1, True),
+    ("THR", "OG1", "B", ["CB"], 1, True),
+    ("TYR", "OH", "B", ["CZ"], 1, True),
+    ("ASP", "OD1", "A", [], 0, False),
+    ("ASP", "OD2", "A", [], 0, False),
+    ("GLU", "OE1", "A", [], 0, False),
+    ("GLU", "OE2", "A", [], 0, False),
+    ("TRP", "NE1", "D", ["CD1", "CE2"], 1, False),
+    ("CYS", "SG", "B", ["CB"], 1, True),
+    ("MET", "SD", "A", [], 0, False),
+    ("#", "OP1", "A", [], 0, False),
+    ("#", "OP2", "A", [], 0, False),
+    ("#", "OP3", "A", [], 0, False),
+    ("#", "O5'", "A", [], 0, False),
+    ("#", "O4'", "A", [], 0, False),
+    ("#", "O3'", "A", [], 0, False),
+    ("#", "O2'", "B", ["C2'"], 1, True),
+    ("base-G", "N1", "D", ["C2", "C6"], 1, False),
+    ("base-G", "N2", "D", ["C2"], 2, False),
+    ("base-G", "O6", "A", [], 0, False),
+    ("base-G", "N3", "A", [], 0, False),
+    ("base-G", "N7", "A", [], 0, False),
+    ("base-A", "N6", "D", ["C6"], 2, False),
+    ("base-A", "N1", "A", [], 0, False),
+    ("base-A", "N3", "A", [], 0, False),
+    ("base-A", "N7", "A", [], 0, False),
+    ("base-C", "N4", "D", ["C4"], 2, False),
+    ("base-C", "N3", "A", [], 0, False),
+    ("base-C", "O2", "A", [], 0, False),
+    ("base-U", "N3", "D", ["C2", "C4"], 1, False),
+    ("base-U", "N1", "D", ["C2", "C6"], 1, False),
+    ("base-U", "O2", "A", [], 0, False),
+    ("base-U", "O4", "A", [], 0, False),
+]
 
 # fixed values: charged side-chain atoms
-CATIONS = {"LYS": "NZ", "ARG": "NE NH1 NH2", "HIS": "ND1 NE2"}
-ANIONS = {"ASP": "OD1 OD2", "GLU": "OE1 OE2"}
+CATIONS = {"LYS": ["NZ"], "ARG": ["NE", "NH1", "NH2"], "HIS": ["ND1", "NE2"]}
+ANIONS = {"ASP": ["OD1", "OD2"], "GLU": ["OE1", "OE2"]}
 
 # fixed values: aromatic rings
 RINGS = {
-    "PHE": ["CG CD1 CD2 CE1 CE2 CZ"],
-    "TYR": ["CG CD1 CD2 CE1 CE2 CZ"],
-    "TRP": ["CG CD1 NE1 CE2 CD2", "CD2 CE2 CZ2 CH2 CZ3 CE3"],
-    "HIS": ["CG ND1 CD2 CE1 NE2"],
+    "PHE": [["CG", "CD1", "CD2", "CE1", "CE2", "CZ"]],
+    "TYR": [["CG", "CD1", "CD2", "CE1", "CE2", "CZ"]],
+    "TRP": [["CG", "CD1", "NE1", "CE2", "CD2"], ["CD2", "CE2", "CZ2", "CH2", "CZ3", "CE3"]],
+    "HIS": [["CG", "ND1", "CD2", "CE1", "NE2"]],
 }
-BASE_RINGS = ["N1 C2 N3 C4 C5 C6", "C4 C5 N7 C8 N9"]
-
-# fixed values: base pairs as  purine pyrimidine bonds needed kind
-BASE_PAIRS = """
-G C N1-N3,O6-N4,N2-O2 2 WC
-I C N1-N3,O6-N4 2 WC
-A U N1-N3,N6-O4 2 WC
-A T N1-N3,N6-O4 2 WC
-G U N1-O2,O6-N3 2 GU
-G T N1-O2,O6-N3 2 GU
-"""
+BASE_RINGS = [["N1", "C2", "N3", "C4", "C5", "C6"], ["C4", "C5", "N7", "C8", "N9"]]
+
+# fixed values: base pairs as purine, pyrimidine, bonds, bonds needed, kind
+BASE_PAIRS = [
+    ("G", "C", [("N1", "N3"), ("O6", "N4"), ("N2", "O2")], 2, "WC"),
+    ("I", "C", [("N1", "N3"), ("O6", "N4")], 2, "WC"),
+    ("A", "U", [("N1", "N3"), ("N6", "O4")], 2, "WC"),
+    ("A", "T", [("N1", "N3"), ("N6", "O4")], 2, "WC"),
+    ("G", "U", [("N1", "O2"), ("O6", "N3")], 2, "GU"),
+    ("G", "T", [("N1", "O2"), ("O6", "N3")], 2, "GU"),
+]
 
 # fixed values: sugars of glycans, and those bound through C2
-SUGARS = "NAG NDG A2G NGA MAN BMA GAL GLA GLC BGC FUC FUL SIA XYS XYP GCS GLB SLB NGC KDN".split()
-BOUND_BY_C2 = "SIA SLB NGC KDN".split()
+SUGARS = [
+    "NAG", "NDG", "A2G", "NGA", "MAN", "BMA", "GAL", "GLA", "GLC", "BGC", "FUC", "FUL", "SIA", "XYS", "XYP", "GCS",
+    "GLB", "SLB", "NGC", "KDN",
+]
+BOUND_BY_C2 = ["SIA", "SLB", "NGC", "KDN"]
 
-METALS = "LI NA K RB CS MG CA SR BA MN FE CO NI CU ZN CD HG AL GA PB AG AU PT PD MO W V Y LA CE SM EU GD TB YB".split()
+METALS = [
+    "LI", "NA", "K", "RB", "CS", "MG", "CA", "SR", "BA", "MN", "FE", "CO", "NI", "CU", "ZN", "CD", "HG", "AL", "GA",
+    "PB", "AG", "AU", "PT", "PD", "MO", "W", "V", "Y", "LA", "CE", "SM", "EU", "GD", "TB", "YB",
+]
 
 # fixed values: membrane residues
-OILY = "ALA ILE LEU MET PHE VAL TRP CYS".split()
-POLAR = "LYS ARG ASP GLU ASN GLN HIS".split()
+OILY = ["ALA", "ILE", "LEU", "MET", "PHE", "VAL", "TRP", "CYS"]
+POLAR = ["LYS", "ARG", "ASP", "GLU", "ASN", "GLN", "HIS"]
 
 # fixed values: hydropathy after Kyte and Doolittle
 HYDROPATHY = {
@@ -101,17 +110,7 @@ HYDROPATHY = {
 }
 
 # fixed values: residues counted as similar in an alignment column
-SIMILAR = "STA NEQK NHQK NDEQ QHRK MILV MILF HY FYW".split()
-
-
-def site_rows() -> list[tuple[str, str, str, list[str], int, bool]]:
-    rows = [line.split() for line in SITES.strip().splitlines()]
-    return [(r, a, role, [] if ante == "-" else ante.split(","), int(h), rot == "r") for r, a, role, ante, h, rot in rows]
-
-
-def pair_rows() -> list[tuple[str, str, list[tuple[str, str]], int, str]]:
-    rows = [line.split() for line in BASE_PAIRS.strip().splitlines()]
-    return [(p, q, [tuple(b.split("-")) for b in bonds.split(",")], int(n), k) for p, q, bonds, n, k in rows]
+SIMILAR = ["STA", "NEQK", "NHQK", "NDEQ", "QHRK", "MILV", "MILF", "HY", "FYW"]
 
 
 def polymer_kind(resname: Column) -> Column:

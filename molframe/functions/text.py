@@ -35,17 +35,15 @@ def residue_icode(tag: Column) -> Column:
 
 
 def letters(k: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA, up to four letters (475,253)."""
-    n = k.cast("bigint")
-    ch = lambda v: F.char(F.lit(65) + v)
-    one, two, three = F.lit(26), F.lit(26 + 26**2), F.lit(26 + 26**2 + 26**3)
-    a, b, c = n - 26, n - 26 - 26**2, n - 26 - 26**2 - 26**3
-    div = lambda v, d: F.floor(v / F.lit(d)).cast("bigint")
-    two_l = F.concat(ch(div(a, 26)), ch(F.pmod(a, F.lit(26))))
-    three_l = F.concat(ch(div(b, 676)), ch(F.pmod(div(b, 26), F.lit(26))), ch(F.pmod(b, F.lit(26))))
-    four_l = F.concat(ch(div(c, 17576)), ch(F.pmod(div(c, 676), F.lit(26))), ch(F.pmod(div(c, 26), F.lit(26))),
-                      ch(F.pmod(c, F.lit(26))))
-    return F.when(n < one, ch(n)).when(n < two, two_l).when(n < three, three_l).otherwise(four_l)
+    """0 -> A, 25 -> Z, 26 -> AA and so on; fourteen letters name any bigint."""
+    start = F.struct(k.cast("bigint").alias("rest"), F.lit("").alias("text"))
+
+    def step(acc: Column, _: Column) -> Column:
+        rest, text = acc["rest"], acc["text"]
+        more = F.struct((F.floor(rest / F.lit(26)) - 1).cast("bigint").alias("rest"), F.concat(F.char(F.lit(65) + F.pmod(rest, F.lit(26))), text).alias("text"))
+        return F.when(rest >= 0, more).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda acc: acc["text"])
 
 
 def normalise_header(name: Column) -> Column:
@@ -92,8 +90,14 @@ def clean_json(entries: Column) -> Column:
     return F.to_json(F.map_from_entries(tidy), {"ignoreNullFields": "false"})
 
 
+def feature_text(description: Column, ligand: Column, kind: Column) -> Column:
+    """What a feature is called, whole."""
+    return F.coalesce(F.nullif(description, F.lit("")), F.nullif(ligand, F.lit("")), kind)
+
+
 def feature_label(description: Column, ligand: Column, kind: Column, width: int = 40) -> Column:
-    text = F.coalesce(F.nullif(description, F.lit("")), F.nullif(ligand, F.lit("")), kind)
+    """`feature_text` as it is shown, cut to `width`."""
+    text = feature_text(description, ligand, kind)
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 2), F.lit("…"))).otherwise(text)
 
 

@@ -35,15 +35,13 @@ def entry_passes(rows: DataFrame) -> DataFrame:
 
 
 def count_check(views: DataFrame, keys: list[str], view: str, value: str, limit: float) -> DataFrame:
-    """Passes when every view's count is at most `limit`; a missing or non-finite one fails. `where` names the first
-    five such views in order."""
+    """Passes when every view's count is at most `limit`; a missing or non-finite one fails. `where` names all such views
+    in order."""
     v = F.col(value)
     inf = F.lit(float("inf"))
     bad = v.isNull() | F.isnan(v) | (F.abs(v) == inf) | (v > limit)
     flagged = views.withColumn("_bad", bad)
-    w = Window.partitionBy(*keys).orderBy(view)
-    first = flagged.filter("_bad").withColumn("_k", F.row_number().over(w)).filter("_k <= 5")
-    named = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.col(view))), ", ").alias("where"))
+    named = flagged.filter("_bad").groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.col(view))), ", ").alias("where"))
     out = flagged.groupBy(*keys).agg(F.count_if("_bad").alias("bad"), F.count(F.lit(1)).alias("views"))
     return out.join(named, keys, "left").select(*keys, "views", "bad", (F.col("bad") == 0).alias("passes"), F.coalesce("where", F.lit("")).alias("where"))
 

@@ -120,7 +120,7 @@ def hbond_sites(atoms: DataFrame, link: float = 1.7, peptide: float = 2.5) -> Da
     spark = atoms.sparkSession
     p = polymer_atoms(atoms)
     site = spark.createDataFrame(
-        chem.site_rows(), "rule string, atom string, role string, ante array<string>, h int, rot boolean"
+        chem.SITES, "rule string, atom string, role string, ante array<string>, h int, rot boolean"
     )
     at = lambda name: F.max(F.when(F.col("atom") == name, F.struct("x", "y", "z")))
     res = p.groupBy(*RES, "resname", "kind").agg(
@@ -193,7 +193,7 @@ def charged_atoms(atoms: DataFrame) -> DataFrame:
     )
     name = F.col("resname")
     in_map = lambda m: F.array_contains(
-        F.coalesce(F.try_element_at(F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.split(F.lit(v), " "))]), name),
+        F.coalesce(F.try_element_at(F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), name),
                    F.array().cast("array<string>")), F.col("atom"))
     backbone = prot.filter(F.col("atom").isin("N", "O", "OXT")).join(ends, ["entry", "chain"])
     oxt = prot.filter("atom = 'OXT'").select(*RES).distinct().withColumn("oxt", F.lit(True))
@@ -220,8 +220,8 @@ def salt_bridges(atoms: DataFrame, sel: str, most: float = 4.0) -> DataFrame:
 # ---------------------------------------------------------------- rings
 def ring_planes(atoms: DataFrame) -> DataFrame:
     """Complete aromatic rings: centroid x, y, z and unit normal nx, ny, nz; atom is ring:K."""
-    rules = [(n, i, r.split()) for n, rings in chem.RINGS.items() for i, r in enumerate(rings)]
-    rules += [("#", i, r.split()) for i, r in enumerate(chem.BASE_RINGS)]
+    rules = [(n, i, r) for n, rings in chem.RINGS.items() for i, r in enumerate(rings)]
+    rules += [("#", i, r) for i, r in enumerate(chem.BASE_RINGS)]
     table = atoms.sparkSession.createDataFrame(
         [(n, i, len(a), x) for n, i, a in rules for x in a], "rule string, ring int, size int, atom string"
     )

@@ -1,16 +1,31 @@
-"""Alignments: one row per (family, row, col, letter); gaps are the letters that are not there."""
+"""Alignments: rows (family, row, seq); gaps are the characters that are not A-Z.
+
+Texts are cut into blocks of BLOCK columns in the scan, and every step works on a block at once: counts and masses of
+(column, letter) are summed as arrays, first inside each map task and then by (family, block); a row's share of a block's
+columns is one sum over the block's array. Single letters are never shuffled, and a block bounds every task however long
+a text or large a family is."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molframe.functions.chemistry import SIMILAR
-from molframe.functions.geom import snap, total
+from molframe.functions.geom import snap
 
 WGRID = 1e6
+BLOCK = 1024
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: rows of a family that meet one copy of a block's array; beyond it the array is copied
+TOGETHER = 2000
+#: arrays that a map task holds before it hands them on
+HELD = 128
 
 
 def explode_letters(seqs: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -19,30 +34,74 @@ def explode_letters(seqs: DataFrame, keep: list[str] = ()) -> DataFrame:
     return cells.filter(F.col("letter").rlike("[A-Z]"))
 
 
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+def blocks(seqs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """family, row, block, piece: the texts in blocks of columns, as bytes."""
+    n = F.ceil(F.length("seq") / BLOCK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("block"), F.substring(F.col("seq"), i * BLOCK + 1, F.lit(BLOCK)).cast("binary").alias("piece")))
+    return seqs.filter("length(seq) > 0").select("family", "row", *keep, F.explode(cut).alias("p")).select("family", "row", *keep, "p.block", "p.piece")
+
+
+def _cells(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and letters (0-25) of a piece."""
+    letter = np.frombuffer(piece, dtype=np.uint8).astype(np.int64) - 65
+    col = np.flatnonzero((letter >= 0) & (letter < 26))
+    return col, letter[col]
+
+
+def _sums(pieces: DataFrame, weight: str | None, finish, schema: str) -> DataFrame:
+    """The array (BLOCK x 26) of each family and block, counts or sums of `weight`, through `finish(array)`, which returns
+    columns; `schema` names family, block and those."""
+    kind = np.float64 if weight else np.int64
 
+    def out(held: dict) -> pa.RecordBatch:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        keys = sorted(held)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([squeeze.compress(held[k].tobytes()) for k in keys], pa.binary())], names=["family", "block", "part"])
 
-def _each(value: Column) -> list[Column]:
-    """One conditional sum per letter: a column is one row of 26 numbers, made in a single aggregate."""
-    return [F.sum(F.when(F.col("letter") == x, value).otherwise(F.lit(0).cast("bigint"))) for x in LETTERS]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            rows = [b.column(c).to_pylist() for c in ("family", "block", "piece", *([weight] if weight else []))]
+            for family, block, piece, *w in zip(*rows, strict=True):
+                if (family, block) not in held:
+                    if len(held) == HELD:
+                        yield out(held)
+                        held = {}
+                    held[family, block] = np.zeros(BLOCK * 26, dtype=kind)
+                col, letter = _cells(piece)
+                held[family, block][col * 26 + letter] += w[0] if weight else 1
+        if held:
+            yield out(held)
 
+    def total(t: pa.Table) -> pa.Table:
+        whole = np.zeros(BLOCK * 26, dtype=kind)
+        for part in t.column("part").to_pylist():
+            whole += np.frombuffer(zstandard.decompress(part), dtype=kind)
+        made = finish(whole.reshape(BLOCK, 26), t.column("block")[0].as_py())
+        n = len(next(iter(made.values())))
+        return pa.table({"family": pa.array([t.column("family")[0].as_py()] * n), "block": pa.array([t.column("block")[0].as_py()] * n, pa.int32()), **made})
 
-def column_counts(cells: DataFrame) -> DataFrame:
-    """family, col, k: how often each letter stands in the column."""
-    return cells.groupBy("family", "col").agg(F.array(*_each(F.lit(1).cast("bigint"))).alias("k"))
+    return pieces.mapInArrow(add, "family string, block int, part binary").groupBy("family", "block").applyInArrow(total, schema)
 
 
-def _at(letters: str) -> Column:
-    return total([F.col("k")[LETTERS.index(x)] for x in letters])
+def column_counts(seqs: DataFrame) -> DataFrame:
+    """family, col, present, types, top, grouped: letters in the column, kinds of them, the commonest one's count, and the
+    count of the commonest similarity group."""
+
+    def finish(k: np.ndarray, block: int) -> dict:
+        col = np.flatnonzero(k.sum(axis=1))
+        k = k[col]
+        grouped = np.max([k[:, [LETTERS.index(x) for x in g]].sum(axis=1) for g in SIMILAR], axis=0) if len(col) else np.zeros(0, np.int64)
+        top = k.max(axis=1) if len(col) else np.zeros(0, np.int64)
+        return {"col": pa.array((col + block * BLOCK).astype(np.int32)), "present": pa.array(k.sum(axis=1)), "types": pa.array((k > 0).sum(axis=1)), "top": pa.array(top), "grouped": pa.array(grouped)}
+
+    return _sums(blocks(seqs), None, finish, "family string, block int, col int, present long, types long, top long, grouped long").drop("block")
 
 
 def column_classes(seqs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Strict and similar columns: one letter in every row; one letter or similarity group in 0.7 of all rows."""
     n = seqs.groupBy("family").agg(F.count(F.lit(1)).alias("rows"))
-    col = column_counts(explode_letters(seqs)).withColumn("present", _at(LETTERS))
-    col = col.withColumn("types", total([(F.col("k")[i] > 0).cast("bigint") for i in range(26)])).withColumn("top", F.array_max("k"))
-    col = col.withColumn("grouped", F.greatest(*[_at(g) for g in SIMILAR]))
-    j = col.join(n, "family")
+    j = column_counts(seqs).join(n, "family")
     strict = (F.col("present") == F.col("rows")) & (F.col("types") == 1)
     share = F.greatest("top", "grouped") / F.col("rows")
     return j.select("family", "col", "present", "types", strict.alias("strict"), (~strict & (share >= threshold)).alias("similar"))
@@ -50,11 +109,31 @@ def column_classes(seqs: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 def henikoff_weights(seqs: DataFrame) -> DataFrame:
     """family, row, weight: each letter type of a column shares 1/types equally among its carriers; 1 in all."""
-    cells = explode_letters(seqs)
-    c = column_counts(cells).withColumn("types", total([(F.col("k")[i] > 0).cast("bigint") for i in range(26)]))
-    j = cells.join(c, ["family", "col"])
-    share = F.lit(1.0) / (F.col("types") * F.col("k")[F.ascii("letter") - 65])
-    w = j.groupBy("family", "row").agg(F.sum(share).alias("w"))
+
+    def shares(k: np.ndarray, block: int) -> dict:
+        types = (k > 0).sum(axis=1, keepdims=True)
+        share = np.divide(1.0, types * k, out=np.zeros(k.shape), where=k > 0)
+        return {"share": pa.array([zstandard.compress(share.tobytes(), 1)], pa.binary())}
+
+    pieces = blocks(seqs)
+    made = _sums(pieces, None, shares, "family string, block int, share binary")
+    # a large family's rows are dealt over copies of the array
+    copies = pieces.groupBy("family", "block").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("copies"))
+    dealt = pieces.join(copies, ["family", "block"]).withColumn("copy", F.pmod(F.xxhash64("row"), F.col("copies")).cast("int"))
+    arrays = made.join(copies, ["family", "block"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+
+    def weigh(rows: pa.Table, arrays: pa.Table) -> pa.Table:
+        share = np.frombuffer(zstandard.decompress(arrays.column("share")[0].as_py()), dtype=np.float64) if arrays.num_rows else np.zeros(BLOCK * 26)
+        w = []
+        for piece in rows.column("piece").to_pylist():
+            col, letter = _cells(piece)
+            w.append(float(share[col * 26 + letter].sum()))
+        return pa.table({"family": rows.column("family"), "row": rows.column("row"), "w": pa.array(w, pa.float64())})
+
+    key = ["family", "block", "copy"]
+    schema = f"family string, row {seqs.schema['row'].dataType.simpleString()}, w double"
+    parts = dealt.select(*key, "row", "piece").groupBy(*key).cogroup(arrays.select(*key, "share").groupBy(*key)).applyInArrow(weigh, schema)
+    w = parts.groupBy("family", "row").agg(F.sum("w").alias("w"))
     whole = w.groupBy("family").agg(F.sum("w").alias("total"))
     n = seqs.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     out = seqs.select("family", "row").join(w, ["family", "row"], "left").join(n, "family").join(whole, "family", "left")
@@ -63,23 +142,21 @@ def henikoff_weights(seqs: DataFrame) -> DataFrame:
 
 
 def conservation(seqs: DataFrame, weighted: bool = True) -> DataFrame:
-    """family, col, conservation: 1 - entropy / log 20 of the letters present, scaled by the mass present. The
-    weight rides on the row into the explode, so the cells are shuffled once."""
-    w = henikoff_weights(seqs) if weighted else None
-    if w is None:
-        n = seqs.groupBy("family").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-        s = seqs.join(n, "family")
+    """family, col, conservation: 1 - entropy / log 20 of the letters present, scaled by the mass present."""
+    if weighted:
+        s = seqs.join(henikoff_weights(seqs), ["family", "row"])
     else:
-        s = seqs.join(w, ["family", "row"])
-    mass = explode_letters(s, ["weight"]).groupBy("family", "col").agg(
-        *[F.sum(F.when(F.col("letter") == x, F.col("weight"))).alias("m" + x) for x in LETTERS]
-    )
-    m = [F.coalesce(F.col("m" + x), F.lit(0.0)) for x in LETTERS]
-    col = mass.select("family", "col", total(m).alias("present"), total([F.when(v > 0, v * F.ln(v)).otherwise(0.0) for v in m]).alias("s"))
-    col = col.filter("present > 0")
-    h = F.ln("present") - F.col("s") / F.col("present")
-    raw = (F.lit(1.0) - h / F.lit(math.log(20))) * F.col("present")
-    return col.select("family", "col", F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)).alias("conservation"))
+        s = seqs.join(seqs.groupBy("family").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight")), "family")
+
+    def finish(m: np.ndarray, block: int) -> dict:
+        present = m.sum(axis=1)
+        col = np.flatnonzero(present > 0)
+        m, present = m[col], present[col]
+        entropy = np.log(present) - (m * np.log(np.where(m > 0, m, 1.0))).sum(axis=1) / present
+        raw = (1.0 - entropy / math.log(20)) * present
+        return {"col": pa.array((col + block * BLOCK).astype(np.int32)), "conservation": pa.array(np.clip(raw, 0.0, 1.0))}
+
+    return _sums(blocks(s, ["weight"]), "weight", finish, "family string, block int, col int, conservation double").drop("block")
 
 
 def grades(df: DataFrame, keys: list[str], score: str, step: float = 0.5) -> DataFrame:

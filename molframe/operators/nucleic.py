@@ -79,7 +79,7 @@ def base_pair_candidates(nts: DataFrame, strict: float = 3.8, stretched: float =
 
     `nts` needs entry, strand, pos (place over the whole chain), idx and what `nucleotides` gives."""
     spark = nts.sparkSession
-    rules = spark.createDataFrame(chem.pair_rows(), "pur string, pyr string, bonds array<struct<p:string,q:string>>, need int, kind string")
+    rules = spark.createDataFrame(chem.BASE_PAIRS, "pur string, pyr string, bonds array<struct<p:string,q:string>>, need int, kind string")
     c = nts.filter("base is not null and c1 is not null").select(
         "entry", "chain", "strand", "pos", "idx", "base", "at", "turned", "normal", "gly", F.col("c1.x").alias("x"), F.col("c1.y").alias("y"), F.col("c1.z").alias("z")
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from molframe.plans.ordered import Ordered
 from molframe.plans.ranks import attach
-from molframe.plans.rounds import first_by
 
 
 def seeded(seed: str, *parts: Column) -> Column:
@@ -32,15 +31,14 @@ def hash_split(df: DataFrame, ident: str, seed: str, share: float) -> DataFrame:
     return p.withColumn("part", F.when(F.col("place") <= F.floor(F.col("_n") * share + 0.5), "check").otherwise("tune")).drop("_n")
 
 
-def stratified_draw(pool: DataFrame, ident: str, by: list[str], seed: str, k: int, accept: Column, reason: Column, look: int = 200) -> DataFrame:
-    """The first `k` accepted ids of each stratum and size bin in seeded order, among the first `look`, and the ids
-    refused before the last one taken, each with its reason."""
+def stratified_draw(pool: DataFrame, ident: str, by: list[str], seed: str, k: int, accept: Column, reason: Column) -> DataFrame:
+    """The first `k` accepted ids of each stratum and size bin in seeded order, and the ids refused before the last one
+    taken, each with its reason. The order is walked until k are accepted or the stratum ends."""
     d = pool.withColumn("_h", seeded(seed, *[F.col(b) for b in by], F.col(ident))).withColumn("_ok", accept).withColumn("reason", reason)
-    d = first_by(d, by, [F.col("_h")], look, "place")
-    w = Window.partitionBy(*by).orderBy("_h")
-    d = d.withColumn("_got", F.sum(F.col("_ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = _ranked(d, by).row_number("place").running_sum(F.col("_ok").cast("bigint"), "_got").done()
     seen = (F.col("_got") < k) | (F.col("_ok") & (F.col("_got") == k))
-    return d.filter(seen).withColumn("taken", F.col("_ok")).select(*by, ident, "place", "taken", F.when(~F.col("_ok"), F.col("reason")).alias("reason"))
+    d = d.filter(seen).withColumn("taken", F.col("_ok")).withColumn("place", F.col("place").cast("int"))
+    return d.select(*by, ident, "place", "taken", F.when(~F.col("_ok"), F.col("reason")).alias("reason"))
 
 
 def largest_remainder(units: DataFrame, stratum: str, size: int) -> DataFrame:
@@ -83,18 +81,18 @@ def strata_shortfall(targets: DataFrame, drawn: DataFrame, stratum: str) -> Data
     return out.withColumn("short", F.greatest(F.col("target") - F.col("drawn"), F.lit(0)).cast("bigint"))
 
 
-def pair_states(pool: DataFrame, accession: str, ident: str, kind: str, wanted: int, seed: str, look: int = 8) -> DataFrame:
-    """For each accession a seed (first in seeded order) with the first of its next `look` entries of another kind;
-    then the first `wanted` pairs of every pair of kinds. One partner list per accession, never all pairs."""
+def pair_states(pool: DataFrame, accession: str, ident: str, kind: str, seed: str) -> DataFrame:
+    """For each accession a seed (first in seeded order) with the next entry of another kind, and the pair's `place` in
+    seeded order among the pairs of its two kinds; a caller with a quota keeps the first places."""
     d = pool.withColumn("_h", seeded(seed, F.col(ident)))
-    d = first_by(d, [accession], [F.col("_h")], look + 1, "place")
-    head = d.filter("place = 1").select(accession, F.col(ident).alias("seed"), F.col(kind).alias("kind_a"))
-    rest = d.filter("place > 1").select(accession, F.col(ident).alias("partner"), F.col(kind).alias("kind_b"), "place")
-    j = rest.join(head, accession).filter("kind_a <> kind_b")
-    one = j.groupBy(accession, "seed", "kind_a").agg(F.min(F.struct("place", "partner", "kind_b")).alias("b"))
-    one = one.select(accession, "seed", "kind_a", F.col("b.partner").alias("partner"), F.col("b.kind_b").alias("kind_b"))
+    first = F.struct("_h", F.col(ident).alias("i"), F.col(kind).alias("k"))
+    head = d.groupBy(accession).agg(F.min(first).alias("_s")).select(accession, F.col("_s.i").alias("seed"), F.col("_s.k").alias("kind_a"))
+    rest = d.join(head, accession).filter(F.col(kind) != F.col("kind_a"))
+    one = rest.groupBy(accession, "seed", "kind_a").agg(F.min(first).alias("b"))
+    one = one.select(accession, "seed", "kind_a", F.col("b.i").alias("partner"), F.col("b.k").alias("kind_b"))
     one = one.withColumn("_h", seeded(seed, F.col("seed")))
-    return first_by(one, ["kind_a", "kind_b"], [F.col("_h")], wanted, "place").drop("_h")
+    ranked = _ranked(one, ["kind_a", "kind_b"]).row_number("place").done()
+    return ranked.withColumn("place", F.col("place").cast("int")).drop("_h")
 
 
 def homology_draw(domains: DataFrame, seed: str) -> DataFrame:

@@ -117,7 +117,7 @@ def parts(spark, sf):
 
 ROLES = "roles(rule, atom, role, ante, h, rot) AS (VALUES " + ", ".join(
     "('{}', '{}', '{}', {}, {}, {})".format(r, a.replace("'", "''"), role, "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in ante) + "]::VARCHAR[]", h, str(rot).lower())
-    for r, a, role, ante, h, rot in chem.site_rows()
+    for r, a, role, ante, h, rot in chem.SITES
 ) + ")"
 SITES = f"""res AS (SELECT chain, seq, kind, resname, list(atom) AS names, min(idx) AS place FROM pol GROUP BY ALL),
 carb AS (SELECT chain, seq, x, y, z FROM pol WHERE atom = 'C' AND kind = 'protein'),
@@ -162,7 +162,7 @@ def hbonds(spark, sf):
 
 
 RINGS = "rings(rule, ring, size, atom) AS (VALUES " + ", ".join(
-    f"('{n}', {i}, {len(r.split())}, '{a}')" for n, rs in [*chem.RINGS.items(), ("#", chem.BASE_RINGS)] for i, r in enumerate(rs) for a in r.split()
+    f"('{n}', {i}, {len(r)}, '{a}')" for n, rs in [*chem.RINGS.items(), ("#", chem.BASE_RINGS)] for i, r in enumerate(rs) for a in r
 ) + ")"
 
 

@@ -54,7 +54,7 @@ def passes(spark, sf):
 @query("count_check", "D22", with_(B.CAMP) + """, b AS (SELECT stratum, source, entry, size, size > 6000 AS bad FROM camp),
 w AS (SELECT *, row_number() OVER (PARTITION BY stratum, source ORDER BY entry) AS k FROM b WHERE bad)
 SELECT stratum, source, count(*) AS views, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE bad) = 0 AS passes,
- coalesce((SELECT string_agg(w.entry, ', ' ORDER BY w.entry) FROM w WHERE w.stratum = b.stratum AND w.source = b.source AND k <= 5), '') AS "where" FROM b GROUP BY stratum, source""")
+ coalesce((SELECT string_agg(w.entry, ', ' ORDER BY w.entry) FROM w WHERE w.stratum = b.stratum AND w.source = b.source), '') AS "where" FROM b GROUP BY stratum, source""")
 def count_check(spark, sf):
     return C.count_check(B.campaign(spark, sf), ["stratum", "source"], "entry", "size", 6000)
 
@@ -171,7 +171,7 @@ def split(spark, sf):
 
 @query("stratified_draw", "I1", with_(B.CAMP) + f""", r AS (SELECT *, {BIN} AS bin, sha256('3:' || stratum || ':' || {BIN} || ':' || entry) AS h FROM camp),
 p AS (SELECT *, row_number() OVER (PARTITION BY stratum, bin ORDER BY h) AS place FROM r),
-g AS (SELECT *, count(*) FILTER (WHERE q) OVER (PARTITION BY stratum, bin ORDER BY h) AS got FROM p WHERE place <= 200)
+g AS (SELECT *, count(*) FILTER (WHERE q) OVER (PARTITION BY stratum, bin ORDER BY h) AS got FROM p)
 SELECT stratum, bin, entry, place::INT AS place, coalesce(q, false) AS taken, CASE WHEN coalesce(q, false) THEN NULL WHEN q IS NULL THEN 'not judged' ELSE 'poor' END AS reason
 FROM g WHERE got < 4 OR (q AND got = 4)""")
 def draw(spark, sf):
@@ -214,12 +214,12 @@ def shortfall(spark, sf):
 
 @query("pair_states", "I6", with_(B.CAMP) + f""", r AS (SELECT *, {BIN} AS kind, row_number() OVER (PARTITION BY source ORDER BY sha256('2:' || entry)) AS place FROM camp),
 j AS (SELECT s.source, s.entry AS seed, s.kind AS kind_a, p.entry AS partner, p.kind AS kind_b, row_number() OVER (PARTITION BY s.source ORDER BY p.place) AS k
- FROM r s JOIN r p ON p.source = s.source AND s.place = 1 AND p.place BETWEEN 2 AND 9 AND p.kind <> s.kind),
+ FROM r s JOIN r p ON p.source = s.source AND s.place = 1 AND p.place >= 2 AND p.kind <> s.kind),
 w AS (SELECT *, row_number() OVER (PARTITION BY kind_a, kind_b ORDER BY sha256('2:' || seed)) AS place FROM j WHERE k = 1)
-SELECT source, seed, kind_a, partner, kind_b, place::INT AS place FROM w WHERE place <= 3""")
+SELECT source, seed, kind_a, partner, kind_b, place::INT AS place FROM w""")
 def states(spark, sf):
     c = B.campaign(spark, sf).withColumn("kind", S.size_bin(F.col("size")))
-    return S.pair_states(c, "source", "entry", "kind", 3, "2")
+    return S.pair_states(c, "source", "entry", "kind", "2")
 
 
 @query("homology_draw", "I8", with_(B.CAMP) + f""", d AS (SELECT entry AS domain, source AS cluster, stratum || '.' || {BIN} AS superfamily, sha256('4:' || entry) AS h FROM camp),
@@ -255,9 +255,9 @@ def wrapped(spark, sf):
     return d.select("entry", T.wrap_list(F.col("items"), 5).alias("shown"))
 
 
-@query("clean_json", "K9", with_(B.CAMP) + """ SELECT entry, '{"judged":' || CASE WHEN q IS NULL THEN 'null' ELSE (q::INT)::VARCHAR || '.0' END || ',"size":' || size || '.0}' AS doc FROM camp WHERE size < 1000000""")
+@query("clean_json", "K9", with_(B.CAMP) + """ SELECT entry, '{"judged":' || CASE WHEN q IS NULL THEN 'null' ELSE (q::INT)::VARCHAR || '.0' END || ',"size":' || size || '.0}' AS doc FROM camp""")
 def doc(spark, sf):
-    c = B.campaign(spark, sf).filter("size < 1000000")
+    c = B.campaign(spark, sf)
     m = F.create_map(F.lit("size"), F.col("size").cast("double"), F.lit("judged"), F.coalesce(F.col("q").cast("double"), F.lit(float("nan"))))
     return c.select("entry", T.clean_json(m).alias("doc"))
 

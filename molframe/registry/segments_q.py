@@ -141,10 +141,10 @@ def order(spark, sf):
     return Ordered(t, ["chain"], ["number", "icode", "k"], F.col("number").cast("bigint")).row_number("place").done().select("k", "number", "icode", "place")
 
 
-@query("best_structures", "F3", with_(B.SEG) + """ SELECT chain, domain, row_number() OVER (PARTITION BY chain ORDER BY floor(price / 50000) DESC, coalesce(CASE WHEN status = 'P' THEN NULL ELSE price % 10 END, 99), domain)::INT AS rank FROM seg QUALIFY rank <= 5""")
+@query("best_structures", "F3", with_(B.SEG) + """ SELECT chain, domain, row_number() OVER (PARTITION BY chain ORDER BY floor(price / 50000) DESC, coalesce(CASE WHEN status = 'P' THEN NULL ELSE price % 10 END, 99), domain)::INT AS rank FROM seg""")
 def best(spark, sf):
     s = B.segments(spark, sf).withColumn("coverage", F.floor(F.col("price") / 50000)).withColumn("resolution", F.when(F.col("status") != "P", F.col("price") % 10))
-    return A.best_structures(s, ["chain"], "coverage", "resolution", "domain", 5).select("chain", "domain", "rank")
+    return A.best_structures(s, ["chain"], "coverage", "resolution", "domain").select("chain", "domain", "rank")
 
 
 @query("release_window", "B14", """SELECT o_orderkey AS k FROM orders WHERE o_orderdate::DATE > DATE '1996-03-31' AND o_orderdate::DATE <= DATE '1997-06-30'""")
@@ -175,10 +175,8 @@ def header(spark, sf):
     return n.select("n_nationkey", T.normalise_header(F.concat(F.lit(" "), F.col("n_name"), F.lit(".A-b "))).alias("header"))
 
 
-@query("letters", "K5", """WITH k AS (SELECT o_orderkey AS n FROM orders)
-SELECT n, CASE WHEN n < 26 THEN chr((65 + n)::INT) WHEN n < 702 THEN chr((65 + (n - 26) // 26)::INT) || chr((65 + (n - 26) % 26)::INT)
- WHEN n < 18278 THEN chr((65 + (n - 702) // 676)::INT) || chr((65 + (n - 702) // 26 % 26)::INT) || chr((65 + (n - 702) % 26)::INT)
- ELSE chr((65 + (n - 18278) // 17576)::INT) || chr((65 + (n - 18278) // 676 % 26)::INT) || chr((65 + (n - 18278) // 26 % 26)::INT) || chr((65 + (n - 18278) % 26)::INT) END AS letters FROM k""")
+@query("letters", "K5", """WITH RECURSIVE k(n, rest, t) AS (SELECT o_orderkey, o_orderkey, '' FROM orders UNION ALL SELECT n, rest // 26 - 1, chr((65 + rest % 26)::INT) || t FROM k WHERE rest >= 0)
+SELECT n, t AS letters FROM k WHERE rest < 0""")
 def letters(spark, sf):
     return B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("n"), T.letters(F.col("o_orderkey")).alias("letters"))
 

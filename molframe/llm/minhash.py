@@ -6,9 +6,10 @@ in less than half is dropped (at 0.75 that is 6.5 deviations away), any other is
 
 A band's documents are not paired with each other. First each is checked against the band's smallest. Then only bands
 whose documents are still in different components go on, split by set size: linked sets differ by a quarter of their size
-at most, so a document meets its own and the next size class. There signatures are compared inside tasks of BLOCK times
-BLOCK documents, and only pairs of different components that agree come out. A pair goes unchecked only if its two
-documents are already connected, so the components are those of all links that the bands can find."""
+at most, so a document meets its own and the next size class. There signatures, then full sets, are compared inside tasks
+of BLOCK times BLOCK documents, a pair in the first band it shares, and only links between different components come out.
+A pair goes unchecked only if its two documents are already connected, so the components are those of all links that the
+bands can find."""
 
 from __future__ import annotations
 
@@ -24,6 +25,7 @@ from .common import by_key, cut, flat, parts, portions, raw, release
 from .repeats import _grams, word_hashes, words_of
 
 HASHES, ROWS = 128, 4
+BANDS = HASHES // ROWS  # a power of two
 LEAST_AGREEMENT = 0.5
 BLOCK = 2048
 _RNG = np.random.default_rng(5)
@@ -87,7 +89,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def bands(signs: DataFrame) -> DataFrame:
-    """(key, doc_id), a row for each document and band."""
+    """(key, doc_id), a row for each document and band. The last bits of a key are the band's number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,7 +100,8 @@ def bands(signs: DataFrame) -> DataFrame:
             for r in range(ROWS):
                 key = (key ^ sig[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            ids = np.repeat(b.column("doc_id").to_numpy(), sig.shape[1])
+            key = key & ~np.uint64(BANDS - 1) | np.arange(BANDS, dtype=np.uint64)
+            ids = np.repeat(b.column("doc_id").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(ids)], names=["key", "doc_id"])
 
     return signs.select("doc_id", "signature").mapInArrow(work, "key long, doc_id long")
@@ -117,26 +120,29 @@ def agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long")
 
 
-def close_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of one band, of different components, whose sizes and signatures allow a link.
-
-    `rows` has key, doc_id, component, n_shingles, signature. A size class goes up to 4/3 of its least size."""
+def close_pairs(rows: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Linked pairs (a, b) of one band and of different components. `rows` has key, doc_id, component, n_shingles; `signs`
+    and `sets` hold the documents' signatures and shingles. A size class goes up to 4/3 of its least size."""
     size = F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     met = rows.withColumn("home", size).withColumn("meet", F.explode(F.array("home", F.col("home") + 1)))
     counts = met.groupBy("key", "meet").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     dealt = met.join(counts, ["key", "meet"]).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
+    dealt = dealt.drop("n", "n_shingles", "blocks", "other").join(sets, "doc_id").join(signs.select("doc_id", "signature"), "doc_id")
 
     def work(t: pa.Table) -> pa.Table:
         t = t.sort_by([(c, "ascending") for c in ("key", "meet", "x", "y", "doc_id")])
         names = ("key", "meet", "x", "y", "doc_id", "component", "mine", "home")
         key, meet, x, y, doc, comp, mine, home = (t.column(c).to_numpy() for c in names)
         sig = np.frombuffer(flat(t.column("signature"))[0].tobytes(), dtype=np.uint32).reshape(len(key), -1)
+        lists = t.column("shingles").combine_chunks()
+        values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
         turn = (key[1:] != key[:-1]) | (meet[1:] != meet[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         edge = np.flatnonzero(np.concatenate([[True], turn, [True]]))
         a, b = [], []
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            band = int(key[s]) & (BANDS - 1)
             for i in range(s, e - 1):
                 other = np.arange(i + 1, e)
                 # two guests have met in their own class; in a task of two blocks only documents of both
@@ -144,14 +150,23 @@ def close_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                 if x[i] != y[i]:
                     use &= mine[other] != mine[i]
                 other = other[use]
-                hit = other[(sig[other] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
-                a += [doc[i]] * len(hit)
-                b += doc[hit].tolist()
+                if not len(other):
+                    continue
+                same = sig[other] == sig[i]
+                other, same = other[near := same.mean(axis=1) >= LEAST_AGREEMENT], same[near]
+                first = same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                own = values[at[i] : at[i + 1]]
+                for j in other[first == band].tolist():
+                    theirs = values[at[j] : at[j + 1]]
+                    shared = len(np.intersect1d(own, theirs, assume_unique=True))
+                    if 100 * shared >= percent * (len(own) + len(theirs) - shared):
+                        a.append(doc[i])
+                        b.append(doc[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    n = 4 * parts(rows.sparkSession)
+    n = 16 * parts(rows.sparkSession)
     bucket = F.pmod(F.xxhash64("key", "meet", "x", "y"), F.lit(n)).alias("bucket")
-    return dealt.drop("n", "n_shingles", "blocks", "other").groupBy(bucket).applyInArrow(work, "a long, b long").distinct()
+    return dealt.groupBy(bucket).applyInArrow(work, "a long, b long")
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -215,8 +230,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     found = components(links)
     labelled = rest.join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_ = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    near = cut(close_pairs(labelled.join(open_, "key").join(own, "doc_id")))
-    fresh = cut(linked(near, sets, percent))
+    sizes = own.select("doc_id", "n_shingles")
+    fresh = cut(close_pairs(labelled.join(open_, "key").join(sizes, "doc_id"), own, sets, percent))
     if not fresh.isEmpty():
         found = components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(fresh))
     release(docs.sparkSession)

@@ -55,18 +55,24 @@ def test_chain_of_near_texts(spark):
 
 
 def test_pairs_of_a_band_in_blocks(spark):
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**32, (6, 128), dtype=np.uint32)
-    rows, sig = [], {}
+    rows, sets = [], {}
     for i in range(60):
-        s = base[i % 6].copy()
-        s[rng.permutation(128)[: rng.integers(0, 50)]] = 1
-        sig[i] = s
-        rows.append((1 + i // 50, i, i % 15, int(60 + 2 * i), s.tobytes()))
-    table = spark.createDataFrame(rows, "key long, doc_id long, component long, n_shingles long, signature binary")
-    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and (sig[a[1]] == sig[b[1]]).mean() >= 0.5 and 4 * a[3] >= 3 * b[3]}
-    got = {block: {tuple(sorted(r)) for r in minhash.close_pairs(table, block).collect()} for block in (2048, 7)}
-    assert want <= got[2048] and got[7] == got[2048]
+        n = 60 + i
+        sets[i] = np.unique(np.concatenate([np.arange(n - i % 7 * 4), 1000 * (i + 1) + np.arange(i % 7 * 4)]).astype(np.uint64))
+        sign = minhash.signatures([sets[i]])[0]
+        rows.append((i, i % 15, len(sets[i]), sign.tobytes(), [int(x) for x in sets[i]]))
+    table = spark.createDataFrame(rows, "doc_id long, component long, n_shingles long, signature binary, shingles array<long>")
+    banded = minhash.bands(table).join(table.select("doc_id", "component", "n_shingles"), "doc_id")
+
+    def near(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return a < b and a % 15 != b % 15 and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)
+
+    want = {(a, b) for a in sets for b in sets if near(a, b)}
+    assert len(want) > 100
+    for block in (2048, 7):
+        got = [tuple(sorted(r)) for r in minhash.close_pairs(banded, table, table.select("doc_id", "shingles"), 75, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_components_of_a_path_and_a_star(spark):

@@ -14,6 +14,8 @@ from molframe.llm.common import cut, release, table
 
 #: a document whose language is less certain than this goes, as do those without letters
 LEAST_SCORE = 0.4
+#: targets are token shares to this power: near one, so that most documents stay
+MIX_POWER = 0.95
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose expected tokens follow flattened shares of sources, languages and topics."""
-    kept = cut(mixing.mix(docs).filter("kept").select("doc_id").distinct())
+    kept = cut(mixing.mix(docs, MIX_POWER).filter("kept").select("doc_id").distinct())
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -113,8 +113,12 @@ HYDROPATHY = {
 SIMILAR = ["STA", "NEQK", "NHQK", "NDEQ", "QHRK", "MILV", "MILF", "HY", "FYW"]
 
 
+def is_heavy(elem: Column) -> Column:
+    return ~F.coalesce(F.upper(elem).isin("H", "D"), F.lit(False))
+
+
 def polymer_kind(resname: Column) -> Column:
-    """protein, nucleic or null, by residue name."""
+    """protein, nucleic or null, by the name of a standard residue."""
     return F.when(resname.isin(AMINO), F.lit("protein")).when(resname.isin(NUCLEOTIDES), F.lit("nucleic"))
 
 

@@ -6,6 +6,7 @@ its candidate atoms first (tens of them per hundred residues) and then joins by
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -24,26 +25,28 @@ SIDE = ["chain", "seq", "icode", "atom"]
 
 
 class Selection(NamedTuple):
-    """Which partners count: off, na (protein with nucleic acid), interchain, or the chains of given pairs."""
+    """Partners that a finder may report. `kind` is the rule's first word; `pairs` is filled for `chains` alone."""
 
     kind: str
     pairs: tuple[tuple[str, str], ...] = ()
 
 
+RULE = re.compile(r"\s*(?:(?P<word>off|na|interchain)|chains:(?P<list>.+))\s*", re.IGNORECASE)
+PAIR = re.compile(r"\s*([^+,\s]+)\s*\+\s*([^+,\s]+)\s*")
+
+
 def parse_selection(text: str) -> Selection:
-    value = text.strip()
-    if value.lower() in ("off", "na", "interchain"):
-        return Selection(value.lower())
-    head, _, rest = value.partition(":")
-    if head.lower() != "chains":
-        raise ValueError(f"{value!r} is not off, na, interchain or chains:A+B,C+D")
-    pairs = set()
-    for item in rest.split(","):
-        ends = [e.strip() for e in item.split("+")]
-        if len(ends) != 2 or not all(ends) or ends[0] == ends[1]:
-            raise ValueError(f"{item.strip()!r} is not a pair of two chains like A+B")
-        pairs.add(tuple(sorted(ends)))
-    return Selection("chains", tuple(sorted(pairs)))
+    """The grammar `off | na | interchain | chains:A+B,C+D`; a chain is never paired with itself."""
+    rule = RULE.fullmatch(text)
+    if rule is None:
+        raise ValueError(f"cannot read the selection {text!r}: give off, na, interchain, or chains: with pairs such as A+B")
+    if rule["word"]:
+        return Selection(rule["word"].lower())
+    read = [(part, PAIR.fullmatch(part)) for part in rule["list"].split(",")]
+    wrong = [part for part, m in read if m is None or m[1] == m[2]]
+    if wrong:
+        raise ValueError(f"cannot read the chain pairs {', '.join(map(repr, wrong))} of {text!r}")
+    return Selection("chains", tuple(sorted({(min(m.groups()), max(m.groups())) for _, m in read})))
 
 
 def require_chains(atoms: DataFrame, sel: Selection) -> None:
@@ -73,8 +76,35 @@ def allowed(sel: Selection) -> Column:
     return hit
 
 
+def with_kind(atoms: DataFrame) -> DataFrame:
+    """Heavy atoms with `kind`: protein, nucleic, or null for anything that is no polymer.
+
+    Where the file gives entity types (column `entity_type`), only polymer entities count, so a free amino acid or
+    nucleotide is a ligand, and a modified residue is told by its atoms: C1', C4' and O4' make a nucleotide, N, CA and C
+    an amino acid. Without entity types the standard names decide."""
+    heavy = atoms.filter(chem.is_heavy(F.col("elem")))
+    named = chem.polymer_kind(F.col("resname"))
+    if "entity_type" not in atoms.columns:
+        return heavy.withColumn("kind", named)
+    polymer = F.col("entity_type") == "polymer"
+    odd = heavy.filter(polymer & named.isNull())
+    names = odd.groupBy(*RES, "resname").agg(F.collect_set("atom").alias("_names"))
+    holds = lambda *parts: F.size(F.array_intersect("_names", F.array(*map(F.lit, parts)))) == len(parts)
+    told = F.when(holds("C1'", "C4'", "O4'"), "nucleic").when(holds("N", "CA", "C"), "protein")
+    odd = odd.join(names.select(*RES, "resname", told.alias("kind")), [*RES, "resname"])
+    plain = heavy.filter(~F.coalesce(polymer, F.lit(False)) | named.isNotNull())
+    # a null type: the file names none for this residue
+    return plain.withColumn("kind", F.when(F.coalesce(polymer, F.lit(True)), named)).unionByName(odd)
+
+
 def polymer_atoms(atoms: DataFrame) -> DataFrame:
-    return atoms.withColumn("kind", chem.polymer_kind(F.col("resname"))).filter(F.col("kind").isNotNull())
+    """Heavy atoms of polymer residues, with `kind`. Every finder starts from these."""
+    return with_kind(atoms).filter(F.col("kind").isNotNull())
+
+
+def free_atoms(atoms: DataFrame) -> DataFrame:
+    """Heavy atoms of molecules: neither polymer, water nor dummy."""
+    return with_kind(atoms).filter(F.col("kind").isNull() & ~F.col("resname").isin([*chem.WATER, "DUM"])).drop("kind")
 
 
 def bonds(atoms: DataFrame, r: float) -> DataFrame:
@@ -338,8 +368,7 @@ def disulfides(atoms: DataFrame, most: float = 2.5) -> DataFrame:
 
 def molecule_parts(atoms: DataFrame, additives: list[str] = ()) -> DataFrame:
     """Residues that are neither polymer, water nor dummy, with heavy-atom count, metal and additive flags."""
-    free = chem.polymer_kind(F.col("resname")).isNull() & ~F.col("resname").isin(chem.WATER + ["DUM"])
-    m = atoms.filter(free & ~F.col("elem").isin("H", "D"))
+    m = free_atoms(atoms)
     return m.groupBy(*RES, "resname").agg(
         F.count(F.lit(1)).alias("heavy"), ((F.count(F.lit(1)) == 1) & F.max(chem.is_metal(F.col("elem")))).alias("metal"),
         F.lit(False).alias("additive") if not additives else F.first(F.col("resname").isin(list(additives))).alias("additive"),
@@ -348,8 +377,7 @@ def molecule_parts(atoms: DataFrame, additives: list[str] = ()) -> DataFrame:
 
 def ligand_contacts(atoms: DataFrame, most: float = 4.0, metal: float = 3.1) -> DataFrame:
     """Each (molecule, polymer residue) in touch: heavy atoms within 4.0, a metal's within 3.1 of O, N or S."""
-    free = chem.polymer_kind(F.col("resname")).isNull() & ~F.col("resname").isin(chem.WATER + ["DUM"])
-    lig = atoms.filter(free).withColumn("is_metal", chem.is_metal(F.col("elem")))
+    lig = free_atoms(atoms).withColumn("is_metal", chem.is_metal(F.col("elem")))
     pol = polymer_atoms(atoms)
     near = pairs_between(
         lig.select(*RES, "resname", "elem", "is_metal", "idx", "x", "y", "z"),
@@ -365,8 +393,7 @@ def ligand_contacts(atoms: DataFrame, most: float = 4.0, metal: float = 3.1) ->
 
 def covalent_attachments(atoms: DataFrame, most: float = 1.9) -> DataFrame:
     """Polymer residues joined to a free group by a heavy-atom pair within 1.9."""
-    free = chem.polymer_kind(F.col("resname")).isNull() & ~F.col("resname").isin(chem.WATER + ["DUM"])
-    near = pairs_between(atoms.filter(free & ~chem.is_metal(F.col("elem"))), polymer_atoms(atoms), most)
+    near = pairs_between(free_atoms(atoms).filter(~chem.is_metal(F.col("elem"))), polymer_atoms(atoms), most)
     return near.groupBy(
         "entry", *[F.col(k + "_a").alias("ligand_" + k) for k in ("chain", "seq", "icode")],
         *[F.col(k + "_b").alias(k) for k in ("chain", "seq", "icode")],

@@ -37,6 +37,13 @@ def parent_base(names: Column) -> Column:
     )
 
 
+def _by_name(found: Column) -> Column:
+    """(name, place) entries from (name, idx, place), the first in the file where a name is repeated."""
+    rows = F.array_sort(found)
+    first = F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["atom"] != r["atom"]))
+    return F.transform(first, lambda r: F.struct(r["atom"], r["at"]))
+
+
 def nucleotides(atoms: DataFrame) -> DataFrame:
     """One row per nucleotide: atoms by name, C1', glycosidic vector, base normal and its place in the strand."""
     n = polymer_atoms(atoms).filter("kind = 'nucleic'")
@@ -45,7 +52,7 @@ def nucleotides(atoms: DataFrame) -> DataFrame:
     u = {c: F.when(ring, F.col(c)) for c in "xyz"}
     pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
     g = n.groupBy(*RES, "resname").agg(
-        F.map_from_entries(F.collect_list(F.struct("atom", at))).alias("at"), F.collect_set("atom").alias("names"),
+        F.map_from_entries(_by_name(F.collect_list(F.struct("atom", "idx", at.alias("at"))))).alias("at"), F.collect_set("atom").alias("names"),
         F.min("idx").alias("idx"), F.count_if(ring).alias("k"), *[F.avg(u[c]).alias("m" + c) for c in "xyz"],
         *[F.sum(u[p[0]] * u[p[1]]).alias("s" + p) for p in pairs],
     )

@@ -6,20 +6,44 @@ one task and a block holds at least one byte a line, so `idx` grows along the fi
 
 from __future__ import annotations
 
+import posixpath
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.plans.ordered import Ordered, block_of
+from molframe.session import cut
 
 ROW = (1 << 33) - 1
 TOKEN = r"""'(?:[^']|'(?=\S))*'(?=\s|$)|"(?:[^"]|"(?=\S))*"(?=\s|$)|\S+"""
 
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+ENDINGS = r"\.[^./]+(\.(gz|bz2|zst|lz4))?$"
+
+
+def entry_of(paths: str | list[str]) -> Column:
+    """The entry of a file: its path below the given folder (the common one of several), without the format's ending.
+    So two files of one name in two folders, or `1abc.cif` and `1abc.assembly1.cif`, stay two entries."""
+    folders = []
+    for p in [paths] if isinstance(paths, str) else paths:
+        bare = re.sub(SCHEME, "", p)
+        fixed = re.split(r"[*?\[{]", bare)[0]
+        is_file = fixed != bare or "." in posixpath.basename(bare.rstrip("/"))
+        folders.append(posixpath.dirname(fixed) if is_file else bare.rstrip("/"))
+    root = posixpath.commonpath(folders) if all(f.startswith("/") for f in folders) else None
+    path = F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "")
+    name = F.col("_metadata.file_name")
+    below = name if root is None else F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 2, 1 << 20)).otherwise(name)
+    return F.regexp_replace(below, ENDINGS, "")
+
+
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """entry (file name without its extension), idx, value."""
+    """entry, idx, value."""
     d = spark.read.text(paths).withColumn(
         "idx", F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit(ROW))
-    ).withColumn("entry", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
+    ).withColumn("entry", entry_of(paths))
     return d.select("entry", "idx", "value")
 
 
@@ -75,31 +99,77 @@ def read_membrane_planes(spark: SparkSession, paths: str | list[str]) -> DataFra
 
 
 # ---------------------------------------------------------------- mmCIF loops
+def _clean(t: Column) -> Column:
+    """A token's value: unquoted `?` and `.` are null, quotes go."""
+    return F.when(t.isin("?", "."), F.lit(None)).otherwise(F.regexp_replace(t, r"^(['\"])(.*)\1$", "$2"))
+
+
+def _tokens(value: Column) -> Column:
+    """Tokens of a line up to a comment; a quoted token keeps its blanks."""
+    found = F.regexp_extract_all(value, F.lit(TOKEN), F.lit(0))
+    comment = F.array_position(F.transform(found, lambda t: t.startswith("#")), F.lit(True)).cast("int")
+    return F.when(comment > 0, F.slice(found, 1, comment - 1)).otherwise(found)
+
+
+def _cells_of_stream(d: DataFrame, category: str) -> DataFrame:
+    """entry, idx, cells of a category from all tokens in order, for files whose rows wrap or hold text blocks.
+
+    A block between lines that begin with `;` is one token. A value belongs to the name before it: in a loop that is the
+    last name of the header, and the values' numbers, divided by the columns, give row and column. A last row that is
+    short keeps the cells it has."""
+    semi = F.col("value").startswith(";")
+    # both steps read their rows several times, so each is written once
+    d = cut(Ordered(d, ["entry"], ["idx"], block_of(F.col("idx"))).running_sum(semi.cast("bigint"), "_n").done())
+    inside = F.col("_n") % 2 == 1
+    text = d.filter(inside).groupBy("entry", "_n").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_t"))
+    whole = F.array_join(F.transform("_t", lambda t, i: F.when(i == 0, F.substring(t["value"], 2, 1 << 30)).otherwise(t["value"])), "\n")
+    text = text.select("entry", F.col("_t")[0]["idx"].alias("idx"), F.lit(0).alias("j"), whole.alias("token"), F.lit("value").alias("is"))
+    plain = d.filter(~inside).withColumn("value", F.when(semi, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")))
+    plain = plain.select("entry", "idx", F.posexplode(_tokens(F.col("value"))).alias("j", "token"))
+    what = F.when(F.col("token").startswith("_"), "name").when(F.lower("token").rlike("^(loop_|data_|save_|global_|stop_)"), "mark").otherwise("value")
+    plain = plain.select("entry", "idx", "j", F.when(what == "value", _clean(F.col("token"))).otherwise(F.col("token")).alias("token"), what.alias("is"))
+    t = Ordered(text.unionByName(plain), ["entry"], ["idx", "j"], block_of(F.col("idx"))).row_number("t")
+    t = cut(t.carry(F.when(F.col("is") != "value", F.struct("t", F.col("token").alias("name"))), "of").done())
+    prefix = "_" + category.lstrip("_") + "."
+    mine = t.filter(F.col("of.name").startswith(prefix))
+    heads = mine.filter("is = 'name'").groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("t", F.substring("token", len(prefix) + 1, 1 << 20).alias("c")))).alias("_h"))
+    values = mine.filter("is = 'value'").select("entry", "idx", "token", "of", (F.col("t") - F.col("of.t") - 1).alias("k")).join(heads, "entry")
+    single = values.groupBy("entry").agg((F.countDistinct("of.t") > 1).alias("_single"))
+    v = values.join(single, "entry")
+    n = F.size("_h")
+    row = F.when(F.col("_single"), F.lit(0)).otherwise(F.floor(F.col("k") / n)).cast("bigint")
+    name = F.when(F.col("_single"), F.substring("of.name", len(prefix) + 1, 1 << 20)).otherwise(F.get(F.col("_h"), (F.col("k") % n).cast("int"))["c"])
+    v = v.select("entry", "idx", row.alias("row"), name.alias("c"), "token")
+    return v.groupBy("entry", "row").agg(F.min("idx").alias("idx"), F.map_from_entries(F.collect_list(F.struct("c", "token"))).alias("cells")).select("entry", "idx", "cells")
+
+
 def cif_loop(spark: SparkSession, paths: str | list[str], category: str) -> DataFrame:
     """entry, idx, cells (map of column name to value) of a category, whether it is a loop or single items.
 
-    The header rows say where the loop starts and which column is where; it ends at the next line that opens
-    something. Rows are one a line, as archives write them; a quoted token keeps its blanks. `?` and `.` are null."""
+    The header rows say where the loop starts and which column is where; it ends at the next line that opens something.
+    Where every row is one line, as archives write atoms, lines are read as they are; entries with text blocks, wrapped
+    rows or values on the next line go through the token stream. `?` and `.` are null."""
     d = lines(spark, paths)
     name = F.regexp_extract("value", "^_" + category.lstrip("_") + r"\.(\S+)", 1)
     head = d.withColumn("_c", name).filter("_c <> ''").withColumn("_v", F.regexp_extract("value", r"^\S+\s+(.+)$", 1))
     spans = head.groupBy("entry").agg(
-        F.max("idx").alias("_last"), F.array_sort(F.collect_list(F.struct("idx", "_c", "_v"))).alias("_h"), F.max(F.length("_v")).alias("_single")
-    )
+        F.max("idx").alias("_last"), F.array_sort(F.collect_list(F.struct("idx", "_c", "_v"))).alias("_h"), F.max(F.length("_v")).alias("_single"),
+        F.min(F.length("_v")).alias("_least"),
+    )
     opens = d.filter(F.col("value").rlike(r"^(#|loop_|_|data_|save_)")).join(spans.select("entry", "_last"), "entry")
     stop = opens.filter("idx > _last").groupBy("entry").agg(F.min("idx").alias("_stop"))
     spans = spans.join(stop, "entry", "left")
     body = d.join(spans.filter("_single = 0"), "entry").filter("idx > _last and (_stop is null or idx < _stop)")
-    tokens = F.expr(f"regexp_extract_all(value, {_sql(TOKEN)}, 0)")
-    clean = F.transform(tokens, lambda t: F.when(t.isin("?", "."), F.lit(None)).otherwise(F.regexp_replace(t, r"^(['\"])(.*)\1$", "$2")))
-    loop = body.withColumn("_t", clean).filter(F.size("_t") == F.size("_h")).select(
-        "entry", "idx", F.map_from_arrays(F.transform("_h", lambda h: h["_c"]), "_t").alias("cells")
-    )
-    tidy = lambda v: F.when(F.trim(v).isin("?", "."), F.lit(None)).otherwise(F.regexp_replace(F.trim(v), r"^(['\"])(.*)\1$", "$2"))
+    body = body.withColumn("_t", F.transform(_tokens(F.col("value")), _clean))
+    odd = d.filter(F.col("value").startswith(";")).select("entry").unionByName(body.filter((F.size("_t") != F.size("_h")) & (F.size("_t") > 0)).select("entry"))
+    odd = odd.unionByName(spans.filter("_single > 0 and _least = 0").select("entry")).distinct()
+    loop = body.filter(F.size("_t") == F.size("_h")).select("entry", "idx", F.map_from_arrays(F.transform("_h", lambda h: h["_c"]), "_t").alias("cells"))
+    first = lambda v: _clean(F.get(_tokens(v), F.lit(0)))
     one = spans.filter("_single > 0").select(
-        "entry", F.col("_last").alias("idx"), F.map_from_entries(F.transform("_h", lambda h: F.struct(h["_c"], tidy(h["_v"])))).alias("cells")
+        "entry", F.col("_last").alias("idx"), F.map_from_entries(F.transform("_h", lambda h: F.struct(h["_c"], first(h["_v"])))).alias("cells")
     )
-    return loop.unionByName(one)
+    plain = loop.unionByName(one).join(odd, "entry", "left_anti")
+    return plain.unionByName(_cells_of_stream(d.join(odd, "entry", "left_semi"), category))
 
 
 def _sql(text: str) -> str:
@@ -127,6 +197,12 @@ def read_mmcif_atoms(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def with_entity_types(spark: SparkSession, atoms: DataFrame, paths: str | list[str]) -> DataFrame:
+    """`atoms` with `entity_type` (polymer, non-polymer, water ...) of mmCIF files; null where the file names none."""
+    kinds = cif_loop(spark, paths, "entity").select("entry", _cell("id").alias("entity"), _cell("type").alias("entity_type"))
+    return atoms.join(kinds.dropDuplicates(["entry", "entity"]), ["entry", "entity"], "left")
+
+
 def read_helix_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Deposited helices of mmCIF files: id, chain, first, last."""
     d = cif_loop(spark, paths, "struct_conf").filter(_cell("conf_type_id").startswith("HELX"))

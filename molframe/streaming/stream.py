@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from molframe.session import checkpoint_dir
+from molframe.sources.structures import entry_of
 
 
 def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -43,7 +44,7 @@ def latest(out: DataFrame, keys: list[str]) -> DataFrame:
 def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """New structure files of a folder as lines with their entry, each file once (stateless)."""
     d = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    return d.select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("entry"), "value")
+    return d.select(entry_of(folder).alias("entry"), "value")
 
 
 def stream_structures(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:

@@ -131,3 +131,89 @@ def test_backbone_link_columns(spark, tmp_path):
     r = K.backbone(K.one_conformer(X.read_pdb(spark, write(tmp_path / "two.pdb", lines))))
     first = r.groupBy("chain").agg(F.count_if(~F.col("prev")).alias("n")).collect()
     assert {x.chain: x.n for x in first} == {"A": 1, "B": 1}
+
+
+CIF = """data_X
+loop_
+_entity.id
+_entity.type
+1 polymer
+2 non-polymer
+loop_
+_pdbx_struct_assembly_gen.assembly_id
+_pdbx_struct_assembly_gen.oper_expression
+_pdbx_struct_assembly_gen.asym_id_list
+1 1 A,B
+2 1
+;C,D,
+_not.a_name
+;
+3
+'1,2' "E ,F" # a comment
+_single.name
+;two
+lines
+;
+_single.other 'a b'
+#
+loop_
+_atom_site.group_PDB
+_atom_site.id
+_atom_site.type_symbol
+_atom_site.label_atom_id
+_atom_site.label_comp_id
+_atom_site.label_asym_id
+_atom_site.label_entity_id
+_atom_site.label_seq_id
+_atom_site.Cartn_x
+_atom_site.Cartn_y
+_atom_site.Cartn_z
+ATOM 1 N N SEP A 1 1 0.0 0.0 0.0
+ATOM 2 C CA SEP A 1 1 1.5
+0.0 0.0
+ATOM 3 C C SEP A 1 1 2.0 1.4 0.0
+ATOM 4 C CB SEP A 1 1 2.0 -1.4 0.0
+HETATM 5 H HB SEP A 1 1 2.5 -1.4 0.0
+ATOM 6 C "C1'" PSU B 1 2 9.0 0.0 0.0
+ATOM 7 C "C4'" PSU B 1 2 9.0 1.0 0.0
+ATOM 8 O "O4'" PSU B 1 2 9.0 2.0 0.0
+HETATM 9 N N ALA C 2 . 20.0 0.0 0.0
+HETATM 10 C CA ALA C 2 . 21.0 0.0 0.0
+HETATM 11 C C ALA C 2 . 22.0 0.0 0.0
+#
+"""
+
+
+def test_wrapped_rows_and_text_blocks(spark, tmp_path):
+    p = write(tmp_path / "x.cif", CIF.splitlines())
+    rows = [r.cells for r in X.cif_loop(spark, p, "pdbx_struct_assembly_gen").orderBy("idx").collect()]
+    assert [(r["assembly_id"], r["oper_expression"], r["asym_id_list"]) for r in rows] == [("1", "1", "A,B"), ("2", "1", "C,D,\n_not.a_name"), ("3", "1,2", "E ,F")]
+    (one,) = X.cif_loop(spark, p, "single").collect()
+    assert one.cells == {"name": "two\nlines", "other": "a b"}
+    assert X.read_mmcif_atoms(spark, p).count() == 11
+
+
+def test_polymers_by_entity_and_atoms(spark, tmp_path):
+    p = write(tmp_path / "x.cif", CIF.splitlines())
+    atoms = X.with_entity_types(spark, X.read_mmcif_atoms(spark, p), p)
+    kinds = {(r.resname, r.kind) for r in I.with_kind(atoms).select("resname", "kind").collect()}
+    assert kinds == {("SEP", "protein"), ("PSU", "nucleic"), ("ALA", None)}
+    assert {r.atom for r in I.polymer_atoms(atoms).filter("resname = 'SEP'").collect()} == {"N", "CA", "C", "CB"}
+    assert {(r.resname, r.heavy) for r in I.molecule_parts(atoms).collect()} == {("ALA", 3)}
+
+
+def test_a_hydrogen_changes_no_contact(spark, tmp_path):
+    rows = [("CA", "C", 0.0), ("CB", "C", 1.5), ("HB", "H", 2.0)]
+    lines = [pdb_line(i + 10 * k, a, "ALA", c, 1, (x, 3.5 * k, 0), el=e) for k, c in enumerate("AB") for i, (a, e, x) in enumerate(rows)]
+    bare = [x for x in lines if x[76:78].strip() != "H"]
+    count = lambda ls, n: I.hydrophobic_contacts(X.read_pdb(spark, write(tmp_path / n, ls)), "interchain").count()
+    assert count(lines, "h.pdb") == count(bare, "b.pdb") > 0
+
+
+def test_one_name_in_two_folders(spark, tmp_path):
+    for f in ("a", "b"):
+        (tmp_path / f).mkdir()
+        write(tmp_path / f / "1abc.pdb", helix_lines())
+    write(tmp_path / "a" / "1abc.assembly1.pdb", helix_lines())
+    got = {r.entry for r in X.read_pdb(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).select("entry").distinct().collect()}
+    assert got == {"a/1abc", "b/1abc", "a/1abc.assembly1"}

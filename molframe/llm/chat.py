@@ -51,7 +51,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
 
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation as structs of role and text, merged ones apart again."""
-    blocks = F.slice(_split(formatted, TURN), 2, 2**31 - 1)
+    blocks = F.filter(_split(formatted, TURN), lambda _, i: i > 0)
 
     def turns(block: Column) -> Column:
         halves = _split(block, TEXT)

@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import flat, portions, raw
 from .repeats import word_hashes
 
-SAMPLE, SAMPLE_CHARS = 300, 3000
+SAMPLE, SAMPLE_CHARS = 150, 1500
 BITS = 17
 SLOTS = 1 << BITS
 BLOCKS = 64
@@ -204,7 +204,8 @@ def fit(texts: list[tuple[bytes, str]], langs: list[str], lex: np.ndarray, round
     gold = label[word]
     affix, tri, owner = features(data, starts, ends)
     affix_word, affix_slot = np.repeat(np.arange(len(starts)), affix.shape[1])[affix.ravel() >= 0], affix.ravel()[affix.ravel() >= 0]
-    slot, of = np.concatenate([affix_slot, tri]), np.concatenate([affix_word, owner])
+    slot, of = np.concatenate([affix_slot, tri]).astype(np.int32), np.concatenate([affix_word, owner]).astype(np.int32)
+    del affix, tri, owner, affix_word, affix_slot
     lex_of = lex[_slot(word_hashes(data, starts, ends), 0)]
     weights, scale, moves, first = model.weights.astype(float), model.scale, model.moves.copy(), model.first.copy()
     seen = [np.full_like(weights, 1e-6), 1e-6, np.full_like(moves, 1e-6), np.full_like(first, 1e-6)]
@@ -224,14 +225,15 @@ def fit(texts: list[tuple[bytes, str]], langs: list[str], lex: np.ndarray, round
             beta[:, t] = b / b.sum(axis=1, keepdims=True)
         post = alpha * beta
         post /= post.sum(axis=2, keepdims=True)
-        pair = alpha[:, :-1, :, None] * move * (beta[:, 1:] * e[:, 1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
+        g_m = np.zeros((count, count))
+        for t in range(length - 1):
+            pair = alpha[:, t, :, None] * move * (beta[:, t + 1] * e[:, t + 1])[:, None, :]
+            g_m -= (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         miss = -post
         np.put_along_axis(miss, gold[:, :, None], np.take_along_axis(miss, gold[:, :, None], 2) + 1, 2)
         by_word = np.stack([np.bincount(word.ravel(), miss[:, :, y].ravel(), minlength=len(starts)) for y in range(count)], axis=1)
         g_w = np.stack([np.bincount(slot, by_word[of, y], minlength=SLOTS) for y in range(count)], axis=1) / rows - 1e-4 * weights
         g_s = float((by_word * lex_of).sum()) / rows / length
-        g_m = -pair.sum(axis=(0, 1))
         np.add.at(g_m, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1.0)
         g_m /= rows
         g_f = miss[:, 0].mean(axis=0)

@@ -13,7 +13,7 @@ from pyspark.sql import window as W
 from .common import WORD, cut
 
 MARGINS = ("source", "lang", "topic")
-SWEEPS = 3
+SWEEPS = 4
 #: cells up to this number are broadcast to the documents, beyond it they are joined by shuffle
 SMALL = 100_000
 
@@ -31,21 +31,25 @@ def flattened(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return sums.select(margin, (F.col("p") / F.sum("p").over(W.Window.partitionBy(F.lit(0)))).alias("target"))
 
 
-def rake(cells: DataFrame, tolerance: float = 1e-6, most: int = 30) -> DataFrame:
+def rake(cells: DataFrame, tolerance: float = 1e-6, most: int = 12) -> DataFrame:
     """`cells` (tokens, the margins, and a target for each: target_source, ...) with `weight`, the fitted token share.
 
-    Targets that contradict each other (no weights meet them) raise an error after `most` rounds of SWEEPS sweeps."""
+    Sweeps end when all targets are met. Where targets contradict each other (a source that has one language only, say)
+    no weights meet them all: sweeps then end when weights no longer move, or after `most` rounds of SWEEPS, and the topic
+    targets, raked last, are met while the others are as near as that allows."""
     cur = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(W.Window.partitionBy(F.lit(0))))
     off = lambda m: F.abs(F.sum("weight").over(W.Window.partitionBy(m)) - F.col(f"target_{m}"))
     for _ in range(most):
+        cur = cur.withColumn("before", F.col("weight"))
         for _ in range(SWEEPS):
             for m in MARGINS:
                 cur = cur.withColumn("weight", F.col("weight") * F.col(f"target_{m}") / F.sum("weight").over(W.Window.partitionBy(m)))
-        cur = cut(cur.withColumn("off", F.greatest(*map(off, MARGINS))))
-        if (cur.agg(F.max("off")).first()[0] or 0) <= tolerance:
-            return cur.drop("off")
-        cur = cur.drop("off")
-    raise ValueError("the targets contradict each other: no weights meet them all")
+        cur = cut(cur.withColumn("off", F.greatest(*map(off, MARGINS))).withColumn("moved", F.abs(F.col("weight") - F.col("before"))))
+        missed, moved = cur.agg(F.max("off"), F.max("moved")).first()
+        cur = cur.drop("off", "before", "moved")
+        if (missed or 0) <= tolerance or (moved or 0) <= tolerance:
+            break
+    return cur
 
 
 def mix(docs: DataFrame, power: float = 0.9, seed: int = 7, topic: Column | None = None) -> DataFrame:

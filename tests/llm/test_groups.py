@@ -6,8 +6,6 @@ import re
 import zlib
 
 import numpy as np
-import pytest
-
 from molframe.llm import exact, minhash, mixing, sharding
 
 
@@ -139,20 +137,32 @@ def test_packing_balances_all_sizes():
         assert total.max() / total.min() < 1.02
 
 
-def test_mixture(docs, rows, nothing, spark):
-    got = mixing.mix(docs, power=0.5).toPandas()
+def test_mixture(spark, nothing):
+    rows = [(i, "word " * (1 + i % 13) + "| a | b" * (i % 5 == 0), ["en", "de", None][i % 3], f"s{i % 4}", None) for i in range(240)]
+    rows += [(500, None, None, None, None), (501, "", "en", "s0", None), (3, rows[3][1], rows[3][2], rows[3][3], None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight long"), power=0.5).toPandas()
     assert len(got) == len(rows)
     assert got.probability.between(0, 1).all() and abs(got.probability.max() - 1) < 1e-12
-    weighted = got.assign(t=got.tokens * got.weight)
-    for margin in ("source", "lang", "topic"):
-        share = weighted.groupby(margin).t.sum() / weighted.t.sum()
-        target = got.groupby(margin).tokens.sum() ** 0.5
-        assert np.allclose(share, target / target.sum(), atol=1e-5)
-    assert set(got[got.doc_id == 2].kept.astype(int).value_counts()) == {2}
+    share = (got.tokens * got.weight).groupby(got.topic).sum() / (got.tokens * got.weight).sum()
+    target = got.groupby("topic").tokens.sum() ** 0.5
+    assert np.allclose(share, target / target.sum(), atol=1e-5)
+    assert got[got.doc_id == 3].kept.nunique() == 1
     assert mixing.mix(nothing).count() == 0
 
 
+def cells_of(spark, rows):
+    return spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, target_source double, target_lang double, target_topic double")
+
+
+def test_raking_meets_all_margins(spark):
+    part = {"a": 0.5, "b": 0.5, "x": 0.2, "y": 0.8, "t": 0.3, "u": 0.7}
+    rows = [(s, g, t, 3 + 7 * i + 2 * j + k, part[s], part[g], part[t]) for i, s in enumerate("ab") for j, g in enumerate("xy") for k, t in enumerate("tu")]
+    got = mixing.rake(cells_of(spark, rows)).toPandas()
+    for margin in ("source", "lang", "topic"):
+        for name, share in got.groupby(margin).weight.sum().items():
+            assert abs(share - part[name]) < 1e-5
+
+
 def test_targets_that_contradict(spark):
-    cells = spark.createDataFrame([("a", "x", "t", 5, 0.9, 0.2, 1.0), ("b", "y", "t", 5, 0.1, 0.8, 1.0)], "source string, lang string, topic string, tokens long, target_source double, target_lang double, target_topic double")
-    with pytest.raises(ValueError):
-        mixing.rake(cells, most=2)
+    got = mixing.rake(cells_of(spark, [("a", "x", "t", 5, 0.9, 0.2, 1.0), ("b", "y", "t", 5, 0.1, 0.8, 1.0)]), most=3).toPandas()
+    assert abs(got.weight.sum() - 1) < 1e-9

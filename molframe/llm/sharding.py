@@ -51,7 +51,11 @@ def _pack_block(bins: int, level: int, last: bool):
 
 
 def place(units: DataFrame, bins: int, block: int = BLOCK) -> DataFrame:
-    """(unit, shard) for units with columns unit, bytes, tokens, rows."""
+    """(unit, shard) for units with columns unit, bytes, tokens, rows.
+
+    A block hands up its bins and fewer than 4 * bins groups for each size, so blocks of 32 * bins or more always leave
+    fewer groups for the next level."""
+    block = max(block, 32 * bins)
     schema = "unit string, parent string, bytes long, tokens long, rows long"
     levels, cur = [], cut(units)
     while True:

@@ -3,7 +3,7 @@
 Groups of equal texts are placed one by one, largest first, each into the shard where the dot product of its size vector
 with the shard's residual capacity is highest. One task packs BLOCK groups at most. More are packed block by block into
 as many bins as there are shards, and the bins are packed again as groups of the next level; a group too large for a
-block's bins is handed up as it is. A group larger than half a shard is split."""
+block's bins is handed up as it is. A group larger than half a shard is split into sixteenths of a shard."""
 
 from __future__ import annotations
 
@@ -101,8 +101,8 @@ def shard(docs: DataFrame, bins: int = 8, block: int = BLOCK) -> DataFrame:
     base = cut(base)
     groups = base.groupBy("group").agg(F.sum("size").alias("bytes"))
     most = (base.agg(F.sum("size")).first()[0] or 0) / (2 * bins)
-    # groups above half a shard: fewer than 2 * bins
-    large = groups.filter(F.col("bytes") > most).select("group", F.ceil(F.col("bytes") / F.lit(max(most, 1.0))).alias("pieces"))
+    # groups above half a shard: fewer than 2 * bins; their pieces are a sixteenth of a shard
+    large = groups.filter(F.col("bytes") > most).select("group", F.ceil(F.col("bytes") / F.lit(max(most / 8, 1.0))).alias("pieces"))
     base = base.join(F.broadcast(large), "group", "left")
     base = base.withColumn("unit", F.when(F.col("pieces").isNull(), F.col("group")).otherwise(F.concat_ws("/", "group", F.pmod(F.xxhash64("doc_id"), F.col("pieces")))))
     units = base.groupBy("unit").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))

@@ -23,13 +23,15 @@ CHUNK = 50_000
 
 
 def pack(vectors: np.ndarray, bins: int) -> np.ndarray:
-    """The bin of each vector, all of whose totals are to be equal."""
+    """The bin of each vector, all of whose totals are to be equal. Where a vector fits in no bin any more, it goes where
+    most of the first size is left, so that size ends nearest to equal."""
     total = vectors.sum(axis=0)
     share = vectors / np.where(total > 0, total, 1)
     left = np.full((bins, share.shape[1]), 1.0 / bins)
     out = np.empty(len(share), dtype=np.int32)
     for i in np.lexsort((np.arange(len(share)), -share.sum(axis=1))):
-        best = int(np.argmax(left @ share[i]))
+        fits = (left >= share[i]).all(axis=1)
+        best = int(np.argmax(np.where(fits, left @ share[i], -1.0))) if fits.any() else int(np.argmax(left[:, 0]))
         left[best] -= share[i]
         out[i] = best
     return out

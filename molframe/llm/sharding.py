@@ -2,7 +2,7 @@
 
 Groups of equal texts are placed one by one, largest first, each into the shard where the dot product of its size vector
 with the shard's residual capacity is highest. One task packs BLOCK groups at most. More are packed block by block into
-as many bins as there are shards, and the bins are packed again as groups of the next level; a group too large for a
+a few bins for each shard, and the bins are packed again as groups of the next level; a group too large for a
 block's bins is handed up as it is. A group larger than half a shard is split into sixteenths of a shard."""
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import WORD, cut
 BLOCK = 8192
 SIZES = ("bytes", "tokens", "rows")
 CHUNK = 50_000
+#: bins of a block for each shard: the next level packs them like groups, so they are to be small
+FINER = 8
 
 
 def pack(vectors: np.ndarray, bins: int) -> np.ndarray:
@@ -55,16 +57,16 @@ def _pack_block(bins: int, level: int, last: bool):
 def place(units: DataFrame, bins: int, block: int = BLOCK) -> DataFrame:
     """(unit, shard) for units with columns unit, bytes, tokens, rows.
 
-    A block hands up its bins and fewer than 4 * bins groups for each size, so blocks of 32 * bins or more always leave
-    fewer groups for the next level."""
-    block = max(block, 32 * bins)
+    A block hands up FINER * bins bins and fewer than four times as many groups for each size, so a block of 32 times as
+    many or more always leaves fewer groups for the next level."""
+    block = max(block, 32 * FINER * bins)
     schema = "unit string, parent string, bytes long, tokens long, rows long"
     levels, cur = [], cut(units)
     while True:
         n = cur.count()
         last = n <= block
         blocked = cur.withColumn("block", F.lit(0) if last else F.pmod(F.xxhash64("unit"), F.lit(math.ceil(n / block))))
-        packed = cut(blocked.groupBy("block").applyInArrow(_pack_block(bins, len(levels), last), schema))
+        packed = cut(blocked.groupBy("block").applyInArrow(_pack_block(bins if last else FINER * bins, len(levels), last), schema))
         levels.append(packed.select("unit", "parent"))
         if last:
             break

@@ -128,6 +128,14 @@ def test_shards_of_a_group_with_most_rows(spark):
     assert len(size) == 8 and size.max() - size.min() < 0.05 * size.mean()
 
 
+def test_levels_of_packing(spark):
+    units = spark.range(3000).selectExpr("cast(id as string) as unit", "1 + id * 7919 % 500 as bytes", "1 + id % 40 as tokens", "1L as rows")
+    got = sharding.place(units, 2, 512).join(units, "unit").groupBy("shard").agg({"bytes": "sum", "rows": "sum"}).collect()
+    assert sum(r["sum(rows)"] for r in got) == 3000
+    size = [r["sum(bytes)"] for r in got]
+    assert len(size) == 2 and max(size) / min(size) < 1.01
+
+
 def test_packing_balances_all_sizes():
     rng = np.random.default_rng(1)
     vectors = np.column_stack([rng.lognormal(8, 1, 3000), rng.lognormal(6, 1, 3000), np.ones(3000)])

@@ -39,8 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose expected tokens follow flattened shares of sources, languages and topics."""
-    kept = cut(mixing.mix(docs, MIX_POWER).filter("kept").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return mixing.with_draw(docs, MIX_POWER).filter("__kept").select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Secret scans: fixed patterns, and strings that dictionary-primed zstandard finds new in a sensitive place.
 
-A compressor is primed with the most frequent identifiers of all texts that hold a sensitive word. A candidate is a
+A compressor is primed with the most frequent identifiers of all distinct texts that hold a sensitive word, candidates left out. A candidate is a
 string of at least NOVEL_CHARS characters with letters and digits, not part of a pattern's match, within REACH characters
 after a sensitive word. Its cost is what it adds to the compressed size of the text around it: names made of known parts
 cost few bytes, keys cost about one byte for each character. Candidates above the limit are reported as `novel`."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -44,43 +45,74 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], squeeze: zstandard.ZstdCompressor, limit: float) -> list[tuple[int, int, int]]:
-    """Candidates whose added bytes are at least `limit` for each character."""
-    out, done = [], 0
-    lower = text.lower()
-    if not any(h in lower for h in HINTS):
-        return out
+def placed(text: str) -> Iterator[re.Match[str]]:
+    """Strings of a candidate's characters and length within REACH after a sensitive word, in order, each once."""
+    done = 0
     for word in SENSITIVE.finditer(text):
         for m in CANDIDATE.finditer(text, max(word.end(), done)):
             if m.start() > word.end() + REACH:
                 break
             done = m.end()
-            found = m.group()
-            if not (any(c.isdigit() for c in found) and any(c.isalpha() for c in found)) or any(s < m.end() and m.start() < e for s, _, e in taken):
-                continue
-            before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-            around = len(squeeze.compress((before + after).encode("utf-8", "replace")))
-            cost = len(squeeze.compress((before + after + found).encode("utf-8", "replace"))) - around
-            if cost >= limit * len(found):
-                out.append((m.start(), 3, m.end()))
+            yield m
+
+
+def mixed(found: str) -> bool:
+    return any(c.isdigit() for c in found) and any(c.isalpha() for c in found)
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, int]], squeeze: zstandard.ZstdCompressor, limit: float) -> list[tuple[int, int, int]]:
+    """Candidates whose added bytes are at least `limit` for each character."""
+    out = []
+    lower = text.lower()
+    if not any(h in lower for h in HINTS):
+        return out
+    for m in placed(text):
+        found = m.group()
+        if not mixed(found) or any(s < m.end() and m.start() < e for s, _, e in taken):
+            continue
+        before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
+        around = len(squeeze.compress((before + after).encode("utf-8", "replace")))
+        cost = len(squeeze.compress((before + after + found).encode("utf-8", "replace"))) - around
+        if cost >= limit * len(found):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def names_of(text: str) -> dict[str, bool]:
+    """The text's identifiers; true are those that touch a string with letters and digits in a sensitive place, whether or not
+    a pattern also matches it."""
+    spans = [m.span() for m in placed(text) if mixed(m.group())]
+    out: dict[str, bool] = {}
+    i = 0
+    for m in IDENTIFIER.finditer(text):
+        while i < len(spans) and spans[i][1] <= m.start():
+            i += 1
+        out[m.group()] = out.get(m.group(), False) or (i < len(spans) and spans[i][0] < m.end())
     return out
 
 
 def identifiers(docs: DataFrame, most: int = IDENTIFIERS) -> bytes:
-    """The dictionary: the `most` most frequent identifiers of texts with a sensitive word, the most frequent last."""
+    """The dictionary: the `most` identifiers found in most distinct texts with a sensitive word, the most frequent last.
+
+    Copies of a text count once, and a name counts once in a text. Names that are a candidate anywhere, or part of one, are
+    left out, so that a secret in many places doesn't make itself known."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches, "text"):
-            held: Counter[str] = Counter()
+            held: dict[tuple[bytes, str], bool] = {}
             for text in b.column("text").to_pylist():
                 lower = text.lower()
                 if any(h in lower for h in HINTS) and SENSITIVE.search(text):
-                    held.update(IDENTIFIER.findall(text))
+                    digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
+                    held.update({(digest, name): out for name, out in names_of(text).items()})
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["name", "n"])
+                digests, names = zip(*held)
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(names, pa.string()), pa.array(held.values(), pa.bool_())], names=["text", "name", "out"])
 
-    counted = docs.filter("text is not null").select("text").mapInArrow(count, "name string, n long").filter(F.length("name") <= 64)
-    top = counted.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "name").limit(most).collect()
+    counted = docs.filter("text is not null").select("text").mapInArrow(count, "text binary, name string, out boolean").filter(F.length("name") <= 64)
+    # copies meet before the shuffle and again by (text, name), never all in one task
+    once = counted.groupBy("text", "name").agg(F.max("out").alias("out"))
+    top = once.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("out").alias("out")).filter("n > 1 and not out").orderBy(F.desc("n"), "name").limit(most).collect()
     return " ".join(r[0] for r in reversed(top)).encode()
 
 

@@ -44,6 +44,27 @@ def test_scan(spark, rows):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_scan_reports_a_key_in_every_copy(spark):
+    rng = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    copied, near, twice = ("k" + "".join(rng.choice(alphabet) for _ in range(39)) for _ in range(3))
+    around = lambda: prose(rng, 40)
+    same = f"{around()} the bearer is {copied} {around()}"
+    texts = [same] * 50 + [f"{around()} a secret, {near} {around()}" for _ in range(5)]
+    # in one text, too far apart to be in each other's surroundings
+    texts.append(f"{around()} the credential {twice} {prose(rng, 200)} the credential {twice} {around()}")
+    # a pattern finds the key in some texts, and it stands far from a sensitive word in others
+    texts += [f"token={near} {around()}", f"password {around()} {around()} {around()} {near}", f"password {around()} {around()} {around()} {near} {around()}"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: [texts[r.doc_id][f["start"] : f["end"]] for f in r.found if f["kind"] == "novel"] for r in secrets.scan(table).collect()}
+    assert all(found[i] == [copied] for i in range(50))
+    assert all(found[i] == [near] for i in range(50, 55))
+    assert found[55] == [twice, twice]
+    words = secrets.identifiers(table).decode().split()
+    # each text once: the copies' words are not known by their copies
+    assert not {copied, near, twice} & set(words) and "bearer" not in words and "secret" in words
+
+
 def test_leaks(spark, docs, nothing):
     rng = random.Random(3)
     items = [(i, prose(rng, 12 + 5 * i, 100000)) for i in range(8)] + [(90, None), (91, "four words are few")]

@@ -1,14 +1,17 @@
 """Secret scans: fixed patterns, and strings that dictionary-primed zstandard finds new in a sensitive place.
 
 A compressor is primed with the most frequent identifiers of all distinct texts that hold a sensitive word, candidates left out. A candidate is a
-string of at least NOVEL_CHARS characters with letters and digits, not part of a pattern's match, within REACH characters
+string of at least NOVEL_CHARS characters with letters or digits, not part of a pattern's match, within REACH characters
 after a sensitive word. Its cost is what it adds to the compressed size of the text around it: names made of known parts
-cost few bytes, keys cost about one byte for each character. Candidates above the limit are reported as `novel`."""
+cost few bytes, keys cost as much as random strings of their length and alphabet do in the same place. Such twins are
+compressed beside each candidate; candidates above a share of the cheapest twin are reported as `novel`."""
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +34,9 @@ IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 NOVEL_CHARS, REACH, AROUND = 12, 80, 200
 IDENTIFIERS = 4000
+TWINS = 8
+CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
+HEX_DIGITS = (frozenset("0123456789abcdef"), frozenset("0123456789ABCDEF"))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -60,28 +66,44 @@ def mixed(found: str) -> bool:
     return any(c.isdigit() for c in found) and any(c.isalpha() for c in found)
 
 
+def twins(found: str) -> Iterator[str]:
+    """Random strings of the same length over the classes of characters that `found` has, the same on every run."""
+    own = {c for c in found if c.isalnum()}
+    hexed = [h for h in HEX_DIGITS if own <= h] if mixed(found) else []
+    letters = sorted(hexed[0]) if hexed else "".join(c for c in CLASSES if own & set(c))
+    for i in range(TWINS):
+        rng = random.Random(f"{i} {found}")
+        yield "".join(rng.choice(letters) if c.isalnum() else c for c in found)
+
+
+def is_novel(text: str, m: re.Match[str], squeeze: zstandard.ZstdCompressor, limit: float) -> bool:
+    """Whether the match adds at least `limit` bytes for each character, or as much of what the cheapest twin adds."""
+    found = m.group()
+    if not any(c.isalnum() for c in found):
+        return False
+    about = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
+    size = lambda more: len(squeeze.compress((about + more).encode("utf-8", "replace")))
+    around = size("")
+    cost = size(found) - around
+    # words have no digits to tell them from a key, so a byte a character is not enough for them
+    if mixed(found) and cost >= limit * len(found):
+        return True
+    return cost > 0 and cost >= limit * min(size(t) - around for t in twins(found))
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], squeeze: zstandard.ZstdCompressor, limit: float) -> list[tuple[int, int, int]]:
-    """Candidates whose added bytes are at least `limit` for each character."""
-    out = []
+    """Candidates that cost about what random strings of their length and alphabet cost in their place."""
     lower = text.lower()
     if not any(h in lower for h in HINTS):
-        return out
-    for m in placed(text):
-        found = m.group()
-        if not mixed(found) or any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-        around = len(squeeze.compress((before + after).encode("utf-8", "replace")))
-        cost = len(squeeze.compress((before + after + found).encode("utf-8", "replace"))) - around
-        if cost >= limit * len(found):
-            out.append((m.start(), 3, m.end()))
-    return out
+        return []
+    free = (m for m in placed(text) if not any(s < m.end() and m.start() < e for s, _, e in taken))
+    return [(m.start(), 3, m.end()) for m in free if is_novel(text, m, squeeze, limit)]
 
 
-def names_of(text: str) -> dict[str, bool]:
-    """The text's identifiers; true are those that touch a string with letters and digits in a sensitive place, whether or not
-    a pattern also matches it."""
-    spans = [m.span() for m in placed(text) if mixed(m.group())]
+def names_of(text: str, squeeze: zstandard.ZstdCompressor, limit: float) -> dict[str, bool]:
+    """The text's identifiers; true are those that touch a string in a sensitive place which has letters and digits, or is
+    novel to a compressor that knows the text around it alone, whether or not a pattern also matches it."""
+    spans = [m.span() for m in placed(text) if mixed(m.group()) or is_novel(text, m, squeeze, limit)]
     out: dict[str, bool] = {}
     i = 0
     for m in IDENTIFIER.finditer(text):
@@ -91,20 +113,21 @@ def names_of(text: str) -> dict[str, bool]:
     return out
 
 
-def identifiers(docs: DataFrame, most: int = IDENTIFIERS) -> bytes:
+def identifiers(docs: DataFrame, most: int = IDENTIFIERS, limit: float = 0.9) -> bytes:
     """The dictionary: the `most` identifiers found in most distinct texts with a sensitive word, the most frequent last.
 
-    Copies of a text count once, and a name counts once in a text. Names that are a candidate anywhere, or part of one, are
+    Copies of a text count once, and a name counts once in a text. Names that may be a secret anywhere, or part of one, are
     left out, so that a secret in many places doesn't make itself known."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3, write_content_size=False)
         for b in portions(batches, "text"):
             held: dict[tuple[bytes, str], bool] = {}
             for text in b.column("text").to_pylist():
                 lower = text.lower()
                 if any(h in lower for h in HINTS) and SENSITIVE.search(text):
                     digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
-                    held.update({(digest, name): out for name, out in names_of(text).items()})
+                    held.update({(digest, name): out for name, out in names_of(text, squeeze, limit).items()})
             if held:
                 digests, names = zip(*held)
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(names, pa.string()), pa.array(held.values(), pa.bool_())], names=["text", "name", "out"])
@@ -123,7 +146,7 @@ def scan(docs: DataFrame, limit: float = 0.9, dictionary: bytes | None = None) -
     Pattern matches are leftmost and do not overlap others of their kind; matches that are too short are dropped. Null
     and empty texts hold nothing. `dictionary` primes the compressor; without it, it is counted over `docs`. Each row is
     judged by itself, so repeated rows agree. Other columns are not read."""
-    words = identifiers(docs) if dictionary is None else dictionary
+    words = identifiers(docs, limit=limit) if dictionary is None else dictionary
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prime = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(words) >= 8 else None

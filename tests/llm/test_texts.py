@@ -65,6 +65,34 @@ def test_scan_reports_a_key_in_every_copy(spark):
     assert not {copied, near, twice} & set(words) and "bearer" not in words and "secret" in words
 
 
+def test_recall_by_alphabet_and_length(spark):
+    rng = random.Random(12)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    vowels = "aeiou"
+    # words of syllables, as in prose, and long ones among them
+    word = lambda n: "".join(rng.choice("bdfglmnprst") + rng.choice(vowels) for _ in range(n))
+    known = [word(rng.choice((1, 2, 2, 3, 4))) for _ in range(300)] + [word(7) for _ in range(30)]
+    text = lambda n: " ".join(rng.choice(known) for _ in range(n))
+    around = lambda: (text(60)[:200], text(60)[:200])
+    alphabets = {"base62": lower + lower.upper() + digits, "HEX": digits + "ABCDEF", "a-z0-9": lower + digits, "base32": lower.upper() + "234567", "lower": lower, "letters": lower + lower.upper(), "digits": digits}
+    keys = [(a, n, "".join(rng.choice(chars) for _ in range(n))) for a, chars in alphabets.items() for n in (20, 40, 64) for _ in range(20)]
+    texts = []
+    for *_, key in keys:
+        before, after = around()
+        texts.append(f"{before} bearer {key} {after}")
+    plain = [f"{around()[0]} bearer {word(7)} {around()[1]}" for _ in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: {(texts + plain)[r.doc_id][f["start"] : f["end"]] for f in r.found} for r in secrets.scan(table).collect()}
+    for a in alphabets:
+        for n in (20, 40, 64):
+            hits = [key in found[i] for i, (b, m, key) in enumerate(keys) if (b, m) == (a, n)]
+            assert sum(hits) >= (18 if n == 20 else 19), (a, n, sum(hits))
+    # most new words of known syllables are not taken for keys
+    assert sum(bool(found[len(texts) + i]) for i in range(200)) <= 40
+    punctuation = spark.createDataFrame([(1, "secret ------------------ ________________ ============")], "doc_id long, text string")
+    assert secrets.scan(punctuation).first().n_novel == 0
+
+
 def test_leaks(spark, docs, nothing):
     rng = random.Random(3)
     items = [(i, prose(rng, 12 + 5 * i, 100000)) for i in range(8)] + [(90, None), (91, "four words are few")]

@@ -144,13 +144,13 @@ def stretched_pairs(strict: DataFrame, cand: DataFrame) -> DataFrame:
 
 
 def rings_of_four(edges: DataFrame, group: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    """Distinct directed four-rings of an edge table, each as a sorted array. A node has few such neighbours."""
+    """Distinct directed four-rings of an edge table, each as a sorted array."""
     e = edges.filter(F.col(a) != F.col(b)).select(*group, F.col(a).alias("p"), F.col(b).alias("q")).distinct()
     step = lambda x, y: e.select(*group, F.col("p").alias(x), F.col("q").alias(y))
-    # the ring is entered at its least node, so each is walked once
-    two = step("n1", "n2").filter("n1 < n2").join(step("n2", "n3"), [*group, "n2"]).filter("n1 < n3")
-    three = two.join(step("n3", "n4"), [*group, "n3"]).filter("n1 < n4 and n2 <> n4")
-    ring = three.join(step("n4", "n1"), [*group, "n4", "n1"])
+    # the ring is entered at its least node, so each is walked once: two steps out and two back meet at the third node
+    out = step("n1", "n2").filter("n1 < n2").join(step("n2", "n3"), [*group, "n2"]).filter("n1 < n3")
+    back = step("n4", "n1").filter("n1 < n4").join(step("n3", "n4"), [*group, "n4"]).filter("n1 < n3")
+    ring = out.join(back, [*group, "n1", "n3"]).filter("n2 <> n4")
     return ring.select(*group, F.array_sort(F.array("n1", "n2", "n3", "n4")).alias("ring")).distinct()
 
 

@@ -34,3 +34,13 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_rings_over_all_lines_equal_the_sql_without_its_filter(spark, con):
+    sql = oracle_sql()["g_tetrads"]
+    whole = sql.replace(" WHERE l_quantity >= 40", "")
+    assert whole != sql
+    got = queries()["rings_of_four"](spark, ROOT)
+    mine = {tuple(r) for r in got.toPandas()["ring"]}
+    want = {tuple(r[0]) for r in con.execute(whole).fetchall()}
+    assert len(want) > 500_000 and mine == want

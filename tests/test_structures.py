@@ -217,3 +217,25 @@ def test_one_name_in_two_folders(spark, tmp_path):
     write(tmp_path / "a" / "1abc.assembly1.pdb", helix_lines())
     got = {r.entry for r in X.read_pdb(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).select("entry").distinct().collect()}
     assert got == {"a/1abc", "b/1abc", "a/1abc.assembly1"}
+
+
+def test_g_tetrads_of_guanines_in_a_square(spark):
+    from molframe.operators import nucleic as N
+
+    # N1 gives to O6 and N2 to N7 of the next, a quarter turn on
+    flat = {"N1": (2.0, 2.0), "N2": (4.0, 4.0), "O6": (2.0, -0.5), "N7": (4.0, -1.5), "N9": (6.0, 0.0), "C8": (6.0, -1.0), "C1'": (7.4, 0.5), "C6": (3.0, -0.5), "C2": (3.5, 3.0), "N3": (5.0, 3.0)}
+    def rows(entry, shift, turns):
+        out = []
+        for seq in range(4):
+            for k, (atom, (x, y)) in enumerate(flat.items()):
+                for _ in range(seq if seq < turns else 0):
+                    x, y = -y, x
+                far = 0.0 if seq < turns else 100.0 * seq
+                out.append((entry, "A", seq + 1, "", "G", atom, seq * 32 + k, atom[0], x + shift + far, y, 0.0))
+        return out
+    schema = "entry long, chain string, seq long, icode string, resname string, atom string, idx long, elem string, x double, y double, z double"
+    atoms = spark.createDataFrame(rows(1, 0.0, 4) + rows(2, 50.0, 3), schema)
+    nts = atoms.groupBy("entry", "chain", "seq", "icode").agg({"idx": "min"}).withColumnRenamed("min(idx)", "idx").selectExpr("*", "'G' AS base")
+    got = [(r.entry, r.ring) for r in N.g_tetrads(nts, atoms).collect()]
+    # three of four guanines make no ring
+    assert got == [(1, [0, 32, 64, 96])]

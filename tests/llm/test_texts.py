@@ -1,5 +1,6 @@
 """op4, op6, op9, op10 and the pipeline."""
 
+import itertools
 import random
 import re
 
@@ -93,6 +94,16 @@ def test_recall_by_alphabet_and_length(spark):
     assert secrets.scan(punctuation).first().n_novel == 0
 
 
+def test_leaks_wherever_words_are_replaced(spark):
+    rng = random.Random(5)
+    long, short = prose(rng, 13, 100000), prose(rng, 7, 100000)
+    replaced = lambda item, gone: prose(rng, 6, 100000) + " " + " ".join("other" if i in gone else w for i, w in enumerate(item.split())) + " " + prose(rng, 6, 100000)
+    texts = [(replaced(long, gone), 1) for gone in itertools.combinations(range(13), 3)] + [(replaced(short, {i}), 2) for i in range(7)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")).collect()}
+    assert got == {(i, item) for i, (_, item) in enumerate(texts)}
+
+
 def test_leaks(spark, docs, nothing):
     rng = random.Random(3)
     items = [(i, prose(rng, 12 + 5 * i, 100000)) for i in range(8)] + [(90, None), (91, "four words are few")]

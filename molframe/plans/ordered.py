@@ -66,6 +66,17 @@ class Ordered:
         df = self._join_blocks(df, blocks)
         return self._with(df.withColumn(name, F.col("_s") + F.col("_base")).drop("_v", "_s", "_base"))
 
+    def running_sums(self, values: dict[str, Column]) -> "Ordered":
+        """Several running sums in one pass, each up to and with its row, under the names given."""
+        df = self.df.withColumns({f"_v_{k}": v for k, v in values.items()})
+        before = self.outer.rowsBetween(Window.unboundedPreceding, -1)
+        blocks = df.groupBy(*self.keys, "_blk").agg(*[F.sum(f"_v_{k}").alias(f"_b_{k}") for k in values])
+        blocks = blocks.select(*self.keys, "_blk", *[F.coalesce(F.sum(f"_b_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in values])
+        inner = self.inner.rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({f"_s_{k}": F.sum(f"_v_{k}").over(inner) for k in values})
+        df = self._join_blocks(df, blocks).withColumns({k: F.col(f"_s_{k}") + F.col(f"_b_{k}") for k in values})
+        return self._with(df.drop(*[p + k for k in values for p in ("_v_", "_s_", "_b_")]))
+
     def row_number(self, name: str) -> "Ordered":
         return self.running_sum(F.lit(1).cast("bigint"), name)
 

@@ -15,11 +15,19 @@ from molframe.session import checkpoint_dir
 from molframe.sources.structures import entry_of
 
 
-def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_now(stream: DataFrame, mode: str = "append", state: bool = False, progress: list | None = None) -> DataFrame:
     """Run a stream over all that is there and return what it emitted, with `batch`, from the checkpoint folder.
 
-    Every batch is a folder of its own, replaced when the batch is run again after a failure, so rows come once."""
+    Every batch is a folder of its own, replaced when the batch is run again after a failure, so rows come once. `state` keeps state
+    in RocksDB; each batch's report is added to `progress`."""
     spark = stream.sparkSession
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    if state:
+        spark.conf.set(store, ROCKS)
     root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
@@ -30,7 +38,10 @@ def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/log").trigger(availableNow=True)
         .foreachBatch(keep).start()
     )
+    spark.conf.set(store, before)
     q.awaitTermination()
+    if progress is not None:
+        progress.extend(q.recentProgress)
     return spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(f"{root}/out")
 
 

@@ -1,7 +1,8 @@
 """Exact order statistics without one task per group.
 
-Values of a group are counted in coarse bins first; a running count over the bins (few rows) says which bin holds
-each wanted rank, and only the rows of those bins are ranked.
+The distinct values of a group are dealt to bins of nearly equal size, whose cut points come from a quantile sketch of the group
+(merged map-side). A running count over the bins (few rows) says what lies before each bin, and values are ranked inside
+their bin. Neither an outlier nor a value that most rows have makes a bin larger than the others.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
+BINS = 1024
 
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -25,13 +26,24 @@ def attach(df: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumn("_one", one).join(F.broadcast(summary.withColumn("_one", one)), "_one").drop("_one")
 
 
-def cumulative(counts: DataFrame, by: list[str], weight: list[str], bins: int = BINS) -> DataFrame:
-    """`counts` (by, v, ...) with before_<w>: the sum of each weight over smaller values of the group.
+def binned(counts: DataFrame, by: list[str], bins: int = BINS) -> DataFrame:
+    """`counts` (by, v, ...; a value once in a group) with _bin, growing with v: about a `bins`-th of the group's values in each.
+
+    The cut points of a group (as many as it has values at most) are looked up in two steps, first among every k-th of them."""
+    points = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx("v", [i / bins for i in range(1, bins)], 10 * bins)).alias("_cuts"))
+    step = F.greatest(F.ceil(F.sqrt(F.size("_cuts"))).cast("int"), F.lit(1))
+    points = points.withColumn("_step", step)
+    points = points.withColumn("_coarse", F.transform(F.sequence(F.lit(0), F.size("_cuts") - 1, F.col("_step")), lambda i: F.get("_cuts", i)))
+    d = attach(counts, points, by)
+    low = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("v")))
+    start = (low(F.col("_coarse")) - 1) * F.col("_step")
+    place = F.when(start < 0, F.lit(0)).otherwise(start + low(F.slice("_cuts", F.greatest(start, F.lit(0)) + 1, F.col("_step"))))
+    return d.withColumn("_bin", place.cast("bigint")).drop("_cuts", "_step", "_coarse")
 
-    Two levels: inside a bin of values, and over the bins. Values are on a grid, so a bin has few distinct ones."""
-    d = attach(counts, counts.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")), by)
-    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12)) / F.lit(float(bins))
-    d = d.withColumn("_bin", F.floor((F.col("v") - F.col("_lo")) / width).cast("bigint")).drop("_lo", "_hi")
+
+def cumulative(counts: DataFrame, by: list[str], weight: list[str], bins: int = BINS) -> DataFrame:
+    """`counts` (by, v, ...) with before_<w>: the sum of each weight over smaller values of the group, inside a bin and over the bins."""
+    d = binned(counts, by, bins)
     inner = Window.partitionBy(*by, "_bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     base = d.groupBy(*by, "_bin").agg(*[F.sum(w).alias("_b_" + w) for w in weight])

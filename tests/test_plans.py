@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from molframe.operators import nucleic as N
@@ -108,3 +110,21 @@ def test_stems_knots_levels_and_runs(spark):
     nested = st.filter("stem = 1").select("entry", "i", "j")
     runs = {(r.lo, r.hi): r.kind for r in N.na_runs(places, nested, ["entry"]).collect()}
     assert runs == {(0, 0): "tail", (3, 8): "hairpin", (11, 15): "tail"}
+
+
+def test_bins_are_even_whatever_the_values(spark):
+    n = 20_000
+    rng = np.random.default_rng(4)
+    skewed = {"even": np.arange(n) / 7.0, "outlier": np.append(np.arange(n - 1) * 1e-3, 1e12), "heavy": np.where(rng.random(n) < 0.9, 5.0, np.exp(rng.normal(0, 5, n))), "one": np.full(n, 3.0)}
+    d = spark.createDataFrame(pd.concat([pd.DataFrame({"g": g, "x": v}) for g, v in skewed.items()]))
+    counts = R.value_counts(d, ["g"], "x").cache()
+    sizes = {g: [r["count"] for r in R.binned(counts, ["g"], 64).filter(F.col("g") == g).groupBy("_bin").count().collect()] for g in skewed}
+    for g in ("even", "outlier", "heavy"):
+        assert 40 <= len(sizes[g]) <= 64 and max(sizes[g]) <= 2 * np.median(sizes[g])
+    got = {r.g: r for r in R.quantiles(d, ["g"], "x", {"q1": 0.25, "median": 0.5, "p99": 0.99, "most": 1.0}).collect()}
+    for g, v in skewed.items():
+        want = np.quantile(v, [0.25, 0.5, 0.99, 1.0])
+        assert got[g].n == n and np.allclose([got[g].q1, got[g].median, got[g].p99, got[g].most], want, rtol=1e-12)
+    (whole,) = R.quantiles(d.filter("g = 'even'"), [], "x", {"median": 0.5}).collect()
+    assert abs(whole["median"] - np.median(skewed["even"])) < 1e-9
+    assert R.quantiles(d.filter("g = 'none'"), ["g"], "x", {"median": 0.5}).count() == 0

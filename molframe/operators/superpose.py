@@ -30,7 +30,11 @@ def fit_sums(pairs: DataFrame, group: list[str]) -> DataFrame:
 
 def kabsch(pairs: DataFrame, group: list[str]) -> DataFrame:
     """group, n, r (nine numbers), t (x y z), rmsd."""
-    s = fit_sums(pairs, group)
+    return fit_of_sums(fit_sums(pairs, group), group)
+
+
+def fit_of_sums(s: DataFrame, group: list[str]) -> DataFrame:
+    """The fit that follows from the sums of `fit_sums`, which may have been added up over groups."""
     n = F.col("n")
     cov = F.array(*[F.col(f"s_{a}{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n for a in XYZ for b in UVW])
     norm = lambda names, total: F.col(total) - sum((F.col("s_" + k) * F.col("s_" + k) for k in names[1:]), F.col("s_" + names[0]) * F.col("s_" + names[0])) / n

@@ -136,10 +136,9 @@ def manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame:
     over = placed(subs.select(F.lit(0).alias("_all"), F.col("tree").alias("of"), "h"), "_all", ["of"])
     over = cut(over.select(F.col("_all").cast("string").alias("tree"), "pos", "size", "h", "of"))
     tops = climb(over, ["of"])
-    root = roots(over, tops).select(F.col("h").alias("root"))
+    root = roots(over, tops).first()  # one row: the hash of all
     above = descend(over, tops, ["h", "of"]).select(F.col("of").alias("tree"), F.col("h").alias("subroot"), "path")
-    # a row for each source, with the one root beside it
-    above = cut(above.withColumn("_one", F.lit(1)).join(F.broadcast(root.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    above = cut(above.withColumn("root", F.lit(root["h"] if root else None).cast("string")))
     own = descend(leaves, levels, [*carry, "h"], above.select("tree", "path"))
     return own.join(above.select("tree", "subroot", "root"), "tree").select("doc_id", "source", F.col("h").alias("leaf"), "subroot", "root", "path", "changed")
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from molframe.llm import decontam, langid, minhash, mixing, sharding
-from molframe.llm.common import cut, release, table
+from molframe.llm.common import by_key, cut, parts, release, table
 
 #: a document whose language is less certain than this goes, as do those without letters
 LEAST_SCORE = 0.4
@@ -26,7 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies."""
+    """The smallest doc_id of each group of near copies. Texts are dealt by doc_id once; both joins find them where they lie."""
+    docs = by_key(docs.filter("doc_id is not null").repartition(parts(spark), "doc_id"), "doc_id")
     kept = cut(minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct())
     release(spark)
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)

@@ -129,44 +129,68 @@ def close_pairs(rows: DataFrame, signs: DataFrame, sets: DataFrame, percent: int
     dealt = met.join(counts, ["key", "meet"]).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
-    dealt = dealt.drop("n", "n_shingles", "blocks", "other").join(sets, "doc_id").join(signs.select("doc_id", "signature"), "doc_id")
+    dealt = dealt.drop("n", "n_shingles", "blocks", "other")
+    small = signs.select("doc_id", "signature")
+    n = 16 * parts(rows.sparkSession)
+    bucket = F.pmod(F.xxhash64("key", "meet", "x", "y"), F.lit(n)).alias("bucket")
+    # signatures alone first: the sets of documents that agree with no other need not travel
+    likely = cut(dealt.join(small, "doc_id").groupBy(bucket).applyInArrow(_likely, "key long, meet int, x int, y int, doc_id long, component long, mine int, home int"))
 
     def work(t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in ("key", "meet", "x", "y", "doc_id")])
-        names = ("key", "meet", "x", "y", "doc_id", "component", "mine", "home")
-        key, meet, x, y, doc, comp, mine, home = (t.column(c).to_numpy() for c in names)
-        sig = np.frombuffer(flat(t.column("signature"))[0].tobytes(), dtype=np.uint32).reshape(len(key), -1)
+        t = t.sort_by(BLOCK_ORDER)
+        doc = t.column("doc_id").to_numpy()
         lists = t.column("shingles").combine_chunks()
         values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-        turn = (key[1:] != key[:-1]) | (meet[1:] != meet[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        edge = np.flatnonzero(np.concatenate([[True], turn, [True]]))
         a, b = [], []
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            band = int(key[s]) & (BANDS - 1)
-            for i in range(s, e - 1):
-                other = np.arange(i + 1, e)
-                # two guests have met in their own class; in a task of two blocks only documents of both
-                use = (comp[other] != comp[i]) & ((home[i] == meet[i]) | (home[other] == meet[i]))
-                if x[i] != y[i]:
-                    use &= mine[other] != mine[i]
-                other = other[use]
-                if not len(other):
-                    continue
-                same = sig[other] == sig[i]
-                other, same = other[near := same.mean(axis=1) >= LEAST_AGREEMENT], same[near]
-                first = same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                own = values[at[i] : at[i + 1]]
-                for j in other[first == band].tolist():
-                    theirs = values[at[j] : at[j + 1]]
-                    shared = len(np.intersect1d(own, theirs, assume_unique=True))
-                    if 100 * shared >= percent * (len(own) + len(theirs) - shared):
-                        a.append(doc[i])
-                        b.append(doc[j])
+        for i, near in _partners(t):
+            own = values[at[i] : at[i + 1]]
+            for j in near.tolist():
+                theirs = values[at[j] : at[j + 1]]
+                shared = len(np.intersect1d(own, theirs, assume_unique=True))
+                if 100 * shared >= percent * (len(own) + len(theirs) - shared):
+                    a.append(doc[i])
+                    b.append(doc[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    n = 16 * parts(rows.sparkSession)
-    bucket = F.pmod(F.xxhash64("key", "meet", "x", "y"), F.lit(n)).alias("bucket")
-    return dealt.groupBy(bucket).applyInArrow(work, "a long, b long")
+    return likely.join(sets, "doc_id").join(small, "doc_id").groupBy(bucket).applyInArrow(work, "a long, b long")
+
+
+BLOCK_ORDER = [(c, "ascending") for c in ("key", "meet", "x", "y", "doc_id")]
+
+
+def _partners(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For rows in BLOCK_ORDER: each with those after it that it is to be compared with here and whose signature agrees."""
+    names = ("key", "meet", "x", "y", "component", "mine", "home")
+    key, meet, x, y, comp, mine, home = (t.column(c).to_numpy() for c in names)
+    sig = np.frombuffer(flat(t.column("signature"))[0].tobytes(), dtype=np.uint32).reshape(len(key), -1)
+    turn = (key[1:] != key[:-1]) | (meet[1:] != meet[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    edge = np.flatnonzero(np.concatenate([[True], turn, [True]]))
+    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        band = int(key[s]) & (BANDS - 1)
+        for i in range(s, e - 1):
+            other = np.arange(i + 1, e)
+            # two guests have met in their own class; in a task of two blocks only documents of both
+            use = (comp[other] != comp[i]) & ((home[i] == meet[i]) | (home[other] == meet[i]))
+            if x[i] != y[i]:
+                use &= mine[other] != mine[i]
+            other = other[use]
+            if not len(other):
+                continue
+            same = sig[other] == sig[i]
+            other, same = other[near := same.mean(axis=1) >= LEAST_AGREEMENT], same[near]
+            other = other[same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            if len(other):
+                yield i, other
+
+
+def _likely(t: pa.Table) -> pa.Table:
+    """The rows whose signature agrees with another's that they are to be compared with."""
+    t = t.sort_by(BLOCK_ORDER)
+    hit = np.zeros(len(t), dtype=bool)
+    for i, near in _partners(t):
+        hit[i] = True
+        hit[near] = True
+    return t.select(["key", "meet", "x", "y", "doc_id", "component", "mine", "home"]).filter(pa.array(hit))
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

@@ -121,30 +121,48 @@ def release_window(date: Column, after: str, until: str) -> Column:
     return (date > F.lit(after).cast("date")) & (date <= F.lit(until).cast("date"))
 
 
-def top_up(sample: DataFrame, rest: DataFrame, features: list[tuple[str, int]], rounds: int = 50) -> DataFrame:
-    """Reach short feature quotas by swaps. `sample`: id, stratum, bin, place, has (array of features); `rest`: id,
-    stratum, bin, place, has, accepted ids only. A round swaps, per feature, as many as it is short: the last drawn
-    that lack it (and hold no feature at its target) for the next of their pool that has it, rank for rank."""
+def top_up(sample: DataFrame, rest: DataFrame, features: list[tuple[str, int]]) -> DataFrame:
+    """`sample` with short feature quotas reached by swaps, feature by feature, as far as any swap is left; `fixed` rows stay.
+
+    sample: id, stratum, bin, place (order of drawing), has (array of features), fixed; rest: id, stratum, bin, place, has, accepted ids
+    only. A victim lacks the feature and holds no other feature that is at its target or short of it; the last drawn go first. The next
+    of its pool that has the feature takes its row; pool rows before it are used up. A round swaps the k-th victim of each pool for
+    the pool's k-th candidate, as many as the quota is short, and of these only as many as leave every other feature at its target: their
+    running number is held against what the feature has to spare. The first always may, so a round without a swap is the end."""
     from molframe.session import cut
 
+    names = [f for f, _ in features]
     s, r = cut(sample), cut(rest)
+    pool = Window.partitionBy("stratum", "bin")
     for feature, target in features:
-        for _ in range(rounds):
-            counts = {f: s.filter(F.array_contains("has", f)).count() for f, _ in features}
-            need = target - counts[feature]
+        others = [(f, t) for f, t in features if f != feature]
+        while True:
+            held = s.agg(*[F.count_if(F.array_contains("has", f)).alias(f"n{i}") for i, f in enumerate(names)]).first()
+            count = {f: held[i] for i, f in enumerate(names)}
+            need = target - count[feature]
             if need <= 0:
                 break
-            tight = [f for f, t in features if f != feature and counts[f] <= t]
-            free = ~F.array_contains("has", feature)
-            for f in tight:
-                free = free & ~F.array_contains("has", f)
-            w = Window.partitionBy("stratum", "bin")
-            out = s.filter(free).withColumn("_k", F.row_number().over(w.orderBy(F.desc("place"))))
-            new = r.filter(F.array_contains("has", feature)).withColumn("_k", F.row_number().over(w.orderBy("place")))
-            swap = out.select("stratum", "bin", "_k", F.col("id").alias("gone")).join(new, ["stratum", "bin", "_k"])
-            swap = cut(swap.orderBy("_k", "stratum", "bin").limit(need))
+            free = ~F.array_contains("has", feature) & ~F.col("fixed")
+            for f, t in others:
+                if count[f] <= t:
+                    free = free & ~F.array_contains("has", f)
+            out = s.filter(free).withColumn("_k", F.row_number().over(pool.orderBy(F.desc("place"), "id")))
+            new = r.filter(F.array_contains("has", feature)).withColumn("_k", F.row_number().over(pool.orderBy("place", "id")))
+            old = out.select("stratum", "bin", "_k", F.col("id").alias("gone"), F.col("place").alias("_at"), F.col("has").alias("_had"))
+            swap = old.join(new.select("stratum", "bin", "_k", "id", F.col("place").alias("_from"), "has"), ["stratum", "bin", "_k"])
+            # `need` rows at most: one after the other, as far as the others' surplus goes
+            swap = cut(swap.orderBy("_k", "stratum", F.desc("_at"), "gone").limit(need))
+            line = Window.orderBy("_k", "stratum", F.desc("_at"), "gone").rowsBetween(Window.unboundedPreceding, 0)
+            ok = F.lit(True)
+            for f, t in others:
+                lost = F.sum((F.array_contains("_had", f) & ~F.array_contains("has", f)).cast("int")).over(line)
+                ok = ok & ((lost <= max(count[f] - t, 0)) | ~F.array_contains("_had", f))
+            swap = cut(swap.withColumn("_ok", ok).filter("_ok"))
             if swap.isEmpty():
                 break
-            s = cut(s.join(swap.select(F.col("gone").alias("id")), "id", "left_anti").unionByName(swap.select(*s.columns)))
-            r = cut(r.join(swap.select("id"), "id", "left_anti"))
+            place = swap.select(F.col("gone").alias("id"), F.col("id").alias("_new"), F.col("has").alias("_has"))
+            j = s.join(place, "id", "left")
+            s = cut(j.select(*[F.coalesce("_new", "id").alias(c) if c == "id" else F.when(F.col("_new").isNotNull(), F.col("_has")).otherwise(F.col("has")).alias(c) if c == "has" else F.col(c) for c in s.columns]))
+            used = swap.groupBy("stratum", "bin").agg(F.max("_from").alias("_used"))
+            r = cut(r.join(used, ["stratum", "bin"], "left").filter("_used is null or place > _used").drop("_used"))
     return s

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from molframe.functions import chemistry as chem
 from molframe.functions.geom import Vec, dist, grid_mean, snap, vec, vec_cols
 from molframe.functions.linalg import eig3
+from molframe.operators.polymers import told_by_atoms
 from molframe.plans.graph import bfs
 from molframe.plans.ordered import Ordered, block_of
 from molframe.plans.spatial import pairs_between, pairs_within
@@ -80,8 +81,9 @@ def with_kind(atoms: DataFrame) -> DataFrame:
     """Heavy atoms with `kind`: protein, nucleic, or null for anything that is no polymer.
 
     Where the file gives entity types (column `entity_type`), only polymer entities count, so a free amino acid or
-    nucleotide is a ligand, and a modified residue is told by its atoms: C1', C4' and O4' make a nucleotide, N, CA and C
-    an amino acid. Without entity types the standard names decide."""
+    nucleotide is a ligand, and a modified residue is told by its atoms: C1', C4', O4' and a phosphate or O3' make a
+    nucleotide, N, CA and C an amino acid. The readers give such types also to modified residues of files that name none. Without
+    entity types the standard names decide."""
     heavy = atoms.filter(chem.is_heavy(F.col("elem")))
     named = chem.polymer_kind(F.col("resname"))
     if "entity_type" not in atoms.columns:
@@ -89,9 +91,7 @@ def with_kind(atoms: DataFrame) -> DataFrame:
     polymer = F.col("entity_type") == "polymer"
     odd = heavy.filter(polymer & named.isNull())
     names = odd.groupBy(*RES, "resname").agg(F.collect_set("atom").alias("_names"))
-    holds = lambda *parts: F.size(F.array_intersect("_names", F.array(*map(F.lit, parts)))) == len(parts)
-    told = F.when(holds("C1'", "C4'", "O4'"), "nucleic").when(holds("N", "CA", "C"), "protein")
-    odd = odd.join(names.select(*RES, "resname", told.alias("kind")), [*RES, "resname"])
+    odd = odd.join(names.select(*RES, "resname", told_by_atoms(F.col("_names")).alias("kind")), [*RES, "resname"])
     plain = heavy.filter(~F.coalesce(polymer, F.lit(False)) | named.isNotNull())
     # a null type: the file names none for this residue
     return plain.withColumn("kind", F.when(F.coalesce(polymer, F.lit(True)), named)).unionByName(odd)

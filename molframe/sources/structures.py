@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from molframe.operators.polymers import linked_types
 from molframe.plans.ordered import Ordered, block_of
 from molframe.session import cut
 
@@ -77,11 +78,11 @@ def _atom_columns() -> list[Column]:
 
 
 def read_pdb(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """ATOM and HETATM records of the first model."""
+    """ATOM and HETATM records of the first model. `entity_type` is polymer for modified residues bonded into a chain, else null."""
     d = _first_model(lines(spark, paths), F.col("value").startswith("MODEL "))
     end = d.filter(F.trim("value") == "END").groupBy("entry").agg(F.min("idx").alias("_end"))
     d = d.join(end, "entry", "left").filter(F.col("_end").isNull() | (F.col("idx") < F.col("_end")))
-    return d.filter(F.col("value").rlike("^(ATOM  |HETATM)")).select(*_atom_columns())
+    return linked_types(d.filter(F.col("value").rlike("^(ATOM  |HETATM)")).select(*_atom_columns()))
 
 
 def read_membrane_planes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -181,24 +182,28 @@ def _cell(name: str) -> Column:
 
 
 def read_mmcif_atoms(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """The _atom_site loop, first model only; columns are found by the header."""
+    """The _atom_site loop, first model only; columns are found by the header. `entity_type` comes from the file's entities; where it names
+    none, it is polymer for modified residues bonded into a chain, else null."""
     d = cif_loop(spark, paths, "atom_site")
     model = _cell("pdbx_PDB_model_num").try_cast("int")
     first = d.groupBy("entry").agg(F.min(F.struct("idx", model.alias("m")))["m"].alias("_m"))
     d = d.withColumn("_model", model).join(first, "entry").filter(F.col("_model").eqNullSafe(F.col("_m")))
     atom = F.coalesce(_cell("auth_atom_id"), _cell("label_atom_id"))
     num = lambda n: _cell(n).try_cast("double")
-    return d.select(
+    atoms = d.select(
         "entry", F.coalesce(_cell("auth_asym_id"), _cell("label_asym_id")).alias("chain"), _cell("label_asym_id").alias("subchain"),
         F.coalesce(_cell("auth_seq_id"), _cell("label_seq_id")).try_cast("int").alias("seq"), F.coalesce(_cell("pdbx_PDB_ins_code"), F.lit("")).alias("icode"),
         F.coalesce(_cell("auth_comp_id"), _cell("label_comp_id")).alias("resname"), atom.alias("atom"), _element(_cell("type_symbol"), atom).alias("elem"),
         F.coalesce(_cell("label_alt_id"), F.lit("")).alias("altloc"), (_cell("group_PDB") == "HETATM").alias("het"), num("Cartn_x").alias("x"),
         num("Cartn_y").alias("y"), num("Cartn_z").alias("z"), num("B_iso_or_equiv").alias("b"), "idx", _cell("label_entity_id").alias("entity"),
     )
+    return linked_types(with_entity_types(spark, atoms, paths))
 
 
 def with_entity_types(spark: SparkSession, atoms: DataFrame, paths: str | list[str]) -> DataFrame:
-    """`atoms` with `entity_type` (polymer, non-polymer, water ...) of mmCIF files; null where the file names none."""
+    """`atoms` with `entity_type` (polymer, non-polymer, water ...) of mmCIF files; null where the file names none. Atoms that have it stay as they are."""
+    if "entity_type" in atoms.columns:
+        return atoms
     kinds = cif_loop(spark, paths, "entity").select("entry", _cell("id").alias("entity"), _cell("type").alias("entity_type"))
     return atoms.join(kinds.dropDuplicates(["entry", "entity"]), ["entry", "entity"], "left")
 

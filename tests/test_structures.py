@@ -166,6 +166,7 @@ HETATM 5 H HB SEP A 1 1 2.5 -1.4 0.0
 ATOM 6 C "C1'" PSU B 1 2 9.0 0.0 0.0
 ATOM 7 C "C4'" PSU B 1 2 9.0 1.0 0.0
 ATOM 8 O "O4'" PSU B 1 2 9.0 2.0 0.0
+ATOM 12 P P PSU B 1 2 9.0 3.0 0.0
 HETATM 9 N N ALA C 2 . 20.0 0.0 0.0
 HETATM 10 C CA ALA C 2 . 21.0 0.0 0.0
 HETATM 11 C C ALA C 2 . 22.0 0.0 0.0
@@ -179,7 +180,7 @@ def test_wrapped_rows_and_text_blocks(spark, tmp_path):
     assert [(r["assembly_id"], r["oper_expression"], r["asym_id_list"]) for r in rows] == [("1", "1", "A,B"), ("2", "1", "C,D,\n_not.a_name"), ("3", "1,2", "E ,F")]
     (one,) = X.cif_loop(spark, p, "single").collect()
     assert one.cells == {"name": "two\nlines", "other": "a b"}
-    assert X.read_mmcif_atoms(spark, p).count() == 11
+    assert X.read_mmcif_atoms(spark, p).count() == 12
 
 
 def test_polymers_by_entity_and_atoms(spark, tmp_path):
@@ -228,3 +229,40 @@ def test_g_tetrads_of_guanines_in_a_square(spark):
     got = [(r.entry, r.ring) for r in N.g_tetrads(nts, atoms).collect()]
     # three of four guanines make no ring
     assert got == [(1, [0, 32, 64, 96])]
+
+
+def modified():
+    """Three amino acids with SEP in the middle, three nucleotides with PSU in the middle, ATP and a free SEP beside them."""
+    h, lines, n = helix(3), [], 1
+    def put(atom, res, chain, seq, xyz, rec="ATOM"):
+        nonlocal n
+        lines.append(pdb_line(n, atom, res, chain, seq, xyz, rec=rec))
+        n += 1
+    for k, res in enumerate(("ALA", "SEP", "GLY")):
+        for a in ("N", "CA", "C", "O"):
+            put(a, res, "A", k + 1, h[k][a], "HETATM" if res == "SEP" else "ATOM")
+    sugar = {"P": 0.0, "O4'": 1.5, "C4'": 2.5, "C1'": 3.5, "O3'": 5.0}
+    for k, res in enumerate(("A", "PSU", "U")):
+        for a, x in sugar.items():
+            put(a, res, "B", k + 1, (40 + 6.6 * k + x, 0, 0), "HETATM" if res == "PSU" else "ATOM")
+    for a, x in (sugar | {"PA": 0.2}).items():
+        if a != "P":
+            put(a, "ATP", "B", 101, (40 + x, 30, 0), "HETATM")
+    for a, x in sugar.items():
+        put(a, "5MC", "B", 102, (40 + x, 60, 0), "HETATM")
+    for a in ("N", "CA", "C", "O"):
+        put(a, "SEP", "A", 103, [v + 80 for v in h[0][a]], "HETATM")
+    return lines
+
+
+CIF_HEAD = ["data_M", "loop_", *["_atom_site." + c for c in "group_PDB id type_symbol label_atom_id label_comp_id label_asym_id auth_asym_id auth_seq_id Cartn_x Cartn_y Cartn_z".split()]]
+
+
+def test_modified_residues_are_told_by_their_links(spark, tmp_path):
+    lines = modified()
+    cif = [" ".join((x[:6].strip(), x[6:11].strip(), x[76:78].strip(), '"' + x[12:16].strip() + '"', x[17:20].strip(), x[21], x[21], x[22:26].strip(), *x[30:54].split())) for x in lines]
+    for atoms in (X.read_pdb(spark, write(tmp_path / "m.pdb", lines)), X.read_mmcif_atoms(spark, write(tmp_path / "m.cif", CIF_HEAD + cif))):
+        assert atoms.count() == len(lines)
+        kinds = {(r.resname, r.seq): r.kind for r in I.with_kind(atoms).select("resname", "seq", "kind").distinct().collect()}
+        assert kinds == {("ALA", 1): "protein", ("SEP", 2): "protein", ("GLY", 3): "protein", ("A", 1): "nucleic", ("PSU", 2): "nucleic", ("U", 3): "nucleic", ("ATP", 101): None, ("5MC", 102): None, ("SEP", 103): None}
+        assert {(r.resname, r.seq) for r in I.free_atoms(atoms).collect()} == {("ATP", 101), ("5MC", 102), ("SEP", 103)}

@@ -49,6 +49,8 @@ def grid_join(move: DataFrame, stay: DataFrame, group: list[str], cells: list[st
     one = F.coalesce(F.col("_parts"), F.lit(1))
     s = stay.join(parts, key, "left")
     s = s.withColumn("_part", F.pmod(F.xxhash64(F.col(unique)), one).cast("int")).drop("_parts")
+    # rows grow by 3 to the `dim` and meet their neighbours where they lie when the other side is small: deal them evenly first
+    move = move.repartition(int(move.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     m = _spread(move, dim, cells).join(parts, key, "left")
     m = m.withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
     return m.join(s, [*key, "_part"]).drop(*cells, "_part")

@@ -28,6 +28,9 @@ def linked_types(atoms: DataFrame) -> DataFrame:
     a = cut(atoms if "entity_type" in atoms.columns else atoms.withColumn("entity_type", F.lit(None).cast("string")))
     odd = a.filter(F.col("entity_type").isNull() & chem.polymer_kind(F.col("resname")).isNull() & ~F.col("resname").isin([*chem.WATER, "DUM"]))
     odd = odd.groupBy(*RESIDUE).agg(F.collect_set("atom").alias("_names")).withColumn("_kind", told_by_atoms(F.col("_names"))).filter("_kind is not null").select(*RESIDUE, "_kind")
+    odd = cut(odd)
+    if odd.isEmpty():
+        return a
     ends = a.filter(F.col("atom").isin("O3'", "P", "C", "N")).select(*RESIDUE, "atom", "idx", "x", "y", "z")
     core = a.filter(F.col("atom").isin("C1'", "CA")).select(*RESIDUE, F.when(F.col("atom") == "CA", "protein").otherwise("nucleic").alias("_kind")).distinct()
     mine = ends.join(odd, RESIDUE)

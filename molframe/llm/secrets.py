@@ -12,8 +12,10 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -31,8 +33,8 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 SENSITIVE = re.compile(r"(?ai:passw(?:or)?d|passphrase|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|authorization|bearer)")
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "authorization", "bearer")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 NOVEL_CHARS, REACH, AROUND = 12, 80, 200
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{NOVEL_CHARS},}}")
 IDENTIFIERS = 4000
 TWINS = 8
 CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
@@ -55,9 +57,10 @@ def placed(text: str) -> Iterator[re.Match[str]]:
     """Strings of a candidate's characters and length within REACH after a sensitive word, in order, each once."""
     done = 0
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), done)):
-            if m.start() > word.end() + REACH:
-                break
+        # only the first NOVEL_CHARS of a candidate have to lie before `last`; the match itself runs on
+        last = word.end() + REACH + NOVEL_CHARS
+        while near := CANDIDATE.search(text, max(word.end(), done), last):
+            m = CANDIDATE.match(text, near.start())
             done = m.end()
             yield m
 
@@ -96,7 +99,14 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], squeeze: zstandard
     lower = text.lower()
     if not any(h in lower for h in HINTS):
         return []
-    free = (m for m in placed(text) if not any(s < m.end() and m.start() < e for s, _, e in taken))
+    starts = [s for s, _, _ in taken]
+    reach = list(accumulate((e for _, _, e in taken), max))
+
+    def is_free(m: re.Match[str]) -> bool:
+        before = bisect_left(starts, m.end())
+        return not before or reach[before - 1] <= m.start()
+
+    free = (m for m in placed(text) if is_free(m))
     return [(m.start(), 3, m.end()) for m in free if is_novel(text, m, squeeze, limit)]
 
 

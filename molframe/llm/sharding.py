@@ -3,7 +3,8 @@
 Groups of equal texts are placed one by one, largest first, each into the shard where the dot product of its size vector
 with the shard's residual capacity is highest. One task packs BLOCK groups at most. More are packed block by block into
 a few bins for each shard, and the bins are packed again as groups of the next level; a group too large for a
-block's bins is handed up as it is. A group larger than half a shard is split into sixteenths of a shard."""
+block's bins is handed up as it is. A group larger than half a shard in
+any size is split into sixteenths of a shard in that size."""
 
 from __future__ import annotations
 
@@ -91,7 +92,8 @@ def shard(docs: DataFrame, bins: int = 8, block: int = BLOCK) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens) for every row of `docs`.
 
     The law is `bytes`: the shards' sizes (UTF-8 bytes plus one for each row) are near equal, and so are tokens and rows.
-    Rows with equal texts are one group and share a shard, unless the group is larger than half a shard. A null text has
+    Rows with equal texts are one group and share a shard, unless the group has more than half a shard's bytes, tokens
+    or rows. A null text has
     no bytes and is no copy of an empty one. Rows that repeat a doc_id are placed and counted each. An empty table gives
     an empty result. Other columns are not read."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -103,10 +105,13 @@ def shard(docs: DataFrame, bins: int = 8, block: int = BLOCK) -> DataFrame:
         F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("null")).alias("group"),
     )
     base = cut(base)
-    groups = base.groupBy("group").agg(F.sum("size").alias("bytes"))
-    most = (base.agg(F.sum("size")).first()[0] or 0) / (2 * bins)
-    # groups above half a shard: fewer than 2 * bins; their pieces are a sixteenth of a shard
-    large = groups.filter(F.col("bytes") > most).select("group", F.ceil(F.col("bytes") / F.lit(max(most / 8, 1.0))).alias("pieces"))
+    sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
+    groups = base.groupBy("group").agg(*sums)
+    total = base.agg(*sums).first()
+    half = {c: max((total[c] or 0) / (2 * bins), 0.125) for c in SIZES}
+    # groups above half a shard: fewer than 2 * bins for each size; their pieces are a sixteenth of a shard
+    pieces = F.greatest(*(F.ceil(F.col(c) / F.lit(half[c] / 8)) for c in SIZES))
+    large = groups.filter(" or ".join(f"{c} > {half[c]!r}D" for c in SIZES)).select("group", F.least(pieces, "rows").alias("pieces"))
     base = base.join(F.broadcast(large), "group", "left")
     base = base.withColumn("unit", F.when(F.col("pieces").isNull(), F.col("group")).otherwise(F.concat_ws("/", "group", F.pmod(F.xxhash64("doc_id"), F.col("pieces")))))
     units = base.groupBy("unit").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))

@@ -128,6 +128,13 @@ def test_shards_of_a_group_with_most_rows(spark):
     assert len(size) == 8 and size.max() - size.min() < 0.05 * size.mean()
 
 
+def test_shards_of_a_group_with_most_rows_and_few_bytes(spark):
+    rows = [(i, None) for i in range(1000)] + [(1000 + i, "other %d words " % i * 20) for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), bins=8).toPandas()
+    for size in (got.groupby("shard").doc_id.count(), got.groupby("shard")["size"].sum(), got.groupby("shard").tokens.sum()):
+        assert len(size) == 8 and size.max() - size.min() < 0.1 * size.mean()
+
+
 def test_levels_of_packing(spark):
     units = spark.range(3000).selectExpr("cast(id as string) as unit", "1 + id * 7919 % 500 as bytes", "1 + id % 40 as tokens", "1L as rows")
     got = sharding.place(units, 2, 512).join(units, "unit").groupBy("shard").agg({"bytes": "sum", "rows": "sum"}).collect()

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -29,6 +30,33 @@ def brute_spans(text):
     return sorted((m.start(), i, m.end()) for i, (_, r, ok) in enumerate(rules) for m in re.finditer(r, text) if ok(m))
 
 
+def test_places_of_candidates():
+    rng = random.Random(8)
+    words = ["token", "secret", "api key", "pwd", "a" * 11, "b" * 12, "c" * 30, " ", ". " * 45, "\n", "é", "-", "="]
+    for _ in range(300):
+        text = "".join(rng.choice(words) for _ in range(40))
+        want, done = [], 0
+        for word in secrets.SENSITIVE.finditer(text):
+            for m in secrets.CANDIDATE.finditer(text, max(word.end(), done)):
+                if m.start() > word.end() + secrets.REACH:
+                    break
+                done = m.end()
+                want.append(m.span())
+        assert [m.span() for m in secrets.placed(text)] == want
+
+
+@pytest.mark.parametrize("piece", ["token ", "token=abcdef ", "secret 1bcdefghijk2 "])
+def test_scan_takes_time_in_proportion(piece):
+    squeeze = secrets.zstandard.ZstdCompressor(level=3, write_content_size=False)
+    text = piece * (2_000_000 // len(piece))
+    if "1bc" in piece:  # each candidate is compressed beside its twins, so fewer of them
+        text = text[:100_000] + "token=abcdef " * 100_000
+    start = time.process_time()
+    base = secrets.base_spans(text)
+    secrets.novel_spans(text, base, squeeze, 0.9)
+    assert time.process_time() - start < 10
+
+
 def test_scan(spark, rows):
     rng = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

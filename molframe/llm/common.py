@@ -26,6 +26,16 @@ def raw(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def packed(docs: DataFrame, *beside: Column | str) -> DataFrame:
+    """Columns `beside` and a struct `row` of all columns of `docs` but `text`, so that no name of theirs can clash."""
+    return docs.select(*beside, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again, from `text` and `row`."""
+    return rows.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def parts(spark: SparkSession) -> int:
     """The number of shuffle partitions, by which the caller scales a job to its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import flat, portions, raw
+from .common import flat, packed, portions, raw
 from .repeats import word_hashes
 
 SAMPLE, SAMPLE_CHARS = 150, 1500
@@ -259,8 +259,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def labelled(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with columns `__lang_pred` and `__score`: `und` and 0.0 for a null text, one without letters, or where
-    nothing was learned. Only the text is read; other columns pass through unchanged, whatever they hold."""
+    """(text, row, lang_pred, score) for every row of `docs`: `und` and 0.0 for a null text, one without letters, or where
+    nothing was learned. Only the text is read; `row` holds all other columns unchanged, whatever their names
+    (`common.unpacked`)."""
+    docs = packed(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: SLOTS rows for each language
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,16 +283,16 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
             share = np.where(known, total[np.arange(len(n)), best] / np.maximum(n, 1), 0.0)
             pred = [model.langs[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), known.tolist(), strict=True)]
             columns = {name: b.column(name) for name in b.schema.names if name != "__letters"}
-            yield pa.RecordBatch.from_pydict(columns | {"__lang_pred": pa.array(pred, pa.string()), "__score": pa.array(np.clip(share, 0.0, 1.0))})
+            yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(np.clip(share, 0.0, 1.0))})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    schema = StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.withColumn("__letters", letters).mapInArrow(work, schema)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of `docs`. Repeated rows give equal results."""
-    return labelled(docs.select("doc_id", "text"), model).select("doc_id", F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    return labelled(docs.select("doc_id", "text"), model).select("row.doc_id", "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import WORD, cut
+from .common import WORD, cut, packed
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS = 4
@@ -55,26 +55,25 @@ def rake(cells: DataFrame, tolerance: float = 1e-6, most: int = 12) -> DataFrame
 def _seen(docs: DataFrame, topic: Column | None) -> list[Column]:
     """The margins of a document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return [*(F.coalesce(F.col(c), F.lit("none")).alias(f"__{c}") for c in MARGINS[:2]), (topic_of(text) if topic is None else topic).alias("__topic")]
+    return [*(F.coalesce(F.col(c), F.lit("none")).alias(c) for c in MARGINS[:2]), (topic_of(text) if topic is None else topic).alias("topic")]
 
 
 def with_draw(docs: DataFrame, power: float = 0.9, seed: int = 7, topic: Column | None = None) -> DataFrame:
-    """`docs` with __source, __lang, __topic, __tokens, __weight, __probability and __kept; see `mix`. Rows stay where they
-    are: only the cells' weights are joined to them."""
-    tokens = F.greatest(F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)), F.lit(1)).cast("long").alias("__tokens")
-    base = docs.select("*", *_seen(docs, topic), tokens)
-    cells = base.groupBy(*(F.col(f"__{m}").alias(m) for m in MARGINS)).agg(F.sum("__tokens").alias("tokens"))
-    cells = cut(cells)
+    """(text, row, source, lang, topic, tokens, weight, probability, kept) for every row of `docs`; see `mix`. `row` holds
+    all columns but the text, whatever their names (`common.unpacked`). Rows stay where they are: only the cells' weights
+    are joined to them."""
+    tokens = F.greatest(F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)), F.lit(1)).cast("long").alias("tokens")
+    base = packed(docs, "text", *_seen(docs, topic), tokens)
+    cells = cut(base.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     small = F.broadcast if cells.count() <= SMALL else lambda df: df
     with_targets = cells
     for m in MARGINS:
         with_targets = with_targets.join(small(flattened(cells, m, power).withColumnRenamed("target", f"target_{m}")), m)
     fitted = rake(with_targets)
-    ratio = fitted.select(*MARGINS, (F.col("weight") * F.sum("tokens").over(W.Window.partitionBy(F.lit(0))) / F.col("tokens")).alias("__weight"))
-    ratio = ratio.withColumn("__probability", F.col("__weight") / F.max("__weight").over(W.Window.partitionBy(F.lit(0))))
-    ratio = ratio.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), "__weight", "__probability")
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return base.join(small(ratio), [f"__{m}" for m in MARGINS]).withColumn("__kept", drawn < F.col("__probability"))
+    ratio = fitted.select(*MARGINS, (F.col("weight") * F.sum("tokens").over(W.Window.partitionBy(F.lit(0))) / F.col("tokens")).alias("weight"))
+    ratio = ratio.withColumn("probability", F.col("weight") / F.max("weight").over(W.Window.partitionBy(F.lit(0))))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("row.doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return base.join(small(ratio), list(MARGINS)).withColumn("kept", drawn < F.col("probability"))
 
 
 def mix(docs: DataFrame, power: float = 0.9, seed: int = 7, topic: Column | None = None) -> DataFrame:
@@ -86,4 +85,4 @@ def mix(docs: DataFrame, power: float = 0.9, seed: int = 7, topic: Column | None
     `none`. A document without words has one token, so it has a weight like the others of its cell. Rows that repeat a
     doc_id are kept or dropped together. An empty table gives an empty result. Other columns are not read."""
     drawn = with_draw(docs.select("doc_id", "text", *MARGINS[:2]), power, seed, topic)
-    return drawn.select("doc_id", *(F.col(f"__{c}").alias(c) for c in (*MARGINS, "tokens", "weight", "probability", "kept")))
+    return drawn.select("row.doc_id", *MARGINS, "tokens", "weight", "probability", "kept")

@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from molframe.llm import chat, decontam, langid, secrets
 
@@ -269,3 +270,24 @@ def test_pipeline(spark):
     assert {r.doc_id for r in last} == set(mixed)
     assert len(last) == len(P.run(spark, root).collect())
 
+
+def test_pipeline_keeps_mixed_languages_and_clashing_columns(spark):
+    """A text that switches among three languages stays, in stages that meet columns named like their own."""
+    import corpus_pipeline as P
+
+    root = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    some = {lang: [r.text for r in docs.filter(F.col("lang") == lang).orderBy("doc_id").limit(3).collect()] for lang in ("de", "fr", "en")}
+    words = [w for three in zip(*(" ".join(t).split()[:60] for t in some.values())) for w in three]
+    odd = [(900_001, " ".join(words)), (900_002, "the"), (900_003, "12 34"), (900_004, None)]
+    names = ["__lang_pred", "__score", "__topic", "__source", "__kept", "lang_pred", "score", "row", "topic", "kept", "weight", "tokens", "probability", "letters", "__letters", "unit", "n"]
+    more = spark.createDataFrame([(i, t, None, "s", 1) for i, t in odd], docs.schema)
+    wide = docs.unionByName(more).select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    named = P.language(spark, wide, root)
+    assert named.columns == wide.columns
+    assert {r.doc_id for r in named.filter("doc_id > 900000").collect()} == {900_001, 900_002}
+    kept = P.mixture(spark, P.decontamination(spark, P.near_duplicates(spark, named, root), root), root)
+    assert kept.columns == wide.columns and kept.count() > 0
+    assert P.shards(spark, kept, root).count() == kept.count()
+    assert all(r[n] == i for r in kept.collect() for i, n in enumerate(names))
+    assert P.mixture(spark, P.language(spark, wide.limit(0), root), root).count() == 0

@@ -8,21 +8,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from molframe.llm import decontam, langid, minhash, mixing, sharding
-from molframe.llm.common import by_key, cut, parts, release, table
+from molframe.llm.common import by_key, cut, parts, release, table, unpacked
 
-#: a document whose language is less certain than this goes, as do those without letters
-LEAST_SCORE = 0.4
 #: targets are token shares to this power: near one, so that most documents stay
 MIX_POWER = 0.95
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned from the labelled ones among them."""
+    """Documents with a word in a language that was learned from the labelled ones among them; those without letters go.
+
+    How certain the language is does not matter: a text that switches among several is clean."""
     model = langid.train(docs.filter(~langid.held_out()))
     named = langid.labelled(docs, model)
-    return named.filter((named["__lang_pred"] != langid.UNKNOWN) & (named["__score"] >= LEAST_SCORE)).select(*docs.columns)
+    return unpacked(named.filter(F.col("lang_pred") != langid.UNKNOWN), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose expected tokens follow flattened shares of sources, languages and topics."""
-    return mixing.with_draw(docs, MIX_POWER).filter("__kept").select(*docs.columns)
+    return unpacked(mixing.with_draw(docs, MIX_POWER).filter("kept"), docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

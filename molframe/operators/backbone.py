@@ -371,7 +371,44 @@ def copy_breaks(helices: DataFrame, copies: DataFrame, most: int = 2) -> DataFra
     from molframe.plans.intervals import spans_meeting
 
     m = spans_meeting(places.withColumnRenamed("a", "first").withColumnRenamed("b", "last"), h.select("entry", "copy_group", "chain", "first", "last"), ["entry", "copy_group"], "first", "last")
-    whole = m.filter("first_b <= first_a and last_b >= last_a").groupBy("entry", "copy_group", F.col("first_a").alias("a"), F.col("last_a").alias("b")).agg(F.countDistinct("chain").alias("whole"))
+    whole = m.filter("first_b <= first_a and last_b >= last_a").groupBy("entry", "copy_group", F.col("first_a").alias("a"), F.col("last_a").alias("b")).agg(F.countDistinct("chain_b").alias("whole"))
     broken = cuts.groupBy("entry", "copy_group", "a", "b").agg(F.countDistinct("chain").alias("broken"))
     out = broken.join(whole, ["entry", "copy_group", "a", "b"], "left").fillna(0, ["whole"])
     return out.withColumn("joined", F.col("whole") > F.col("broken"))
+
+
+def match_breaks(helices: DataFrame, copies: DataFrame, most: int = 2, least: int = 6) -> DataFrame:
+    """Helices (entry, chain, first, last) broken alike in all copies, with `change`: cut, joined or null.
+
+    Where copies differ in a gap of at most `most` residues, most copies decide and a tie breaks: whole helices are cut
+    there if both pieces keep `least` residues, or the pieces are joined, also across several gaps. A joined helix is not
+    cut. first and last are on the numbering of the group of copies; chains in no group stay as they are."""
+    from molframe.plans.intervals import spans_meeting
+
+    chain = ["entry", "copy_group", "chain"]
+    decided = cut(copy_breaks(helices, copies, most).filter("whole > 0").select("entry", "copy_group", "a", "b", "joined"))
+    h = helices.select("entry", "chain", "first", "last").join(copies.select("entry", "chain", "copy_group"), ["entry", "chain"], "left")
+    place = block_of(F.col("first") + 100000)
+    o = Ordered(h, ["entry", "chain"], ["first"], place).neighbour(["last"], "prev_").done()
+    joins = decided.filter("joined").select("entry", "copy_group", F.col("a").alias("prev_last"), F.col("b").alias("first"), F.lit(True).alias("held"))
+    o = o.join(joins, ["entry", "copy_group", "prev_last", "first"], "left")
+    o = Ordered(o, ["entry", "chain"], ["first"], place).islands(F.col("held").isNull(), "_run").done()
+    runs = cut(o.groupBy(*chain, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("pieces")))
+    places = decided.filter("not joined").select("entry", "copy_group", F.col("a").alias("first"), F.col("b").alias("last"))
+    met = spans_meeting(places, runs.filter("pieces = 1").drop("pieces"), ["entry", "copy_group"], "first", "last").filter("first_b <= first_a and last_b >= last_a")
+    # a helix has fewer cuts than residues
+    cuts = met.groupBy("entry", "copy_group", F.col("chain_b").alias("chain"), F.col("_run_b").alias("_run")).agg(F.array_sort(F.collect_list(F.struct(F.col("first_a").cast("long").alias("a"), F.col("last_a").cast("long").alias("b")))).alias("cuts"))
+    # a chain in no group has a null group, which meets none
+    r = runs.join(cuts, [*chain, "_run"], "left").withColumn("first", F.col("first").cast("long")).withColumn("last", F.col("last").cast("long"))
+    piece = lambda a, b: F.struct(a.alias("first"), b.alias("last"))
+
+    def step(acc: Column, c: Column) -> Column:
+        fits = (c["a"] - acc["start"] + 1 >= least) & (F.col("last") - c["b"] + 1 >= least)
+        return F.when(fits, F.struct(c["b"].alias("start"), F.concat(acc["done"], F.array(piece(acc["start"], c["a"]))).alias("done"))).otherwise(acc)
+
+    none = F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)")
+    start = F.struct(F.col("first").alias("start"), none.alias("done"))
+    pieces = F.aggregate("cuts", start, step, lambda acc: F.concat(acc["done"], F.array(piece(acc["start"], F.col("last")))))
+    out = r.withColumn("_p", F.when(F.col("cuts").isNull(), F.array(piece(F.col("first"), F.col("last")))).otherwise(pieces))
+    change = F.when(F.col("pieces") > 1, "joined").when(F.size("_p") > 1, "cut")
+    return out.select("entry", "chain", change.alias("change"), F.explode("_p").alias("_p")).select("entry", "chain", "_p.first", "_p.last", "change")

@@ -15,7 +15,7 @@ from molframe.functions.linalg import eig3
 from molframe.functions import chemistry as chem
 from molframe.plans.ordered import Ordered, block_of
 from molframe.plans.rounds import first_by
-from molframe.plans.spatial import pairs_between
+from molframe.plans.spatial import pairs_between, worked_out
 from molframe.session import cut
 
 RES = ["entry", "chain", "seq", "icode"]
@@ -123,10 +123,10 @@ def hbonds_backbone(residues: DataFrame, reach: float = 9.0, most: float = -0.5)
     acc = residues.select("entry", "k", F.col("c").alias("cc"), F.col("o").alias("oo"), *[F.col("ca." + c).alias(c) for c in "xyz"])
     ok = (F.col("k_a") != F.col("k_b")) & ~((F.col("k_b") == F.col("k_a") - 1) & F.col("prev_a"))
     p = pairs_between(donors, acc, reach, idx="k", where=ok)
-    e = hbond_energy(
-        dist(vec("oo_b"), vec("nn_a")), dist(vec("cc_b"), vec("h_a")), dist(vec("oo_b"), vec("h_a")), dist(vec("cc_b"), vec("nn_a"))
-    )
-    p = p.select("entry", F.col("k_b").alias("acceptor"), F.col("k_a").alias("donor"), e.alias("energy")).filter(F.col("energy") < most)
+    p = p.select("entry", F.col("k_b").alias("acceptor"), F.col("k_a").alias("donor"), "oo_b", "cc_b", "nn_a", "h_a")
+    p = worked_out(p, on=dist(vec("oo_b"), vec("nn_a")), ch=dist(vec("cc_b"), vec("h_a")), oh=dist(vec("oo_b"), vec("h_a")), cn=dist(vec("cc_b"), vec("nn_a")))
+    p = worked_out(p.select("entry", "acceptor", "donor", "on", "ch", "oh", "cn"), energy=hbond_energy(*map(F.col, ("on", "ch", "oh", "cn"))))
+    p = p.select("entry", "acceptor", "donor", "energy").filter(F.col("energy") < most)
     return first_by(p, ["entry", "donor"], [F.col("energy"), F.col("acceptor")], 2).drop("rank")
 
 

@@ -13,22 +13,40 @@ def both_ways(edges: DataFrame, group: list[str], a: str, b: str, keep: list[str
     return fwd.unionByName(edges.select(*group, F.col(b).alias("src"), F.col(a).alias("dst"), *keep))
 
 
-def components(edges: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
-    """(group, node, component): the component is named by its least node. Least label of the neighbours, then the
-    label of the label, until nothing moves. Minima combine map-side, so a hub sends one row a task."""
-    e = cut(both_ways(edges, group, a, b).distinct())
-    lab = e.groupBy(*group, F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
-    lab = cut(lab)
+def _roots(up: DataFrame, group: list[str]) -> DataFrame:
+    """`up` (group, node, parent), parents all below their nodes or the node itself, with the last of every line of parents as parent."""
+    up = cut(up)
     while True:
-        near = e.join(lab.withColumnRenamed("node", "dst"), [*group, "dst"])
-        near = near.groupBy(*group, F.col("src").alias("node")).agg(F.min("component").alias("_c"))
-        new = lab.join(near, [*group, "node"]).withColumn("_c", F.least("component", "_c"))
-        up = lab.select(*group, F.col("node").alias("_c"), F.col("component").alias("_up"))
-        new = new.join(up, [*group, "_c"]).withColumn("_up", F.least("_c", "_up"))
-        new = cut(new.select(*group, "node", F.col("_up").alias("component"), (F.col("_up") != F.col("component")).alias("_m")))
+        of = up.select(*group, F.col("node").alias("parent"), F.col("parent").alias("_p"))
+        new = cut(up.join(of.hint("shuffle_hash"), [*group, "parent"]).select(*group, "node", F.col("_p").alias("parent"), (F.col("_p") != F.col("parent")).alias("_m")))
         moved = not new.filter("_m").isEmpty()
-        lab = new.drop("_m")
+        up = new.drop("_m")
         if not moved:
+            return up
+
+
+def components(edges: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
+    """(group, node, component): the component is named by its least node.
+
+    Every node joins its least neighbour, lines of such steps are followed to their ends, and the ends alone go on, with the edges
+    between them: edges shrink from round to round, so all rounds together cost little more than the first. The least node of a component
+    joins no other and is its last end. Minima combine map-side, so a hub sends one row a task. Joins are not broadcast: a table of nodes
+    is many times its written size in memory."""
+    e = cut(edges.select(*group, F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b")).distinct())
+    two = lambda d: d.select(*group, F.col("_a").alias("node"), F.col("_b").alias("_n")).unionByName(d.select(*group, F.col("_b").alias("node"), F.col("_a").alias("_n")))
+    lab: DataFrame | None = None
+    while True:
+        up = two(e).groupBy(*group, "node").agg(F.min("_n").alias("_n")).select(*group, "node", F.least("node", "_n").alias("parent"))
+        up = _roots(up, group)
+        if lab is None:
+            lab = up.select(*group, "node", F.col("parent").alias("component"))
+        else:
+            last = up.select(*group, F.col("node").alias("component"), "parent").hint("shuffle_hash")
+            lab = cut(lab.join(last, [*group, "component"], "left").select(*group, "node", F.coalesce("parent", "component").alias("component")))
+        end = lambda c: up.select(*group, F.col("node").alias(c), F.col("parent").alias(c + "r")).hint("shuffle_hash")
+        e = e.join(end("_a"), [*group, "_a"]).join(end("_b"), [*group, "_b"]).filter("_ar <> _br")
+        e = cut(e.select(*group, F.least("_ar", "_br").alias("_a"), F.greatest("_ar", "_br").alias("_b")).distinct())
+        if e.isEmpty():
             return lab
 
 
@@ -43,7 +61,7 @@ def max_spanning_forest(edges: DataFrame, group: list[str], a: str, b: str, weig
     rank = F.struct((-F.col("weight")).alias("w"), F.col("a").alias("a"), F.col("b").alias("b"))
     open_edges = e
     while True:
-        side = lambda end, out: part.select(*group, F.col("node").alias(end), F.col("part").alias(out))
+        side = lambda end, out: part.select(*group, F.col("node").alias(end), F.col("part").alias(out)).hint("shuffle_hash")
         open_edges = open_edges.drop("pa", "pb").join(side("a", "pa"), [*group, "a"]).join(side("b", "pb"), [*group, "b"])
         open_edges = cut(open_edges.filter("pa <> pb"))
         if open_edges.isEmpty():
@@ -57,7 +75,7 @@ def max_spanning_forest(edges: DataFrame, group: list[str], a: str, b: str, weig
         tree = picked if tree is None else tree.unionByName(picked)
         joins = picked.join(side("a", "pa"), [*group, "a"]).join(side("b", "pb"), [*group, "b"])
         comp = components(joins, group, "pa", "pb").select(*group, F.col("node").alias("part"), "component")
-        part = part.join(comp, [*group, "part"], "left")
+        part = part.join(comp.hint("shuffle_hash"), [*group, "part"], "left")
         part = cut(part.select(*group, "node", F.coalesce("component", "part").alias("part")))
 
 
@@ -73,10 +91,10 @@ def bfs(edges: DataFrame, group: list[str], a: str, b: str, roots: DataFrame, si
     layers = [front]
     while not layers[-1].isEmpty():
         front = layers[-1]
-        step = front.select(*group, F.col("node").alias("src"), F.col("sign").alias("_from")).join(e, [*group, "src"])
+        step = front.select(*group, F.col("node").alias("src"), F.col("sign").alias("_from")).hint("shuffle_hash").join(e, [*group, "src"])
         # without directions a neighbour lies at most one layer away, so older layers need no look
         for old in layers if directed else layers[-2:]:
-            step = step.join(old.select(*group, F.col("node").alias("dst")), [*group, "dst"], "left_anti")
+            step = step.join(old.select(*group, F.col("node").alias("dst")).hint("shuffle_hash"), [*group, "dst"], "left_anti")
         step = step.groupBy(*group, F.col("dst").alias("node")).agg(
             F.min(F.struct(F.col("src"), (F.col("_from") * F.col("_sign")).alias("s"))).alias("_p")
         )
@@ -98,15 +116,15 @@ def tree_track(tree: DataFrame, group: list[str], a: str, b: str) -> tuple[DataF
     comp = cut(components(tree, group, a, b))
     key = [*group, "component"]
     roots = comp.filter(F.col("node") == F.col("component"))
-    one = bfs(tree, group, a, b, roots).join(comp, [*group, "node"])
+    one = bfs(tree, group, a, b, roots).join(comp.hint("shuffle_hash"), [*group, "node"])
     start = cut(farthest(one, key))
-    two = cut(bfs(tree, group, a, b, start).join(comp, [*group, "node"]))
+    two = cut(bfs(tree, group, a, b, start).join(comp.hint("shuffle_hash"), [*group, "node"]))
     end = cut(farthest(two, key))
     three = bfs(tree, group, a, b, end).select(*group, "node", F.col("depth").alias("_back"))
     # in a tree the path between two nodes is where the two distances add up to the whole
-    j = two.join(three, [*group, "node"]).join(end.select(*key, F.col("depth").alias("_whole")), key)
+    j = two.join(three.hint("shuffle_hash"), [*group, "node"]).join(end.select(*key, F.col("depth").alias("_whole")), key)
     track = cut(j.filter(F.col("depth") + F.col("_back") == F.col("_whole")).select(*key, "node", F.col("depth").alias("place")))
-    off = two.join(track.select(*group, "node"), [*group, "node"], "left_anti").select(*key, "node", "parent")
+    off = two.join(track.select(*group, "node").hint("shuffle_hash"), [*group, "node"], "left_anti").select(*key, "node", "parent")
     return track, off
 
 
@@ -115,5 +133,5 @@ def cyclic_flag(edges: DataFrame, group: list[str], a: str, b: str) -> DataFrame
     e = edges.select(*group, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
     comp = cut(components(e, group, "a", "b"))
     n = comp.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("nodes"))
-    m = e.join(comp.withColumnRenamed("node", "a"), [*group, "a"]).groupBy(*group, "component").agg(F.count(F.lit(1)).alias("edges"))
+    m = e.join(comp.withColumnRenamed("node", "a").hint("shuffle_hash"), [*group, "a"]).groupBy(*group, "component").agg(F.count(F.lit(1)).alias("edges"))
     return n.join(m, [*group, "component"]).withColumn("closed", F.col("edges") >= F.col("nodes"))

@@ -48,7 +48,7 @@ def conservation(spark, sf):
 SELECT row, count(*) AS residues, count(*) FILTER (WHERE one IS NULL) AS unknown, count(*) FILTER (WHERE one = 'T') AS threonines FROM t LEFT JOIN codes USING (name) GROUP BY row""")
 def letters(spark, sf):
     s = B.letters(spark, sf)
-    n = F.floor(F.length("seq") / 3).cast("int")
-    t = s.filter(n > 0).select("row", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("seq"), i * 3 + 1, F.lit(3)))).alias("name"))
+    # one pass over the text: a substring is counted from its beginning each time
+    t = s.select("row", F.explode(F.regexp_extract_all("seq", F.lit("(...)"), F.lit(1))).alias("name"))
     one = one_letter(F.col("name"))
     return t.groupBy("row").agg(F.count(F.lit(1)).alias("residues"), F.count_if(one == "X").alias("unknown"), F.count_if(one == "T").alias("threonines"))

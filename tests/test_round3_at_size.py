@@ -19,3 +19,18 @@ def test_one_letter_takes_long_texts_in_one_pass(spark, tmp_path):
     got = [(r.row, r.residues, r.unknown, r.threonines) for r in load()["one_letter"].run(spark, str(tmp_path)).collect()]
     assert got == [(1, 2 * n + 7, 7, n)]
     assert time.time() - t < 60  # places counted from the beginning of the text: minutes
+
+
+def test_rings_of_four_go_through_lesser_nodes(spark):
+    rng = random.Random(2)
+    e = {(a, b) for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(90)) if a != b}
+    want = {tuple(sorted(r)) for r in itertools.permutations(range(14), 4) if all((r[i], r[(i + 1) % 4]) in e for i in range(4))}
+    got = [tuple(r.ring) for r in N.rings_of_four(spark.createDataFrame(sorted(e), "a int, b int"), []).collect()]
+    assert len(want) > 30 and len(got) == len(want) and set(got) == want
+    # a hub that 20,000 nodes give to and that gives to 20,000 others: 200 million walks of two steps if it is entered by the others
+    n = 20_000
+    hub = spark.range(2 * n).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.lit(10**9)).alias("a"), F.when(F.col("id") % 2 == 0, F.lit(10**9)).otherwise(F.col("id")).alias("b"))
+    ring = spark.createDataFrame([(10**9, 2), (2, 10**9 + 1), (10**9 + 1, 1), (1, 10**9)], "a long, b long")
+    t = time.time()
+    assert [tuple(r.ring) for r in N.rings_of_four(hub.unionByName(ring), []).collect()] == [(1, 2, 10**9, 10**9 + 1)]
+    assert time.time() - t < 60

@@ -1,12 +1,14 @@
 """Domains from residue contacts: repeated lowest normalised cuts of every chain at once.
 
-A chain is at most 800 points (a long one is cut into blocks of residues), so the table of runs of one part is bounded;
-all parts of all chains take a round together and every step is a join, a window or an aggregate.
+A chain is at most 800 points (a long one is cut into blocks of residues), so its table of contacts is bounded: contacts are found and
+counted by joins and aggregates over all chains, then each chain's table is cut up in one call.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from molframe.operators.chains import no_strays
@@ -17,6 +19,7 @@ from molframe.session import cut
 CHAIN = ["entry", "chain"]
 PART = ["entry", "chain", "part"]
 LIMIT = 0.37
+CUT_UP = ["point", "domain", "part", "ncut", "a", "b", "c", "d"]
 
 
 def contact_graph(residues: DataFrame, r: float = 12.0, apart: int = 6, points: int = 800) -> tuple[DataFrame, DataFrame]:
@@ -30,92 +33,86 @@ def contact_graph(residues: DataFrame, r: float = 12.0, apart: int = 6, points:
     return pts.select(*CHAIN, "point", "block", "n"), e.groupBy(*CHAIN, "p", "q").agg(F.count(F.lit(1)).alias("w"))
 
 
-def _ncut(inner: Column, vol: Column, total: Column) -> Column:
-    across = (vol - inner).cast("double")
+def _ncut(inner: np.ndarray, vol: np.ndarray, total: int) -> np.ndarray:
+    """Cut over association of runs, to nine places; infinite where one side has no contacts."""
+    across = (vol - inner).astype(float)
     ok = (vol > 0) & (total - vol > 0)
-    return F.when(ok, F.round(across / vol + across / (total - vol), 9))
-
-
-def lowest_cuts(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per part the lowest cut: value and the runs [a, b) and [c, d) (c null with one run), in the part's own places.
-
-    members: PART, point, at (place in the part), m (points in the part), least, piece; edges: CHAIN, p, q, w."""
-    x = members.select(*PART, F.col("point").alias("p"), F.col("at").alias("i"))
-    y = members.select(*PART, F.col("point").alias("q"), F.col("at").alias("j"))
-    e = cut(edges.join(x, [*CHAIN, "p"]).join(y, [*PART, "q"]).select(*PART, "i", "j", "w"))
-    ends = e.select(*PART, F.col("i").alias("at"), "w").unionByName(e.select(*PART, F.col("j").alias("at"), "w"))
-    deg = ends.groupBy(*PART, "at").agg(F.sum("w").alias("d"))
-    w = Window.partitionBy(*PART).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    d = members.join(deg, [*PART, "at"], "left").withColumn("D", F.sum(F.coalesce("d", F.lit(0))).over(w))
-    d = cut(d.select(*PART, "at", "m", "least", "piece", "D"))
-    total = d.filter("at = m - 1").select(*PART, F.col("D").alias("total"))
-    start = d.select(*PART, (F.col("at") + 1).alias("i"), F.col("D").alias("Di")).unionByName(
-        d.filter("at = 0").select(*PART, F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("Di"))
-    )
-    stop = d.select(*PART, (F.col("at") + 1).alias("j"), F.col("D").alias("Dj"))
-    size = d.filter("at = 0").select(*PART, "m", "least", "piece").join(total, PART)
-    # runs from every start a cut may have: the first place, or one that leaves a whole piece before it
-    col = e.join(size.select(*PART, "piece"), PART).withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("i"))))
-    col = col.filter("s = 0 or s >= piece").groupBy(*PART, F.col("s").alias("i"), "j").agg((F.sum("w") * 2).alias("c"))
-    grid = size.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1))).filter("i = 0 or i >= piece")
-    grid = grid.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("m") - 1)))
-    run = Window.partitionBy(*PART, "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    g = grid.join(col, [*PART, "i", "j"], "left").withColumn("inner", F.sum(F.coalesce("c", F.lit(0))).over(run))
-    g = g.withColumn("j", F.col("j") + 1).drop("c").join(start, [*PART, "i"]).join(stop, [*PART, "j"])
-    g = cut(g.withColumn("vol", F.col("Dj") - F.col("Di")).drop("Di", "Dj"))
-    s = F.col("j") - F.col("i")
-    ok = (s >= F.col("least")) & (F.col("m") - s >= F.col("least")) & (s >= F.col("piece")) & ((F.col("j") == F.col("m")) | (F.col("m") - F.col("j") >= F.col("piece")))
-    one = g.filter(ok).withColumn("v", _ncut(F.col("inner"), F.col("vol"), F.col("total"))).filter("v is not null")
-    best = one.groupBy(*PART).agg(F.min(F.struct("v", F.col("i").alias("a"), F.col("j").alias("b"), F.col("inner").alias("in1"), F.col("vol").alias("v1"))).alias("k"))
-    best = cut(best.select(*PART, "k.*"))
-    # contacts of each place with the chosen run, summed along the part
-    both = e.unionByName(e.select(*PART, F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    touch = both.join(best.select(*PART, "a", "b"), PART).filter("j >= a and j < b").groupBy(*PART, F.col("i").alias("at")).agg(F.sum("w").alias("t"))
-    tw = d.select(*PART, "at").join(touch, [*PART, "at"], "left").withColumn("T", F.sum(F.coalesce("t", F.lit(0))).over(w))
-    t_stop = tw.select(*PART, (F.col("at") + 1).alias("j"), F.col("T").alias("Tj"))
-    t_start = tw.select(*PART, (F.col("at") + 1).alias("i"), F.col("T").alias("Ti")).unionByName(
-        tw.filter("at = 0").select(*PART, F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("Ti"))
-    )
-    two = g.join(best.withColumnRenamed("v", "v0"), PART)
-    i, j, a, b, m, piece = (F.col(c) for c in ("i", "j", "a", "b", "m", "piece"))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(ok, np.floor((across / vol + across / (total - vol)) * 1e9 + 0.5) / 1e9, np.inf)
+
+
+def lowest_cut(w: np.ndarray, least: int, piece: int) -> tuple | None:
+    """The lowest cut of a part: value and the runs [a, b) and [c, d) (c None with one run), in the part's own places.
+
+    w: contacts of its points, above and on the diagonal; a part has at most 800 points."""
+    m = len(w)
+    both = w + w.T
+    prefix = lambda v: np.concatenate(([0], np.cumsum(v)))
+    degree = prefix(both.sum(axis=1))
+    total = int(degree[-1])
+    # all runs [i, j): contacts inside (each from both its ends) and of its points; only starts that leave a whole piece before them
+    inner = np.zeros((m, m + 1), dtype=np.int64)
+    inner[:, 1:] = 2 * np.cumsum(np.cumsum(w[::-1], axis=0)[::-1], axis=1)
+    i, j = np.arange(m)[:, None], np.arange(m + 1)[None, :]
+    vol, size = degree[None, :] - degree[:m, None], j - i
+    run = (size >= piece) & ((i == 0) | (i >= piece))
+    end = (j == m) | (m - j >= piece)
+    v = np.where(run & end & (size >= least) & (m - size >= least), _ncut(inner, vol, total), np.inf)
+    a, b = (int(x) for x in np.unravel_index(np.argmin(v), v.shape))
+    first = v[a, b]
+    if not np.isfinite(first):
+        return None
+    touch = prefix(both[:, a:b].sum(axis=1))
     left = (j <= a) & ((j == a) | (a - j >= piece))
-    right = (i >= b) & ((i == b) | (i - b >= piece)) & ((j == m) | (m - j >= piece))
-    two = two.filter((s >= piece) & (m - (b - a) - s >= F.col("least")) & (left | right)).join(t_stop, [*PART, "j"]).join(t_start, [*PART, "i"])
-    inner = F.col("in1") + F.lit(2) * (F.col("Tj") - F.col("Ti")) + F.col("inner")
-    two = two.withColumn("v2", _ncut(inner, F.col("v1") + F.col("vol"), F.col("total"))).filter("v2 < v0")
-    second = two.groupBy(*PART).agg(F.min(F.struct("v2", i.alias("c"), j.alias("d"))).alias("s")).select(*PART, "s.*")
-    out = best.join(second, PART, "left")
-    return out.select(*PART, F.coalesce("v2", "v").alias("ncut"), "a", "b", "c", "d")
+    right = (i >= b) & ((i == b) | (i - b >= piece)) & end
+    joint = _ncut(inner[a, b] + 2 * (touch[None, :] - touch[:m, None]) + inner, vol[a, b] + vol, total)
+    v = np.where(run & (left | right) & (m - (b - a) - size >= least), joint, np.inf)
+    c, d = (int(x) for x in np.unravel_index(np.argmin(v), v.shape))
+    return (float(v[c, d]), a, b, c, d) if v[c, d] < first else (float(first), a, b, None, None)
 
 
 def residue_domains(residues: DataFrame, least: int = 40, piece: int = 20, limit: float = LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(residues with domain, cuts made with confidence 1 - ncut/limit). Domains are numbered by first residue."""
+    """(residues with domain, cuts made with confidence 1 - ncut/limit). Domains are numbered by first residue.
+
+    All chains are cut in one pass: the contacts of a chain's at most 800 points come together and its parts are cut until none falls apart."""
     pts, edges = contact_graph(residues)
-    pts, edges = cut(pts.withColumn("part", F.lit(1).cast("bigint"))), cut(edges)
-    small = lambda k: F.ceil(F.lit(k) / F.col("block")).cast("bigint")
-    open_, done, cuts = pts, None, None
-    w = Window.partitionBy(*PART).orderBy("point")
-    while True:
-        m = open_.groupBy(*PART).agg(F.count(F.lit(1)).alias("m"))
-        p = open_.withColumn("at", (F.row_number().over(w) - 1).cast("bigint")).join(m, PART).withColumn("least", small(least)).withColumn("piece", small(piece))
-        p = cut(p)
-        k = cut(lowest_cuts(p.filter(F.col("m") >= F.col("least") * 2), edges))
-        made = k.filter(F.col("ncut") < limit)
-        j = p.join(made, PART, "left")
-        side = ((F.col("at") >= F.col("a")) & (F.col("at") < F.col("b"))) | F.coalesce((F.col("at") >= F.col("c")) & (F.col("at") < F.col("d")), F.lit(False))
-        j = cut(j.withColumn("_side", side))
-        rest = j.filter("ncut is null").select(*pts.columns)
-        done = rest if done is None else done.unionByName(rest)
-        rec = made.withColumn("confidence", F.lit(1.0) - F.col("ncut") / limit)
-        cuts = rec if cuts is None else cuts.unionByName(rec)
-        open_ = cut(j.filter("ncut is not null").withColumn("part", F.col("part") * 2 + F.col("_side").cast("bigint")).select(*pts.columns))
-        if open_.isEmpty():
-            break
-    first = done.groupBy(*PART).agg(F.min("point").alias("_f"))
-    num = first.withColumn("domain", F.row_number().over(Window.partitionBy(*CHAIN).orderBy("_f")) - 1)
-    lab = done.join(num.select(*PART, "domain"), PART).select(*CHAIN, "point", "block", "domain")
-    out = residues.join(lab.select(*CHAIN, "block").distinct(), CHAIN).withColumn("point", F.floor(F.col("pos") / F.col("block")).cast("bigint"))
-    return out.drop("block").join(lab.select(*CHAIN, "point", "domain"), [*CHAIN, "point"]).drop("point"), cuts
+    edges = cut(edges)
+    sizes = pts.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("m"), F.first("block").alias("block"))
+
+    def cut_up(size: pa.Table, e: pa.Table) -> pa.Table:
+        m, block = size.column("m")[0].as_py(), size.column("block")[0].as_py()
+        w = np.zeros((m, m), dtype=np.int64)
+        if e.num_rows:
+            w[e.column("p").to_numpy(), e.column("q").to_numpy()] = e.column("w").to_numpy()
+        small, short = -(-least // block), -(-piece // block)
+        open_, done, cuts = [(1, np.arange(m))], [], []
+        while open_:
+            part, at = open_.pop()
+            k = lowest_cut(w[np.ix_(at, at)], small, short) if len(at) >= small * 2 else None
+            if k is None or k[0] >= limit:
+                done.append((int(at[0]), part, at))
+                continue
+            side = np.zeros(len(at), dtype=bool)
+            side[k[1] : k[2]] = True
+            if k[3] is not None:
+                side[k[3] : k[4]] = True
+            cuts.append((part, *k))
+            open_ += [(part * 2 + s, at[side == bool(s)]) for s in (0, 1)]
+        rows = [(int(p), domain, part, None, None, None, None, None) for domain, (_, part, at) in enumerate(sorted(done, key=lambda x: x[0])) for p in at]
+        rows += [(None, None, *c) for c in cuts]
+        columns = dict(zip(CUT_UP, zip(*rows, strict=True), strict=True))
+        bits = lambda p: (p + 2**63) % 2**64 - 2**63  # the name of a part many cuts deep
+        columns["part"] = [bits(p) for p in columns["part"]]
+        keys = {k: pa.array([size.column(k)[0].as_py()] * len(rows), size.schema.field(k).type) for k in CHAIN}
+        return pa.table(keys | {k: pa.array(v, pa.float64() if k == "ncut" else pa.int64()) for k, v in columns.items()})
+
+    types = ", ".join(f"{k} {residues.schema[k].dataType.simpleString()}" for k in CHAIN)
+    schema = f"{types}, " + ", ".join(f"{k} {'double' if k == 'ncut' else 'bigint'}" for k in CUT_UP)
+    made = cut(sizes.groupBy(*CHAIN).cogroup(edges.groupBy(*CHAIN)).applyInArrow(cut_up, schema))
+    lab = made.filter("point is not null").select(*CHAIN, "point", "domain")
+    cuts = made.filter("point is null").select(*PART, "ncut", "a", "b", "c", "d", (F.lit(1.0) - F.col("ncut") / limit).alias("confidence"))
+    out = residues.join(sizes.select(*CHAIN, "block"), CHAIN).withColumn("point", F.floor(F.col("pos") / F.col("block")).cast("bigint"))
+    return out.drop("block").join(lab, [*CHAIN, "point"]).drop("point"), cuts
 
 
 def element_domains(residues: DataFrame, least: int = 30) -> DataFrame:

@@ -36,9 +36,9 @@ def explode_letters(seqs: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 def blocks(seqs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """family, row, block, piece: the texts in blocks of columns, as bytes."""
-    n = F.ceil(F.length("seq") / BLOCK).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("block"), F.substring(F.col("seq"), i * BLOCK + 1, F.lit(BLOCK)).cast("binary").alias("piece")))
-    return seqs.filter("length(seq) > 0").select("family", "row", *keep, F.explode(cut).alias("p")).select("family", "row", *keep, "p.block", "p.piece")
+    # one pass over the text: a substring is counted from its beginning each time
+    cut = F.regexp_extract_all("seq", F.lit(f"(?s)(.{{1,{BLOCK}}})"), F.lit(1))
+    return seqs.select("family", "row", *keep, F.posexplode(cut).alias("block", "piece")).withColumn("piece", F.col("piece").cast("binary"))
 
 
 def _cells(piece: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from molframe.operators import chain_scores as C
 from molframe.operators import domains as D
+from molframe.operators import msa
 from molframe.operators import nucleic as N
 from molframe.registry import load
 
@@ -82,11 +83,23 @@ def test_selections_are_measured_in_tiles(spark, monkeypatch):
     pts = pts.withColumn("g1", F.xxhash64("idx")).withColumn("g2", F.xxhash64(F.lit(7), "idx"))
     monkeypatch.setattr(C, "TILE", 5)
     blocks = C._tiles(pts, ["idx", *"xyzuvw", "g1", "g2"], "points", F.floor(F.col("idx") / C.TILE))
-    fits = [("p", (s, k), 7.0, 3.0, [1.0, 0, 0, 0, 0, 1, 0, -1, 0], (0.5, 0.0, float(k))) for s, k in [(23, 0), (4, 0), (4, 7), (5, 9), (6, 11), (7, 3), (8, 2), (9, 1)]]
+    fits = [("p", (s, k), 7.0, 3.0, [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, -1.0, 0.0], (0.5, 0.0, float(k))) for s, k in [(23, 0), (4, 0), (4, 7), (5, 9), (6, 11), (7, 3), (8, 2), (9, 1)]]
     got = {r.start.low: r for r in C.measured(spark.createDataFrame(fits, "pair string, start struct<size:int,low:int>, near double, scale double, r array<double>, t struct<x:double,y:double,z:double>"), blocks).collect() if r.start.size != 23}
     assert len(got) == 7
     for k, r in got.items():
-        d = np.floor(np.linalg.norm(p[:, :3] @ np.array([[1, 0, 0], [0, 0, 1], [0, -1, 0]]) + [0.5, 0, k] - p[:, 3:], axis=1) * 1024 + 0.5) / 1024
+        d = np.floor(np.linalg.norm(p[:, :3] @ np.array([[1, 0, 0], [0, 0, -1], [0, 1, 0]]) + [0.5, 0, k] - p[:, 3:], axis=1) * 1024 + 0.5) / 1024
         on = d < 7.0
         assert (r["all"], r.n) == (23, on.sum()) and np.allclose(r.small, np.sort(d)[:3])
         assert np.isclose(r.s_xv, (p[on, 0] * p[on, 4]).sum()) and np.isclose(r.s_z, p[on, 2].sum())
+
+
+def test_blocks_of_a_long_text_are_cut_in_one_pass(spark):
+    n = msa.BLOCK * 4000 + 5
+    s = spark.range(1).select(F.lit("f").alias("family"), F.col("id").alias("row"), F.repeat(F.lit("AB\nDE"), n // 5).alias("seq")).unionByName(
+        spark.createDataFrame([("f", 1, ""), ("f", 2, None), ("f", 3, "A" * msa.BLOCK)], "family string, row long, seq string"))
+    b = msa.blocks(s)
+    assert "substring" not in b._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.row, r.block): r.piece for r in b.filter("block < 2 or block >= 3999").collect()}
+    text = ("AB\nDE" * (n // 5)).encode()
+    want = {(0, k): text[k * msa.BLOCK : (k + 1) * msa.BLOCK] for k in (0, 1, 3999, 4000) if k * msa.BLOCK < len(text)}
+    assert {k: bytes(v) for k, v in got.items()} == want | {(3, 0): b"A" * msa.BLOCK}

@@ -2,77 +2,87 @@
 taken in time order. A row older than the watermark when it comes is handed out as `late`, never dropped. State ends by
 itself: timers take the rows, and a key that nothing waits for and whose memory has run out is cleared.
 
-The state of a key is what arrived within the watermark's delay and one remembered row. Needs RocksDB as state store (`run_now` with
+The state of a key is what arrived within the watermark's delay and one remembered row; keys share states in BUCKETS. Needs RocksDB as state store (`run_now` with
 `state=True` sees to it)."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-#: rows of a key written to state or read from it at a time
-CHUNK = 100_000
+#: keys are dealt into this many buckets, whose state is read and written at once: a call for each key and batch would take most of the time
+BUCKETS = 1024
 
 
 class InOrder(StatefulProcessor):
     """`take` gets the times of a key (microseconds, ascending, each once it can no more be preceded) and what is remembered, and
     gives output rows and what is remembered next; `gone` says when that memory ends and what comes out then."""
 
-    remembered = "v long"
     columns: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t long")
-        self.memory = handle.getValueState("memory", self.remembered)
+        self.state = handle.getValueState("state", "held binary")
         self.due = handle.getValueState("due", "ms long")
 
+    def load(self) -> dict:
+        """key: (waiting times, memory) of the bucket."""
+        return pickle.loads(self.state.get()[0]) if self.state.exists() else {}
+
+    def save(self, held: dict) -> None:
+        if held:
+            self.state.update((pickle.dumps(held, protocol=pickle.HIGHEST_PROTOCOL),))
+        else:
+            self.state.clear()
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        first = None
+        held, first = self.load(), None
         for r in rows:
-            t = r["t"].to_numpy()
-            late, t = t[t < passed], np.sort(t[t >= passed])
-            if len(late):
-                yield self.table(key, [self.late(int(x)) for x in late])
-            for i in range(0, len(t), CHUNK):
-                self.waiting.appendList([(int(x),) for x in t[i : i + CHUNK]])
+            late = r["t"].to_numpy() < passed
+            if late.any():
+                yield self.table([(k, *self.late(int(t))) for k, t in zip(r["key"][late].tolist(), r["t"][late].tolist(), strict=True)])
+            code, names = pd.factorize(r["key"][~late])
+            t, order = r["t"].to_numpy()[~late], np.argsort(code, kind="stable")
+            ends = np.cumsum(np.bincount(code, minlength=len(names)))[:-1]
+            for name, new in zip(names.tolist(), np.split(t[order], ends), strict=True) if len(t) else ():
+                waiting, memory = held.get(name, (None, None))
+                held[name] = (new if waiting is None else np.concatenate([waiting, new]), memory)
             if len(t):
-                first = int(t[0]) if first is None else min(first, int(t[0]))
+                first = int(t.min()) if first is None else min(first, int(t.min()))
         if first is not None:
+            self.save(held)
             self.wake(first)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         self.due.clear()
-        t = np.sort(np.fromiter((x[0] for x in self.waiting.get()), dtype=np.int64)) if self.waiting.exists() else np.zeros(0, np.int64)
-        ready, rest = t[t < passed], t[t >= passed]
-        memory = self.memory.get() if self.memory.exists() else None
-        out, memory = self.take(ready, memory) if len(ready) else ([], memory)
-        # with rows still to come from `rest`, memory ends when they are taken
-        if memory is not None:
-            ends, last = self.gone(memory)
-            if ends < passed and not (len(rest) and rest[0] <= ends):
-                out, memory = out + last, None
-        if memory is None:
-            self.memory.clear()
-        else:
-            self.memory.update(memory)
-        if len(rest):
-            self.waiting.put([(int(x),) for x in rest])
-            self.wake(int(rest[0]))
-        else:
-            self.waiting.clear()
+        kept, rows, wakes = {}, [], []
+        for name, (waiting, memory) in self.load().items():
+            t = np.sort(waiting)
+            ready, rest = t[t < passed], t[t >= passed]
+            out, memory = self.take(ready, memory) if len(ready) else ([], memory)
+            # with rows still to come from `rest`, memory ends when they are taken
             if memory is not None:
-                self.wake(self.gone(memory)[0])
-        if out:
-            yield self.table(key, out)
+                ends, last = self.gone(memory)
+                if ends < passed and not (len(rest) and rest[0] <= ends):
+                    out, memory = out + last, None
+            rows += [(name, *x) for x in out]
+            if len(rest) or memory is not None:
+                kept[name] = (rest, memory)
+                wakes.append(int(rest[0]) if len(rest) else self.gone(memory)[0])
+        self.save(kept)
+        if wakes:
+            self.wake(min(wakes))
+        if rows:
+            yield self.table(rows)
 
     def wake(self, t: int) -> None:
         """A timer for when the watermark has passed `t`; the earliest one asked for is kept."""
@@ -84,10 +94,8 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(ms)
             self.due.update((ms,))
 
-    def table(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self.columns)
-        out.insert(0, "key", key[0])
-        return out
+    def table(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", *self.columns])
 
     def close(self) -> None:
         pass
@@ -129,7 +137,6 @@ class Remember(InOrder):
 class Sessions(InOrder):
     """Runs of times less than `gap` microseconds apart; a run comes out when nothing can join it any more."""
 
-    remembered = "first long, last long, n long"
     columns = ["start", "end", "residues", "kind"]
 
     def __init__(self, gap: int):
@@ -157,9 +164,10 @@ class Sessions(InOrder):
         return last + self.gap, [(first, last + self.gap, n, "run")]
 
 
-def _held(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
+def _held(stream: DataFrame, key: str, time: str, delay: str) -> GroupedData:
     # without the column that the watermark is on, late rows reach the processor, which hands them out
-    return stream.withWatermark(time, delay).select(F.col(key).alias("key"), F.unix_micros(F.col(time)).alias("t")).filter("key is not null and t is not null")
+    d = stream.withWatermark(time, delay).select(F.col(key).alias("key"), F.unix_micros(F.col(time)).alias("t")).filter("key is not null and t is not null")
+    return d.select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket"), "key", "t").groupBy("bucket")
 
 
 def _schema(stream: DataFrame, key: str, *longs: str) -> StructType:
@@ -170,7 +178,7 @@ def remembered(stream: DataFrame, key: str, time: str, ttl_seconds: float, delay
     """(key, t, kind): `taken` for the times at which a key is not remembered, as none was taken within `ttl_seconds` before;
     `late` for rows that came after the watermark (`delay` behind the newest). Over all rows that are not late the taken ones are
     those of one pass in time order, however the rows were spread over batches."""
-    return _held(stream, key, time, delay).groupBy("key").transformWithStateInPandas(Remember(round(ttl_seconds * 1e6)), _schema(stream, key, "t"), "append", "EventTime")
+    return _held(stream, key, time, delay).transformWithStateInPandas(Remember(round(ttl_seconds * 1e6)), _schema(stream, key, "t"), "append", "EventTime")
 
 
 def content_once(stream: DataFrame, content: list[str], time: str, ttl_seconds: float, delay: str) -> DataFrame:
@@ -183,4 +191,4 @@ def content_once(stream: DataFrame, content: list[str], time: str, ttl_seconds:
 def sessions(stream: DataFrame, key: str, time: str, gap_seconds: float, delay: str) -> DataFrame:
     """(key, start, end, residues, kind): a `run` for each stretch of rows less than `gap_seconds` apart, once, when the watermark has passed
     its end (the last row plus the gap); `late` rows one by one."""
-    return _held(stream, key, time, delay).groupBy("key").transformWithStateInPandas(Sessions(round(gap_seconds * 1e6)), _schema(stream, key, "start", "end", "residues"), "append", "EventTime")
+    return _held(stream, key, time, delay).transformWithStateInPandas(Sessions(round(gap_seconds * 1e6)), _schema(stream, key, "start", "end", "residues"), "append", "EventTime")

@@ -98,3 +98,51 @@ def test_take_and_gone_without_spark():
     assert s.take(np.array([5, 9, 30]), None) == ([(5, 19, 2, "run")], (30, 30, 1))
     assert s.take(np.array([39, 60]), (30, 30, 1)) == ([(30, 49, 2, "run")], (60, 60, 1))
     assert s.take(np.array([40]), (30, 30, 1)) == ([(30, 40, 1, "run")], (40, 40, 1))
+
+
+def test_keys_of_a_bucket_share_one_state():
+    import numpy as np
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        v = None
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            calls.append("get")
+            return self.v
+
+        def update(self, v):
+            calls.append("update")
+            self.v = v
+
+        def clear(self):
+            self.v = None
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return Value()
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timer = ms
+
+        def deleteTimer(self, ms):  # noqa: N802
+            pass
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    p, h = O.Remember(10_000), Handle()
+    p.init(h)
+    rows = pd.DataFrame({"key": np.repeat([f"k{i}" for i in range(500)], 3), "t": np.tile([5_000, 1_000, 30_000], 500)})
+    assert list(p.handleInputRows((0,), iter([rows]), At(0))) == []
+    out = pd.concat(p.handleExpiredTimer((0,), At(20), None))
+    assert len(out) == 500 and set(out["t"]) == {1_000}
+    out = pd.concat(p.handleExpiredTimer((0,), At(100), None))
+    assert len(out) == 500 and set(out["t"]) == {30_000} and set(out["key"]) == set(rows["key"])
+    assert not p.state.exists() and not p.due.exists() and len(calls) < 12

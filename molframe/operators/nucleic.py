@@ -14,6 +14,7 @@ from molframe.plans.intervals import points_in, spans_meeting
 from molframe.plans.ordered import Ordered, block_of
 from molframe.plans.rounds import keep_unless_beaten, lowest_free_level, mutual_best
 from molframe.plans.spatial import pairs_between, pairs_within
+from molframe.plans.tiles import units_touching
 from molframe.session import cut
 
 RING = ["N1", "C2", "N3", "C4", "C5", "C6"]
@@ -22,9 +23,9 @@ RING = ["N1", "C2", "N3", "C4", "C5", "C6"]
 def na_contacts(atoms: DataFrame, most: float = 4.0) -> DataFrame:
     """Nucleotide and amino-acid pairs with heavy atoms within 4.0: nearest distance and the number of atom pairs."""
     p = polymer_atoms(atoms)
-    near = pairs_between(p.filter("kind = 'nucleic'"), p.filter("kind = 'protein'"), most)
-    keys = [k + t for t in ("_a", "_b") for k in ("chain", "seq", "icode")]
-    return near.groupBy("entry", *keys).agg(F.count(F.lit(1)).alias("atom_pairs"), F.min("distance").alias("distance"))
+    p = p.select(*RES, "kind", "idx", "x", "y", "z").withColumn("kind_", F.lit(0))
+    near = units_touching(p.filter("kind = 'nucleic'"), p.filter("kind = 'protein'"), RES[1:], RES[1:], [[most]])
+    return near.withColumnRenamed("pairs", "atom_pairs")
 
 
 def parent_base(names: Column) -> Column:

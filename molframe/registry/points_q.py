@@ -9,7 +9,6 @@ from molframe.functions import geom as G
 from molframe.operators import contacts as C
 from molframe.plans import spatial as S
 from molframe.plans.ranks import quantiles
-from molframe.plans.rounds import first_by
 from molframe.registry.atoms_q import DIST
 from molframe.registry.base import query, with_
 
@@ -48,9 +47,8 @@ def label_ncut(spark, sf):
 SELECT donor, acceptor, distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY donor ORDER BY distance, acceptor) AS rank FROM n) WHERE rank <= 2""")
 def top_k(spark, sf):
     p = B.points(spark, sf).select("entry", "idx", "x", "y", "z")
-    n = S.pairs_between(p, p, 9.0, where=F.col("idx_a") != F.col("idx_b"))
-    n = n.select(F.col("idx_a").alias("donor"), F.col("idx_b").alias("acceptor"), "distance")
-    return first_by(n, ["donor"], [F.col("distance"), F.col("acceptor")], 2)
+    n = S.nearest_k(p, 9.0, 2)
+    return n.select(F.col("idx_a").alias("donor"), F.col("idx_b").alias("acceptor"), "distance", "rank")
 
 
 XY = [(u, v) for u in "xyz" for v in "uvw"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from molframe.plans.graph import components
 from molframe.plans.intervals import points_in, spans_meeting
 from molframe.plans.ordered import Ordered, block_of
 from molframe.plans.rounds import keep_unless_beaten, lowest_free_level, mutual_best
-from molframe.plans.spatial import pairs_between, pairs_within
+from molframe.plans.spatial import pairs_between, worked_out
 from molframe.plans.tiles import units_touching
 from molframe.session import cut
 
@@ -86,36 +89,43 @@ def base_pair_candidates(nts: DataFrame, strict: float = 3.8, stretched: float =
     """Watson-Crick and wobble candidates, each once, lower place as _a: bonds held, their mean, kind, tight.
 
     `nts` needs entry, strand, pos (place over the whole chain), idx and what `nucleotides` gives."""
-    spark = nts.sparkSession
-    rules = spark.createDataFrame(chem.BASE_PAIRS, "pur string, pyr string, bonds array<struct<p:string,q:string>>, need int, kind string")
-    c = nts.filter("base is not null and c1 is not null").select(
-        "entry", "chain", "strand", "pos", "idx", "base", "at", "turned", "normal", "gly", F.col("c1.x").alias("x"), F.col("c1.y").alias("y"), F.col("c1.z").alias("z")
-    )
+    has = lambda n: F.try_element_at("at", F.lit(n))
+    pur, pyr = ({r[k] for r in chem.BASE_PAIRS} for k in (0, 1))
+    give, take = (sorted({b[k] for r in chem.BASE_PAIRS for b in r[2]}) for k in (0, 1))
+    # the atoms that bonds are measured between; a turned pyrimidine shows its O2 in the place of O4
+    turn = {"O4": "O2", "O2": "O4"}
+    shown = lambda n: F.when(F.col("turned"), has(turn[n])).otherwise(has(n)) if n in turn else has(n)
+    c = cut(nts.filter(F.col("base").isin(*pur, *pyr) & F.col("c1").isNotNull()).select(
+        "entry", "chain", "strand", "pos", "idx", "base", "normal", "gly", F.col("c1.x").alias("x"), F.col("c1.y").alias("y"), F.col("c1.z").alias("z"),
+        F.struct(*[has(n).alias(n) for n in give]).alias("give"), F.struct(*[shown(n).alias(n) for n in take]).alias("take"),
+    ))
     apart = (F.col("chain_a") != F.col("chain_b")) | (F.col("strand_a") != F.col("strand_b")) | (F.abs(F.col("pos_a") - F.col("pos_b")) > 3)
-    near = pairs_within(c, 12.0, where=apart & (F.col("distance") >= 9.0)).withColumnRenamed("distance", "c1_distance")
-    a_pur = F.col("base_a").isin("A", "G", "I")
-    near = near.withColumn("_pur", F.when(a_pur, F.struct("base_a", "at_a")).otherwise(F.struct(F.col("base_b").alias("base_a"), F.col("at_b").alias("at_a"))))
-    near = near.withColumn("_pyr", F.when(a_pur, F.struct("base_b", "at_b", "turned_b")).otherwise(
-        F.struct(F.col("base_a").alias("base_b"), F.col("at_a").alias("at_b"), F.col("turned_a").alias("turned_b"))))
-    j = near.join(F.broadcast(rules), (F.col("_pur.base_a") == F.col("pur")) & (F.col("_pyr.base_b") == F.col("pyr")))
-    swap = lambda q: F.when(F.col("_pyr.turned_b") & (q == "O4"), F.lit("O2")).when(F.col("_pyr.turned_b") & (q == "O2"), F.lit("O4")).otherwise(q)
-    length = lambda b: dist(vec(F.try_element_at(F.col("_pur.at_a"), b["p"])), vec(F.try_element_at(F.col("_pyr.at_b"), swap(b["q"]))))
-    j = j.withColumn("_l", F.array_sort(F.filter(F.transform("bonds", length), lambda d: d.isNotNull())))
+    rule = lambda r: (F.col("base_a") == r[0]) & (F.col("base_b") == r[1])
+    any_rule = reduce(or_, [rule(r) for r in chem.BASE_PAIRS])
+    of_rule = lambda value: F.coalesce(*[F.when(rule(r), value(r)) for r in chem.BASE_PAIRS])
+    # a purine as _a and a pyrimidine as _b: no others pair
+    near = pairs_between(c.filter(F.col("base").isin(*pur)).drop("take"), c.filter(F.col("base").isin(*pyr)).drop("give"), 12.0,
+                         where=any_rule & apart & (F.col("distance") >= 9.0)).drop("distance")
+    cos = F.abs(vec("normal_a").dot(vec("normal_b")))
+    flat = F.coalesce(cos >= F.lit(0.7071067811865476), F.lit(True))
+    u = Vec(F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a"), F.col("z_b") - F.col("z_a"))
+    n, m = vec("gly_a").cross(u), u.cross(vec("gly_b"))
+    cis = F.coalesce(n.dot(m) < F.lit(-0.5) * n.norm() * m.norm(), F.lit(True))
+    # planes and sides first: they cost less than bonds and leave few
+    near = worked_out(near, _faces=flat & cis).filter("_faces")
+    length = lambda b: dist(vec(F.col("give_a")[b[0]]), vec(F.col("take_b")[b[1]]))
+    j = worked_out(near, kind=of_rule(lambda r: F.lit(r[4])), need=of_rule(lambda r: F.lit(r[3])),
+                   _l=F.array_sort(F.filter(of_rule(lambda r: F.array(*[length(b) for b in r[2]])), lambda d: d.isNotNull())))
     found = F.filter("_l", lambda d: d <= strict)
     tight = F.size(found) >= F.col("need")
     at = lambda k: F.try_element_at("_l", k.cast("int"))
     loose = (F.size("_l") >= F.col("need")) & (at(F.col("need") - 1) <= strict) & (at(F.col("need")) <= stretched)
     held = F.when(tight, found).otherwise(F.filter("_l", lambda d: d <= stretched))
     mean = F.aggregate(held, F.lit(0.0), lambda s, d: s + d) / F.size(held)
-    cos = F.abs(vec("normal_a").dot(vec("normal_b")))
-    flat = F.coalesce(cos >= F.lit(0.7071067811865476), F.lit(True))
-    u = Vec(F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a"), F.col("z_b") - F.col("z_a"))
-    n, m = vec("gly_a").cross(u), u.cross(vec("gly_b"))
-    cis = F.coalesce(n.dot(m) < F.lit(-0.5) * n.norm() * m.norm(), F.lit(True))
-    j = j.withColumn("held", F.size(held)).withColumn("mean", mean).withColumn("tight", tight)
-    return j.filter((tight | F.coalesce(loose, F.lit(False))) & flat & cis).select(
-        "entry", "chain_a", "strand_a", "pos_a", "idx_a", "chain_b", "strand_b", "pos_b", "idx_b", "kind", "held", "mean", "tight"
-    )
+    j = j.withColumn("held", F.size(held)).withColumn("mean", mean).withColumn("tight", tight).filter(tight | F.coalesce(loose, F.lit(False)))
+    side, back = ["chain", "strand", "pos", "idx"], F.col("idx_a") > F.col("idx_b")
+    turned = lambda c, here, there: F.when(back, F.col(c + there)).otherwise(F.col(c + here)).alias(c + here)
+    return j.select("entry", *[turned(c, "_a", "_b") for c in side], *[turned(c, "_b", "_a") for c in side], "kind", "held", "mean", "tight")
 
 
 def pair_nucleotides(cand: DataFrame) -> DataFrame:

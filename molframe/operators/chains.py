@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molframe.plans.intervals import points_in, spans_meeting
 from molframe.plans.ordered import Ordered, block_of, runs
 from molframe.session import cut
 
@@ -168,8 +169,23 @@ def crop_strands(df: DataFrame, keys: list[str], pos: str, touched: DataFrame, f
 
 def track_positions(sequence: DataFrame, modelled: DataFrame, keys: list[str], block: int = 4096) -> DataFrame:
     """Deposited positions with observed flag and author number; an unmodelled one is numbered from the nearest
-    modelled one, the earlier on a tie. `sequence`: keys, pos, name; `modelled`: keys, pos, number."""
-    d = sequence.join(modelled, [*keys, "pos"], "left").withColumn("observed", F.col("number").isNotNull())
-    d = d.withColumn("_off", F.col("number") - F.col("pos"))
-    n = nearest_label(d, keys, "pos", ["pos"], block_of(F.col("pos"), block), "_off")
-    return n.select(*keys, "pos", "name", "observed", (F.col("pos") + F.coalesce("_off", "nearest")).alias("number"))
+    modelled one, the earlier on a tie. `sequence`: keys, pos, name, or keys, first, last, name for stretches of one name;
+    `modelled`: keys, pos, number.
+
+    Only modelled positions are put in order: each numbers the positions that are nearer to it than to its neighbours. Stretches
+    become positions at the very end, so those are never sent."""
+    s = sequence.withColumn("first", F.col("pos")).withColumn("last", F.col("pos")) if "first" not in sequence.columns else sequence
+    s = s.select(*keys, *[F.col(c).cast("bigint").alias(c) for c in ("first", "last")], "name")
+    known = points_in(modelled.filter(F.col("number").isNotNull()), s.select(*keys, "first", "last"), keys, "pos", "first", "last", block, "left_semi")
+    o = Ordered(known, keys, ["pos"], block_of(F.col("pos"), block)).neighbour(["pos"], "prev_").neighbour(["pos"], "next_", ahead=True).done()
+    half = lambda a, b: F.shiftright((F.col(a) + F.col(b)).cast("bigint"), 1)
+    ends = s.groupBy(*keys).agg(F.min("first").alias("_lo"), F.max("last").alias("_hi"))
+    o = o.join(ends, keys).select(
+        *keys, F.coalesce(half("prev_pos", "pos") + 1, "_lo").alias("first"), F.coalesce(half("pos", "next_pos"), "_hi").alias("last"),
+        F.col("pos").alias("at"), (F.col("number") - F.col("pos")).alias("off"), F.lit(None).cast("string").alias("name"),
+    )
+    d = spans_meeting(s.withColumn("at", F.lit(0)).withColumn("off", F.lit(0)), o, keys, "first", "last", block)
+    d = d.select(*keys, F.greatest("first_a", "first_b").alias("first"), F.least("last_a", "last_b").alias("last"), F.col("name_a").alias("name"), F.col("at_b").alias("at"), F.col("off_b").alias("off"))
+    none = s.join(o.select(*keys).distinct(), keys, "left_anti")
+    d = d.unionByName(none, allowMissingColumns=True).withColumn("pos", F.explode(F.sequence("first", "last")))
+    return d.select(*keys, "pos", "name", F.coalesce(F.col("at") == F.col("pos"), F.lit(False)).alias("observed"), (F.col("pos") + F.col("off")).alias("number"))

@@ -124,8 +124,7 @@ SELECT entry, pos, observed, pos + CASE WHEN np IS NULL OR pos - bp <= np - pos
 def track(spark, sf):
     d = B.chains(spark, sf)
     m = d.groupBy("entry", F.col("block").alias("pos")).agg(F.min("event_id").alias("number"))
-    span = d.groupBy("entry").agg(F.min("block").alias("a"), F.max("block").alias("b"))
-    s = span.select("entry", F.explode(F.sequence("a", "b")).alias("pos"), F.lit("X").alias("name"))
+    s = d.groupBy("entry").agg(F.min("block").alias("first"), F.max("block").alias("last")).withColumn("name", F.lit("X"))
     return H.track_positions(s, m, KEY).drop("name")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from molframe.plans.intervals import spans_meeting
+from molframe.plans.intervals import points_in, spans_meeting
 from molframe.plans.rounds import match_one_to_one, mutual_best
 from molframe.plans.spatial import pairs_between
+from molframe.session import cut
 
 
 def ss_changes(a: DataFrame, b: DataFrame, alignment: DataFrame, keys: list[str], pos: str, none: str = "-") -> DataFrame:
@@ -20,24 +21,29 @@ def ss_changes(a: DataFrame, b: DataFrame, alignment: DataFrame, keys: list[str]
     return full.filter(ka != kb).select(*keys, "i", "j", ka.alias("kind_a"), kb.alias("kind_b"))
 
 
-def strand_pairings(bridges: DataFrame, strands: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+def strand_pairings(bridges: DataFrame, strands: DataFrame, keys: list[str], least: int = 2, by: str | None = None) -> DataFrame:
     """Per strand pair: bridges, kind by majority and register (the low median of j - i parallel, i + j antiparallel).
 
-    bridges: keys, i, j, kind; strands: keys, strand, first, last (residue places)."""
-    from molframe.plans.intervals import points_in
-
-    own = strands.select(*keys, "strand", "first", "last")
-    p = points_in(bridges, own, keys, "i", "first", "last").withColumnRenamed("strand", "a").drop("first", "last")
-    p = points_in(p, own, keys, "j", "first", "last").withColumnRenamed("strand", "b").drop("first", "last").filter("a <> b")
+    bridges: keys, i, j, kind; strands: keys, strand, first, last (residue places). `by` names a column of the bridges, such as the
+    structure they are of, that is one more key: strands are then looked up once for all."""
+    own, at = strands.select(*keys, "strand", "first", "last"), list(keys)
+    keys = [*keys, *([by] if by else [])]
+    p = points_in(bridges, own, at, "i", "first", "last").withColumnRenamed("strand", "a").drop("first", "last")
+    p = points_in(p, own, at, "j", "first", "last").withColumnRenamed("strand", "b").drop("first", "last").filter("a <> b")
     turn = F.col("a") > F.col("b")
     p = p.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turn, F.col("j")).otherwise(F.col("i")).alias("i"),
                  F.when(turn, F.col("i")).otherwise(F.col("j")).alias("j"), "kind")
-    g = p.groupBy(*keys, "a", "b")
-    e = g.agg(F.count(F.lit(1)).alias("bridges"), F.count_if(F.col("kind") == "P").alias("_p"),
-              F.expr("percentile_disc(0.5) within group (order by j - i)").alias("_rp"),
-              F.expr("percentile_disc(0.5) within group (order by i + j)").alias("_ra"))
+    key = [*keys, "a", "b"]
+    # most strand pairs hold too few bridges: counts come first. The low median of two is the lesser; others are looked for where more are left
+    e = p.groupBy(*key).agg(F.count(F.lit(1)).alias("bridges"), F.count_if(F.col("kind") == "P").alias("_p"), F.min(F.col("j") - F.col("i")).alias("_rp"), F.min(F.col("i") + F.col("j")).alias("_ra"))
+    e = cut(e.filter(F.col("bridges") >= least))
+    more = e.filter("bridges > 2")
+    if not more.isEmpty():
+        m = p.join(more.select(*key), key, "left_semi").groupBy(*key).agg(
+            F.expr("percentile_disc(0.5) within group (order by j - i)").alias("_mp"), F.expr("percentile_disc(0.5) within group (order by i + j)").alias("_ma"))
+        e = cut(e.join(m, key, "left").withColumn("_rp", F.coalesce("_mp", "_rp")).withColumn("_ra", F.coalesce("_ma", "_ra")))
     kind = F.when(F.col("_p") * 2 > F.col("bridges"), F.lit("P")).otherwise(F.lit("A"))
-    e = e.filter(F.col("bridges") >= least).withColumn("kind", kind)
+    e = e.withColumn("kind", kind)
     return e.select(*keys, "a", "b", "bridges", "kind", F.when(kind == "P", F.col("_rp")).otherwise(F.col("_ra")).cast("bigint").alias("register"))
 
 

@@ -63,8 +63,13 @@ def keep_unless_beaten(items: DataFrame, clashes: DataFrame, ident: list[str]) -
 def lowest_free_level(items: DataFrame, clashes: DataFrame, ident: list[str]) -> DataFrame:
     """Items with `level`: the lowest not used by a better clashing item, settled in rounds."""
     by = [c + "_by" for c in ident]
-    state = cut(items.select(*ident).distinct().withColumn("level", F.lit(None).cast("int")))
-    while True:
+    clashes = cut(clashes)
+    # only items with a better rival wait for others; every other one has level 0 and takes part in no round
+    worse = cut(clashes.select(*ident).distinct())
+    better = clashes.select(*[F.col(c).alias(c[:-3]) for c in by]).distinct()
+    first = better.join(worse, ident, "left_anti").withColumn("level", F.lit(0))
+    state = cut(worse.withColumn("level", F.lit(None).cast("int")).unionByName(first))
+    while not state.filter(F.col("level").isNull()).isEmpty():
         b = state.select(*[F.col(c).alias(c + "_by") for c in ident], F.col("level").alias("_l"))
         seen = clashes.join(b, by).groupBy(*ident).agg(
             F.collect_set("_l").alias("_used"), F.max(F.col("_l").isNull().cast("int")).alias("_open")
@@ -74,8 +79,7 @@ def lowest_free_level(items: DataFrame, clashes: DataFrame, ident: list[str]) ->
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
         ready = F.coalesce("_open", F.lit(0)) == 0
         state = cut(new.select(*ident, F.coalesce("level", F.when(ready, free)).cast("int").alias("level")))
-        if state.filter(F.col("level").isNull()).isEmpty():
-            return items.join(state, ident)
+    return items.join(state, ident, "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, name: str = "rank") -> DataFrame:

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from molframe.functions.geom import Vec, grid_mean, matrix_apply, screw, snap, vec, vec_cols
 from molframe.operators.superpose import UVW, XYZ, fit_of_sums, fit_sums
+from molframe.plans.blocks import near_pair_counts
 from molframe.plans.rounds import first_by, keep_unless_beaten
-from molframe.plans.spatial import pairs_between, pairs_within
+from molframe.plans.spatial import pairs_between
 from molframe.session import cut
 
 WITHIN = 3.0  # RMSD of a copy from its image
@@ -295,9 +296,9 @@ def protomers(residues: DataFrame, copies: DataFrame, found: Cyclic, reach: floa
     order = o.select("entry", "orbit", "first").distinct().join(start.select("entry", F.col("chain").alias("first"), "rank"), ["entry", "first"])
     order = order.withColumn("turn", F.row_number().over(Window.partitionBy("entry").orderBy("rank", "orbit")))
     o = cut(o.join(order.select("entry", "orbit", "turn"), ["entry", "orbit"]).select("entry", "chain", "orbit", "turn"))
-    near = pairs_within(residues.join(o.select("entry", "chain"), ["entry", "chain"], "left_semi").select("entry", "chain", "idx", "x", "y", "z"), reach, where=F.col("chain_a") != F.col("chain_b"))
-    n = near.groupBy("entry", "chain_a", "chain_b").agg(F.count(F.lit(1)).alias("n"))
-    n = cut(n.select("entry", F.col("chain_a").alias("chain"), F.col("chain_b").alias("by"), "n").unionByName(n.select("entry", F.col("chain_b").alias("chain"), F.col("chain_a").alias("by"), "n")))
+    held = residues.join(o.select("entry", "chain"), ["entry", "chain"], "left_semi")
+    n = cut(near_pair_counts(held.select("entry", "chain", "idx", "x", "y", "z"), reach, "chain").withColumnRenamed("pairs", "n"))
+    n = n.select("entry", F.col("chain_a").alias("chain"), F.col("chain_b").alias("by"), "n").unionByName(n.select("entry", F.col("chain_b").alias("chain"), F.col("chain_a").alias("by"), "n"))
     taken = cut(o.filter("turn = 1 and chain = orbit").select("entry", "chain", "orbit"))
     for turn in range(2, (o.agg(F.max("turn")).first()[0] or 1) + 1):
         now = o.filter(F.col("turn") == turn)

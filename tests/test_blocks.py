@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from molframe.operators import interactions as I
 from molframe.operators import symmetry as S
 from molframe.plans import blocks as K
 
@@ -60,3 +61,25 @@ def test_protomers_join_no_residues_by_distance(spark, monkeypatch):
     got = S.protomers(spark.createDataFrame(rows, COLS), spark.createDataFrame(copies, "entry string, chain string, first string, shift int"), found)
     got = got.groupBy("protomer").agg(F.array_join(F.array_sort(F.collect_list("chain")), "").alias("g")).collect()
     assert sorted(g.g for g in got) == ["Aa", "Bb"] and calls == [1]
+
+
+@pytest.mark.parametrize("crowd", [65536, 20])
+def test_near_pairs_that_pass_a_coarse_test_come_once(spark, crowd):
+    rows = cloud(5, 300)
+    p = spark.createDataFrame(rows, COLS).withColumn("odd", F.col("idx") % 2 == 1)
+    may = lambda column: abs(column("x")[0] - column("x")[1]) <= 1.5
+    got = [(g.entry, g.idx_a, g.idx_b, g.chain_a, g.chain_b) for g in K.near_pairs_that(p, 3.0, may, ["x"], "odd", crowd=crowd).filter(S.snap(F.sqrt(sum((F.col(c + "_a") - F.col(c + "_b")) ** 2 for c in "xyz"))) <= 3.0).collect()]
+    both = [(p, q) for p, q in itertools.combinations(rows, 2) if p[0] == q[0] and not (p[2] % 2 and q[2] % 2)]
+    want = [(p[0], p[2], q[2], p[1], q[1]) for p, q in both if apart(p, q) <= 3.0 and abs(p[3] - q[3]) <= 1.5]
+    assert len(want) > 100 and sorted(got) == sorted(want)
+
+
+def test_only_rings_that_may_stack_become_rows(spark):
+    """Every near pair of rings was a row of the join, before its angle and offset were looked at."""
+    rng = random.Random(2)
+    names = ("CG", "CD1", "CD2", "CE1", "CE2", "CZ")
+    rows = [("e", "AB"[k % 2], k, "", "PHE", n, "C", 8 * k + i, *[round(rng.gauss(0, 2), 3) for _ in range(3)]) for k in range(60) for i, n in enumerate(names)]
+    atoms = spark.createDataFrame(rows, "entry string, chain string, seq int, icode string, resname string, atom string, elem string, idx int, x double, y double, z double")
+    d = I.pi_stacking(atoms, "interchain")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert d.count() > 20 and "FlatMapGroupsInArrow" in plan and "Join" not in plan

@@ -7,15 +7,19 @@ read from `idx` or `k`; windows are two-level, so a long chain is many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molframe.functions.geom import Vec, dist, hbond_energy, snap, vec
+from molframe.functions.geom import Vec, dist, snap, vec
 from molframe.functions.linalg import eig3
 from molframe.functions import chemistry as chem
+from molframe.plans.blocks import blocks_meeting
 from molframe.plans.ordered import Ordered, block_of
 from molframe.plans.rounds import first_by
-from molframe.plans.spatial import pairs_between, worked_out
 from molframe.session import cut
 
 RES = ["entry", "chain", "seq", "icode"]
@@ -116,18 +120,98 @@ def amide_hydrogen(residues: DataFrame) -> DataFrame:
     return d.withColumn("h", F.when(has, vec("n").plus(way).struct())).drop("prev_c", "prev_o")
 
 
+#: acceptors tried together, at first and at most
+SLICE = (512, 4096)
+FLOOR = -9.9
+#: points of either side in a call, and cells of the reach that a point's neighbourhood in a block is taken for
+CROWD, CELLS = 16384, 32
+
+
+def _two_best(d: dict[str, np.ndarray], a: dict[str, np.ndarray], reach: float, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of donors and acceptors, and the energy, of each donor's two best bonds. Acceptors are tried in their order, some at a time, and a
+    donor with two bonds of the least energy there is leaves: no later one can be better."""
+    place = lambda t, c: np.stack([t[c + x] for x in "xyz"], axis=1)
+    order = np.argsort(a["k"], kind="stable")
+    a = {k: v[order] for k, v in a.items()}
+    (ca, nn, h), (cb, cc, oo) = [place(d, c) for c in ("", "n", "h")], [place(a, c) for c in ("", "c", "o")]
+    n = len(ca)
+    energy, who = np.full((n, 2), np.inf), np.full((n, 2), -1)
+    open_, lo, size = np.arange(n), 0, SLICE[0]
+    away = lambda p, q: np.sqrt(np.square(p[:, 0] - q[:, 0]) + np.square(p[:, 1] - q[:, 1]) + np.square(p[:, 2] - q[:, 2]))
+    while lo < len(cb) and len(open_):
+        other = np.arange(lo, min(len(cb), lo + size))
+        for at in range(0, len(open_), 256):
+            some = open_[at : at + 256]
+            mid = ca[some[0]]
+            p, q = ca[some] - mid, cb[other] - mid
+            sq = p @ (-2.0 * q.T)
+            sq += (p * p).sum(axis=1)[:, None]
+            sq += (q * q).sum(axis=1)[None, :]
+            i, j = np.nonzero(sq <= (reach + 0.002) ** 2)
+            i, j = some[i], other[j]
+            ok = (d["k"][i] != a["k"][j]) & ~((a["k"][j] == d["k"][i] - 1) & d["prev"][i])
+            ok[ok] &= np.floor(away(ca[i[ok]], cb[j[ok]]) * 1000.0 + 0.5) / 1000.0 <= reach
+            i, j = i[ok], j[ok]
+            on, ch, oh, cn = away(oo[j], nn[i]), away(cc[j], h[i]), away(oo[j], h[i]), away(cc[j], nn[i])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                e = np.floor(27.888 * (1.0 / on + 1.0 / ch - 1.0 / oh - 1.0 / cn) * 1000.0 + 0.5) / 1000.0 + 0.0
+            e = np.where(np.fmin(np.fmin(on, ch), np.fmin(oh, cn)) < 0.5, FLOOR, np.fmax(FLOOR, e))
+            # of equal ones the earlier acceptor stays
+            ok = (e < most) & (e < energy[i, 1])
+            i, j, e = i[ok], j[ok], e[ok]
+            of = np.unique(i)
+            i, j, e = [np.concatenate(v) for v in ((i, np.repeat(of, 2)), (j, who[of].ravel()), (e, energy[of].ravel()))]
+            rank = np.lexsort((j, e, i))
+            i, j, e = i[rank], j[rank], e[rank]
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            energy[of, 0], who[of, 0], energy[of, 1], who[of, 1] = e[first], j[first], e[first + 1], j[first + 1]
+        open_ = open_[energy[open_, 1] > FLOOR]
+        lo, size = lo + size, min(2 * size, SLICE[1])
+    i, t = np.nonzero(np.isfinite(energy))
+    return i, order[who[i, t]], energy[i, t]
+
+
+def _bonding(reach: float, most: float, group: str):
+    def bonds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lists = [batch.column(c)[row].values for c in "ab"]
+                d, a = [{f.name: t.field(f.name).to_numpy(zero_copy_only=False) for f in t.type} for t in lists]
+                i, j, e = _two_best(d, a, reach, most)
+                first = pa.array([batch.column(group)[row].as_py()] * len(i), batch.schema.field(group).type)
+                yield pa.RecordBatch.from_arrays([first, lists[1].field("k").take(pa.array(j)), lists[0].field("k").take(pa.array(i)), pa.array(e)], [group, "acceptor", "donor", "energy"])
+
+    return bonds
+
+
 def hbonds_backbone(residues: DataFrame, reach: float = 9.0, most: float = -0.5) -> DataFrame:
-    """entry, acceptor, donor, energy: each NH's two best acceptors below -0.5 kcal/mol, the lower acceptor on a tie."""
+    """entry, acceptor, donor, energy: each NH's two best acceptors below -0.5 kcal/mol, the lower acceptor on a tie.
+
+    Donors meet acceptors block by block and no pair is a row but two of a donor in each call. Where residues are crowded, acceptors are offered in
+    their order, in rounds of four times as many: a donor that has two bonds of the least energy there is goes on no more."""
     d = amide_hydrogen(residues)
-    donors = d.filter("h is not null").select("entry", "k", "prev", "h", F.col("n").alias("nn"), *[F.col("ca." + c).alias(c) for c in "xyz"])
-    acc = residues.select("entry", "k", F.col("c").alias("cc"), F.col("o").alias("oo"), *[F.col("ca." + c).alias(c) for c in "xyz"])
-    ok = (F.col("k_a") != F.col("k_b")) & ~((F.col("k_b") == F.col("k_a") - 1) & F.col("prev_a"))
-    p = pairs_between(donors, acc, reach, idx="k", where=ok)
-    p = p.select("entry", F.col("k_b").alias("acceptor"), F.col("k_a").alias("donor"), "oo_b", "cc_b", "nn_a", "h_a")
-    p = worked_out(p, on=dist(vec("oo_b"), vec("nn_a")), ch=dist(vec("cc_b"), vec("h_a")), oh=dist(vec("oo_b"), vec("h_a")), cn=dist(vec("cc_b"), vec("nn_a")))
-    p = worked_out(p.select("entry", "acceptor", "donor", "on", "ch", "oh", "cn"), energy=hbond_energy(*map(F.col, ("on", "ch", "oh", "cn"))))
-    p = p.select("entry", "acceptor", "donor", "energy").filter(F.col("energy") < most)
-    return first_by(p, ["entry", "donor"], [F.col("energy"), F.col("acceptor")], 2).drop("rank")
+    flat = lambda **c: [F.col(f"{v}.{x}").alias(k + x) for k, v in c.items() for x in "xyz"]
+    at = [F.col("ca." + c).alias(c) for c in "xyz"]
+    donors = d.filter("h is not null").select("entry", "k", "prev", *at, *flat(n="n", h="h"))
+    acc = residues.select("entry", "k", *at, *flat(c="c", o="o"))
+    kind = residues.schema["k"].dataType.simpleString()
+    shape = f"entry {residues.schema['entry'].dataType.simpleString()}, acceptor {kind}, donor {kind}, energy double"
+    best = lambda d: first_by(d, ["entry", "donor"], [F.col("energy"), F.col("acceptor")], 2).drop("rank")
+    among = lambda d, a: blocks_meeting(d, a, reach, idx="k", crowd=CROWD).mapInArrow(_bonding(reach, most, "entry"), shape)
+    cells = [F.floor(F.col(c) / F.lit(reach)) for c in "xyz"]
+    fullest = acc.groupBy("entry", *cells).count().agg(F.max("count")).first()[0] or 0
+    if fullest * CELLS <= CROWD:
+        return best(among(donors, acc))
+    ends = acc.groupBy("entry").agg(F.min("k").alias("_lo"), F.max("k").alias("_hi"))
+    acc = cut(acc.join(ends, "entry").withColumn("_at", (F.col("k") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)).drop("_lo", "_hi"))
+    donors, found, lo, hi = cut(donors), None, 0.0, CROWD / (fullest * CELLS)
+    while hi < 1.0:
+        now = cut(best(among(donors, acc.filter((F.col("_at") >= lo) & (F.col("_at") < hi)).drop("_at"))))
+        found = now if found is None else found.unionByName(now)
+        full = found.filter(F.col("energy") == FLOOR).groupBy("entry", F.col("donor").alias("k")).count().filter("count > 1")
+        donors = cut(donors.join(full.select("entry", "k"), ["entry", "k"], "left_anti"))
+        lo, hi = hi, hi * 4
+    return best(found.unionByName(among(donors, acc.filter(F.col("_at") >= lo).drop("_at"))))
 
 
 def with_breaks(residues: DataFrame) -> DataFrame:
